@@ -154,6 +154,25 @@ def running_total(df: DataFrame, order: Sequence[str], amount: str, name: str =
             .withColumn(name, (F.col("_offset") + within).cast("decimal(20,0)")).drop("_slice", "_offset"))
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str, start: int = 1) -> DataFrame:
+    """Rows numbered from ``start`` in ``order`` (a unique key), without one task seeing them all."""
+    counted = running_total(df.withColumn("_one", F.lit(1).cast("bigint")), order, "_one", "_ahead")
+    return counted.withColumn(name, (F.col("_ahead") + start).cast("bigint")).drop("_one", "_ahead")
+
+
+def numbered_within(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Rows numbered from 1 inside each group in ``order``; a group of any size is spread, because
+    the numbers are a global running count less the count at the group's start."""
+    counted = settle(running_total(df.withColumn("_one", F.lit(1).cast("bigint")), [*group, *order], "_one", "_ahead"), "counted")
+    starts = counted.groupBy(*group).agg(F.min("_ahead").alias("_start")).withColumnsRenamed({g: f"_g_{g}" for g in group})
+    match = None
+    for g in group:
+        here = F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        match = here if match is None else match & here
+    return (counted.join(starts, match).withColumn(name, (F.col("_ahead") - F.col("_start") + 1).cast("int"))
+            .drop("_one", "_ahead", "_start", *[f"_g_{g}" for g in group]))
+
+
 def smallest_per_group(df: DataFrame, group: str, order: Sequence[str], limit: str,
                        spread: str = "entry_id") -> DataFrame:
     """The first ``limit`` (a column, constant per group) rows of each group in ``order``.
