@@ -8,17 +8,22 @@ so features are not standardised first.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.features import FEATURE_COLUMNS, build_features, kept_features
 from tallyspark.plans.staging import nth_largest, settle
 
+# the helpers below travel with the tasks, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The forest's size, seed and the share of entries flagged by rank.
 TREES = 300
 SAMPLE = 256
