@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.catalog import ledger_queries  # noqa: F401  (registers on import)
+from tallyspark.catalog import ledger_queries, record_queries  # noqa: F401  (register on import)
 from tallyspark.catalog.registry import ORACLES, QUERIES, Query, flat, staged
 
 

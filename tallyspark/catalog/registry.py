@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import cached_property
 
@@ -25,7 +26,7 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = statement(" ".join(sql.split()), extra)
+            ORACLES[name] = statement(re.sub(r"\n\s*", " ", sql).strip(), extra)
         return fn
     return add
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +42,11 @@ SPACES = char_class(SPACE_RANGES) + "+"
 UNSEEN = char_class(UNSEEN_RANGES)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """Every run of white space as one space, none at either end."""
     return F.trim(F.regexp_replace(text, SPACES, " "))
@@ -65,16 +70,18 @@ def _span(part: Column, fence: Column) -> Column:
 
 def code_span(text: Column) -> Column:
     """One line of inert markdown code."""
-    line = one_line(text)
-    return _span(line, _fence(line))
+    return let(one_line(text), lambda line: _span(line, _fence(line)))
 
 
 def md_code(text: Column) -> Column:
     """A code span for a page that is matched on as text: a zero-width space after every ``@``,
     pipes written as entities between spans."""
-    line = F.replace(one_line(text), F.lit("@"), F.lit("@​"))
-    fence = _fence(line)
-    return F.array_join(F.transform(F.split(line, r"\|"), lambda p: _span(p, fence)), "&#124;")
+    line = F.replace(one_line(text), F.lit("@"), F.lit("@\u200b"))
+
+    def spans(b: Column) -> Column:
+        return F.array_join(F.transform(F.split(b["line"], r"\|"), lambda p: _span(p, b["fence"])), "&#124;")
+
+    return let(let(line, lambda x: F.struct(x.alias("line"), _fence(x).alias("fence"))), spans)
 
 
 # -- redaction --------------------------------------------------------------------

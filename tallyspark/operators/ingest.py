@@ -88,6 +88,8 @@ def cell_problems(df: DataFrame, formats: dict[str, str | None] | None = None) -
     check_columns(df.columns)
     formats = formats or {}
     found: list[tuple[str, str, Column]] = []
+    # each date cell is classed once, ahead of the counts
+    df = df.withColumns({f"_class_{c}": date_class(F.col(c), formats.get(c)) for c in DATE_COLUMNS if _is_text(df, c)})
     for column in REQUIRED_COLUMNS:
         if not _is_text(df, column):
             if column in KEYED_TEXT or column in DATE_COLUMNS or column in WHOLE_COLUMNS:
@@ -95,7 +97,7 @@ def cell_problems(df: DataFrame, formats: dict[str, str | None] | None = None) -
             continue
         raw = F.col(column)
         if column in DATE_COLUMNS:
-            kind = date_class(raw, formats.get(column))
+            kind = F.col(f"_class_{column}")
             for what in DATE_PROBLEMS:
                 _problem(found, column, what, kind == what)
         elif column in WHOLE_COLUMNS:

@@ -164,14 +164,14 @@ def note_text(note: Column) -> Column:
 def grade(note: Column, prompt: Column, must_mention: Column, must_not_assert: Column, expected: Column) -> Column:
     """A note's checks as a map of booleans, ``passed`` last; a null note fails every check."""
     text = note_text(note)
-    said = F.exists(must_not_assert, lambda p: text.rlike(F.concat(F.lit("(?i)"), p)))
+    said = F.exists(must_not_assert, lambda p: F.rlike(text, F.concat(F.lit("(?i)"), p)))
     for pattern in FORBIDDEN:
         said = said | text.rlike("(?i)" + pattern)
     names = F.regexp_extract_all(prompt, F.lit(r"(?m)^- line \d+: \S+ (.+?) \|"), 1)
     specific = F.exists(note["evidence_to_request"], lambda e: e.rlike(r"\d") | F.exists(names, lambda n: F.contains(F.lower(e), F.lower(n))))
     invented = F.size(F.array_except(numbers_in(strip_citations(text)), numbers_in(prompt))) > 0
     checks = {
-        "schema_valid": F.lit(True), "mentions_required": F.forall(must_mention, lambda p: text.rlike(F.concat(F.lit("(?i)"), p))),
+        "schema_valid": F.lit(True), "mentions_required": F.forall(must_mention, lambda p: F.rlike(text, F.concat(F.lit("(?i)"), p))),
         "no_assertions": ~said, "evidence_specific": specific, "no_invented_numbers": ~invented,
         "confidence_in_band": F.array_contains(expected, note["confidence"]),
     }

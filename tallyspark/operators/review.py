@@ -138,18 +138,24 @@ def decision_reconciliation(scored: DataFrame, decisions: DataFrame, ledger_id:
             .groupBy("kind").agg(F.count("*").alias("decided"), F.count("flag").alias("decided_flagged")).orderBy("kind"))
 
 
-def decision_problems(batch: DataFrame, narratives: DataFrame, ledger_id: str) -> list[str]:
-    """What makes a batch of decisions unfit to append, from one aggregate."""
+def decision_faults(batch: DataFrame, narratives: DataFrame, ledger_id: str) -> DataFrame:
+    """What makes a batch of decisions unfit to append: ``problem, rows, example``, from one aggregate."""
     notes = narratives.select(F.col("id").alias("narrative_id"), F.col("entry_id").alias("_entry"), F.col("ledger_id").alias("_ledger"))
     joined = batch.drop("ledger_id").join(notes, "narrative_id", "left")
-    wrong_note = F.col("narrative_id").isNotNull() & ~(
-        F.coalesce(F.col("_entry") == F.col("entry_id"), F.lit(False)) & F.coalesce(F.col("_ledger") == ledger_id, F.lit(False)))
+    own = F.coalesce((F.col("_entry") == F.col("entry_id")) & (F.col("_ledger") == ledger_id), F.lit(False))
     checks = {
         "decision must be one of " + ", ".join(DECISIONS): ~F.coalesce(F.col("decision").isin(list(DECISIONS)), F.lit(False)),
         "a decision must be attributable to a named reviewer": F.trim(F.coalesce("reviewer", F.lit(""))) == "",
         "a decision must name an entry": F.trim(F.coalesce("entry_id", F.lit(""))) == "",
-        f"a narrative is not one for its entry in ledger {ledger_id}": wrong_note,
+        f"a narrative is not one for its entry in ledger {ledger_id}": F.col("narrative_id").isNotNull() & ~own,
     }
-    row = joined.agg(*[F.count_if(rule).alias(f"c{i}") for i, rule in enumerate(checks.values())],
-                     *[F.min(F.when(rule, F.coalesce("entry_id", F.lit("")))).alias(f"e{i}") for i, rule in enumerate(checks.values())]).first()
-    return [f"{text} ({row[f'c{i}']:,} row(s), e.g. {row[f'e{i}']!a})" for i, text in enumerate(checks) if row[f"c{i}"]]
+    found = [F.struct(F.lit(text).alias("problem"), F.count_if(rule).alias("rows"),
+                      F.min(F.when(rule, F.coalesce("entry_id", F.lit("")))).alias("example")).alias(f"c{i}")
+             for i, (text, rule) in enumerate(checks.items())]
+    return joined.agg(*found).select(F.inline(F.array(*[f"c{i}" for i in range(len(checks))])))
+
+
+def decision_problems(batch: DataFrame, narratives: DataFrame, ledger_id: str) -> list[str]:
+    # one row per kind of problem
+    rows = decision_faults(batch, narratives, ledger_id).filter("rows > 0").collect()
+    return [f"{r['problem']} ({r['rows']:,} row(s), e.g. {r['example']!a})" for r in rows]

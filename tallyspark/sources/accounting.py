@@ -169,15 +169,15 @@ def accounts_by_id(rows: DataFrame) -> DataFrame:
 
 def _with_account(lines: DataFrame, accounts: DataFrame) -> DataFrame:
     """Code, name and type of each line's account; one the source did not list is said to be unknown."""
-    lookup = accounts.select(F.col("account_id").alias("ref_id"), "code", "name", "type")
+    lookup = accounts.select(F.col("account_id").alias("ref_id"), F.col("code").alias("_code"), F.col("name").alias("_name"), F.col("type").alias("_type"))
     out = attach(lines, lookup, ["ref_id"], spread="txn_id")
     label = F.coalesce(F.nullif("ref_id", F.lit("")), F.lit("none"))
-    unknown = F.col("code").isNull()
+    unknown = F.col("_code").isNull()
+    stated = F.coalesce(F.nullif("ref_name", F.lit("")), F.concat(F.lit("Unknown account "), label))
     return out.withColumns({
-        "account_code": F.coalesce("code", label),
-        "account_name": F.when(unknown, F.coalesce(F.nullif("ref_name", F.lit("")), F.concat(F.lit("Unknown account "), label))).otherwise(F.col("name")),
-        "account_type": F.when(unknown, UNKNOWN_TYPE).otherwise(F.col("type")), "unknown_account": unknown,
-    }).drop("code", "name", "type")
+        "account_code": F.coalesce("_code", label), "account_name": F.when(unknown, stated).otherwise(F.col("_name")),
+        "account_type": F.when(unknown, UNKNOWN_TYPE).otherwise(F.col("_type")), "unknown_account": unknown,
+    }).drop("_code", "_name", "_type")
 
 
 _LINE = ("entry_id", "line_no", "posting_date", "entered_at", "fiscal_year", "period", "account_code", "account_name",
@@ -218,9 +218,10 @@ def journal_entries_to_lines(entries: DataFrame, accounts: DataFrame, headers: D
     docs = entries.withColumn("_lines", read_lines).withColumn("_empty", F.size(kept) == 0)
     posting = read(F.substring(F.trim("TxnDate"), 1, 10), "yyyy-MM-dd")
     note = F.coalesce(F.nullif("PrivateNote", F.lit("")), F.concat(F.lit("Journal entry "), F.coalesce(F.nullif("DocNumber", F.lit("")), F.col("Id"))))
-    docs = docs.select(
+    docs = docs.withColumn("_ordered", ordered).select(
         F.col("Id").alias("txn_id"), posting.alias("posting_date"), read_stamp(F.col("MetaData.CreateTime"), zone).alias("stamp"),
-        F.coalesce("Adjustment", F.lit(False)).alias("adjusting"), note.alias("note"), "_empty", F.inline_outer(ordered))
+        F.coalesce("Adjustment", F.lit(False)).alias("adjusting"), note.alias("note"), "_empty", "_ordered")
+    docs = docs.select("txn_id", "posting_date", "stamp", "adjusting", "note", "_empty", F.inline_outer("_ordered"))
     users = headers.filter(F.col("token") == "JournalEntry").select("txn_id", "create_by")
     lines = docs.join(users, "txn_id", "left").select(
         "txn_id", "posting_date", "stamp", "adjusting", "note", "_empty", "line_no", "x.*", "create_by")
