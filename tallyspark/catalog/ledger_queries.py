@@ -15,6 +15,7 @@ from tallyspark.operators import benford, entries, evaluate, features, forest, i
 from tallyspark.operators.materiality import Materiality, count_by_band, with_bands
 from tallyspark.operators.review import latest, recorded_ids, review_status
 from tallyspark.plans import ledger as questions
+from tallyspark.plans.staging import beside
 from tallyspark.schema import AGREEMENTS, DECISIONS
 
 MATERIALITY = Materiality(Decimal("50000"))
@@ -334,7 +335,7 @@ def _(s: Staged) -> DataFrame:
 def _(s: Staged) -> DataFrame:
     scores, model = forest.score_ledger(s.lines, s.entries, s.stats)
     figures = scores.agg(F.count("*").alias("scored"), F.min("model_score").alias("lowest"), F.max("model_score").alias("highest"))
-    return forest.fit_report(s.features, model).crossJoin(figures)
+    return beside(forest.fit_report(s.features, model), figures)
 
 
 # -- G: evaluation ----------------------------------------------------------------------------------

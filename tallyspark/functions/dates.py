@@ -30,7 +30,7 @@ MERIDIEM = r"(?<=\d)\s*([AaPp])\.?\s?[Mm]?\.?(?![A-Za-z])"
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (F.trim(F.regexp_replace(text, r"\s", " ")) == "")
+    return text.isNull() | ~text.rlike(r"\S")
 
 
 def is_digits(text: Column) -> Column:
@@ -73,3 +73,13 @@ def read(text: Column, fmt: str) -> Column:
     moment = F.unix_micros(F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(fmt + " xx")))
     seconds = (moment.cast("decimal(20,0)") * F.lit(Decimal("0.000001"))).cast("decimal(18,6)")
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def listed_format(text: Column) -> Column:
+    """The first listed format that reads a cell, or null. The list is walked inside one small
+    expression, for the few cells it is asked of."""
+    def reads(fmt: Column) -> Column:
+        worded = F.when(F.contains(fmt, F.lit("MMM")), F.initcap(F.lower(text))).otherwise(text)
+        return F.try_to_timestamp(F.concat(worded, F.lit(" +0000")), F.concat(fmt, F.lit(" xx"))).isNotNull()
+
+    return F.get(F.filter(F.array(*[F.lit(f) for f in FORMATS]), reads), F.lit(0))

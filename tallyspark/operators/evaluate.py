@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.plans.staging import settle
+from tallyspark.plans.staging import beside, settle
 from tallyspark.schema import ARCHETYPES, HELD_OUT, INTENDED_TEST, NOT_DEFINITIONAL, LedgerError
 
 TOPS = (25, 50, 100, 200)
@@ -140,7 +140,7 @@ def sweep(candidates: DataFrame, measure: str, values: Sequence[float], labels:
         F.count_if("is_anomaly").alias("true_positives"), F.count_if("own").alias("own_caught"))
     settings = spark.createDataFrame([(float(v),) for v in values], "value double")
     total = labels.agg(F.count_if(own).alias("own_n"))  # one row
-    out = settings.join(found, "value", "left").fillna(0).crossJoin(F.broadcast(total))
+    out = beside(settings.join(found, "value", "left").fillna(0), total)
     known = F.lit(kind is not None)
     return out.select(
         "value", "flags_raised", "entries_flagged", "true_positives",
@@ -166,7 +166,7 @@ def compare_tiers(combined: DataFrame, labels: DataFrame) -> DataFrame:
     total = truth.agg(F.count("*").alias("all_anomalies"))  # one row
     names = ("rules only", "model only", "both", "neither")
     rows = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "agreement string, place int")
-    out = rows.join(found, "agreement", "left").fillna(0).crossJoin(F.broadcast(total)).orderBy("place")
+    out = beside(rows.join(found, "agreement", "left").fillna(0), total).orderBy("place")
     return out.select(
         F.col("agreement").alias("segment"), "entries", "true_anomalies",
         F.round(ratio(F.col("true_anomalies"), F.col("entries")), 4).alias("precision"),
@@ -176,14 +176,14 @@ def compare_tiers(combined: DataFrame, labels: DataFrame) -> DataFrame:
 def model_lift(scores: DataFrame, labels: DataFrame, tops: Sequence[int] = TOPS) -> DataFrame:
     """Precision among the top N by model score, ties to the lower id, N beyond the ledger left out."""
     truth = _anomalies(labels).select("entry_id").distinct().withColumn("hit", F.lit(1))
-    size = scores.agg(F.count("*").alias("size")).crossJoin(truth.agg(F.count("*").alias("truth_n")))
+    size, known = scores.agg(F.count("*").alias("size")), truth.agg(F.count("*").alias("truth_n"))
     lead = scores.select("entry_id", "model_score").orderBy(F.desc("model_score"), "entry_id").limit(max(tops))
     # at most max(tops) rows are ranked
     rank = F.row_number().over(Window.orderBy(F.desc("model_score"), "entry_id"))
     ranked = lead.withColumn("rank", rank).join(truth, "entry_id", "left")
     hits = ranked.agg(*[F.count_if((F.col("rank") <= n) & F.col("hit").isNotNull()).alias(f"top{n}") for n in tops])
     rows = F.array(*[F.struct(F.lit(n).alias("top_n"), F.col(f"top{n}").alias("true_anomalies")) for n in tops])
-    out = hits.crossJoin(size).select("size", "truth_n", F.inline(rows)).filter(F.col("top_n") <= F.col("size"))
+    out = beside(hits, size, known).select("size", "truth_n", F.inline(rows)).filter(F.col("top_n") <= F.col("size"))
     precision = F.col("true_anomalies") / F.col("top_n")
     base = ratio(F.col("truth_n"), F.col("size"))
     return out.select("top_n", "true_anomalies", F.round(precision, 4).alias("precision"),
@@ -200,7 +200,7 @@ def budget_recall_by_archetype(combined: DataFrame, labels: DataFrame) -> DataFr
     per = _anomalies(labels).join(tiers, "entry_id", "left").groupBy("anomaly_type").agg(
         F.count("*").alias("n"), F.count_if("rule_flag").alias("rule_caught"),
         F.count_if("model_flag").alias("model_in_budget"))
-    out = per.crossJoin(F.broadcast(_budget(combined)))  # one row
+    out = beside(per, _budget(combined))
     return out.select(
         "anomaly_type", "n", "rule_caught", "model_in_budget",
         F.round(ratio(F.col("n") * F.col("budget"), F.col("population")), 2).alias("chance"),
@@ -213,7 +213,7 @@ def held_out_budget(combined: DataFrame, labels: DataFrame) -> DataFrame:
     held = _anomalies(labels).filter(F.col("anomaly_type").isin(list(HELD_OUT)))
     per = held.join(combined.select("entry_id", "model_flag"), "entry_id", "left").agg(
         F.count("*").alias("n"), F.count_if("model_flag").alias("in_budget")).filter("n > 0")
-    out = per.crossJoin(F.broadcast(_budget(combined)))
+    out = beside(per, _budget(combined))
     chance = ratio(F.col("n") * F.col("budget"), F.col("population"))
     return out.select(
         "n", "in_budget", F.round(chance, 2).alias("chance"),
@@ -227,7 +227,7 @@ def score_by_archetype(scores: DataFrame, labels: DataFrame) -> DataFrame:
     mean = settle(joined.groupBy(F.when(F.col("is_anomaly"), F.col("anomaly_type")).alias("anomaly_type")).agg(
         F.count("*").alias("n"), F.avg("model_score").alias("mean")), "means")
     base = mean.filter(F.col("anomaly_type").isNull()).agg(F.first("mean").alias("base"))  # one row
-    return (mean.filter(F.col("anomaly_type").isNotNull()).crossJoin(F.broadcast(base))
+    return (beside(mean.filter(F.col("anomaly_type").isNotNull()), base)
             .select("anomaly_type", "n", F.round("mean", 4).alias("mean_model_score"),
                     F.round(F.col("mean") - F.col("base"), 4).alias("vs_normal"))
             .orderBy(F.desc("mean_model_score"), "anomaly_type"))

@@ -39,83 +39,99 @@ def whole_cell(text: Column) -> Column:
     return F.when(exact % 1 == 0, exact.try_cast("int"))
 
 
-def _problem(found: list, column: str, what: str, rule: Column) -> None:
-    found.append((column, what, F.coalesce(rule, F.lit(False))))
-
-
-def date_format_of(cell: str, df: DataFrame) -> str | None:
-    """The first listed format that reads a cell."""
-    tries = [F.when(D.read(F.lit(cell), f).isNotNull(), f) for f in D.FORMATS]
-    return df.sparkSession.range(1).select(F.coalesce(*tries)).first()[0]
-
-
 def column_format(df: DataFrame, column: str) -> tuple[str | None, str | None, int | None]:
     """The format of a date column: the one its first text cell that could be a date is in,
     with that cell and its row."""
     raw = F.col(column)
-    usable = ~D.is_blank(raw) & ~D.is_digits(raw) & ~D.is_clock_word(raw) & ~D.has_zone(D.plain_meridiem(raw))
-    row = df.agg(F.min_by(F.struct(raw.alias("cell"), F.col(ROW).alias("at")), F.when(usable, F.col(ROW))).alias("first")).first()["first"]
-    if row is None or row["cell"] is None:
-        return None, None, None
-    spark = df.sparkSession
-    cell = spark.createDataFrame([(row["cell"],)], "c string").select(D.plain_meridiem(F.trim(F.col("c")))).first()[0]
-    return date_format_of(cell, df), row["cell"], row["at"]
+    usable = ~D.is_blank(raw) & ~D.is_digits(raw) & ~D.is_clock_word(raw) & ~D.has_zone(raw) & ~D.has_zone(D.plain_meridiem(raw))
+    first = df.agg(F.min(F.when(usable, F.struct(F.col(ROW).alias("at"), raw.alias("cell")))).alias("f"))
+    row = first.select("f.*", D.listed_format(D.plain_meridiem(F.trim("f.cell"))).alias("fmt")).first()
+    return row["fmt"], row["cell"], row["at"]
+
+
+def _as_written(raw: Column, fmt: str | None) -> Column:
+    """The cell as its column is read: an am or pm is written plainly where the format has one."""
+    return D.plain_meridiem(F.trim(raw)) if fmt and fmt.endswith("a") else F.trim(raw)
+
+
+UNREAD = "is not a readable date"
+OTHER_FORMAT = "is in a different date format"
+DATE_PROBLEMS = ("is blank", "carries a time zone offset", OTHER_FORMAT, UNREAD, "is a number, not a date (write YYYY-MM-DD)")
 
 
 def date_cell(raw: Column, fmt: str | None) -> Column:
     """One date cell read in its column's format, or as its digits spell."""
-    parsed = D.read(D.plain_meridiem(F.trim(raw)), fmt) if fmt else F.lit(None).cast("timestamp_ntz")
-    bad = D.is_blank(raw) | D.is_clock_word(raw) | D.has_zone(D.plain_meridiem(raw))
-    return F.when(bad, F.lit(None).cast("timestamp_ntz")).when(D.is_digits(raw), D.spelled_date(raw)).otherwise(parsed)
+    written = _as_written(raw, fmt)
+    nothing = F.lit(None).cast("timestamp_ntz")
+    return (F.when(D.is_blank(raw) | D.is_clock_word(raw) | D.has_zone(written), nothing)
+            .when(D.is_digits(raw), D.spelled_date(raw)).otherwise(D.read(written, fmt) if fmt else nothing))
 
 
 def date_class(raw: Column, fmt: str | None) -> Column:
-    """Why a date cell cannot be read, or null."""
-    other = F.coalesce(*[D.read(D.plain_meridiem(F.trim(raw)), f) for f in D.FORMATS]).isNotNull()
-    return (F.when(D.is_blank(raw), "is blank").when(D.has_zone(D.plain_meridiem(raw)), "carries a time zone offset")
-            .when(D.is_clock_word(raw), "is not a readable date")
-            .when(D.is_digits(raw), F.when(D.spelled_date(raw).isNull(), "is a number, not a date (write YYYY-MM-DD)"))
-            .when(date_cell(raw, fmt).isNull(), F.when(other, "is in a different date format").otherwise("is not a readable date")))
+    """Why a date cell cannot be read, or null; cells in another listed format count as unread here."""
+    written = _as_written(raw, fmt)
+    return (F.when(D.is_blank(raw), "is blank").when(D.has_zone(written), "carries a time zone offset")
+            .when(D.is_clock_word(raw), UNREAD)
+            .when(D.is_digits(raw), F.when(D.spelled_date(raw).isNull(), DATE_PROBLEMS[4]))
+            .when((D.read(written, fmt) if fmt else F.lit(None)).isNull(), UNREAD))
+
+
+def _finer(raw: Column) -> Column:
+    """An unread cell, told apart: in another listed format, or in none."""
+    other = D.listed_format(D.plain_meridiem(F.trim(raw))).isNotNull()
+    return F.when(~D.is_clock_word(raw) & other, OTHER_FORMAT).otherwise(UNREAD)
 
 
-DATE_PROBLEMS = ("is blank", "carries a time zone offset", "is in a different date format", "is not a readable date",
-                 "is a number, not a date (write YYYY-MM-DD)")
+PROBLEM_SCHEMA = "column string, problem string, place int, rows bigint, first_row bigint, example string"
+
+
+def _count_problems(df: DataFrame, found: list[tuple[str, str, int, Column]]) -> list[tuple]:
+    """Sound rows give nothing to count; the others give one item per problem, combined map-side."""
+    row = F.col(ROW) if ROW in df.columns else F.lit(None).cast("bigint")
+    said = F.array(*[F.when(rule, F.struct(F.lit(i).alias("place"), F.col(c).cast("string").alias("cell"))) for c, _, i, rule in found])
+    bad = df.select(row.alias("r"), F.inline(F.filter(said, lambda x: x.isNotNull())))
+    counts = bad.groupBy("place").agg(F.count("*").alias("rows"), F.min(F.struct("r", "cell")).alias("first"))
+    named = {i: (c, w) for c, w, i, _ in found}
+    # at most one row per kind of problem
+    return [(*named[r["place"]], r["place"], r["rows"], r["first"]["r"], r["first"]["cell"]) for r in counts.collect()]
 
 
 def cell_problems(df: DataFrame, formats: dict[str, str | None] | None = None) -> DataFrame:
-    """Every kind of unreadable cell, as ``column, problem, rows, first_row, example``: one scan
-    over the raw cells (plus one per date column to find its format)."""
+    """Every kind of unreadable cell, as ``column, problem, place, rows, first_row, example``: one
+    scan over the raw cells, and a second over unread date cells alone when there are any."""
     check_columns(df.columns)
     formats = formats or {}
-    found: list[tuple[str, str, Column]] = []
+    found: list[tuple[str, str, int, Column]] = []
+
+    def add(column: str, what: str, rule: Column) -> None:
+        found.append((column, what, len(found), F.coalesce(rule, F.lit(False))))
+
+    dated = [c for c in DATE_COLUMNS if _is_text(df, c)]
     # each date cell is classed once, ahead of the counts
-    df = df.withColumns({f"_class_{c}": date_class(F.col(c), formats.get(c)) for c in DATE_COLUMNS if _is_text(df, c)})
+    df = df.withColumns({f"_class_{c}": date_class(F.col(c), formats.get(c)) for c in dated})
     for column in REQUIRED_COLUMNS:
+        raw = F.col(column)
         if not _is_text(df, column):
             if column in KEYED_TEXT or column in DATE_COLUMNS or column in WHOLE_COLUMNS:
-                _problem(found, column, "is blank", F.col(column).isNull())
-            continue
-        raw = F.col(column)
-        if column in DATE_COLUMNS:
-            kind = F.col(f"_class_{column}")
+                add(column, "is blank", raw.isNull())
+        elif column in dated:
             for what in DATE_PROBLEMS:
-                _problem(found, column, what, kind == what)
+                add(column, what, F.col(f"_class_{column}") == what)
         elif column in WHOLE_COLUMNS:
-            _problem(found, column, "is blank", D.is_blank(raw))
-            _problem(found, column, "is not a whole number", ~D.is_blank(raw) & whole_cell(raw).isNull())
+            add(column, "is blank", D.is_blank(raw))
+            add(column, "is not a whole number", ~D.is_blank(raw) & whole_cell(raw).isNull())
         elif column in AMOUNT_COLUMNS:
-            _problem(found, column, "is not a number", amount_cell(raw).isNull())
+            add(column, "is not a number", amount_cell(raw).isNull())
         elif column in KEYED_TEXT:
-            _problem(found, column, "is blank", D.is_blank(raw))
-    row = F.col(ROW) if ROW in df.columns else F.lit(None).cast("bigint")
-    stats = [F.struct(F.lit(c).alias("column"), F.lit(w).alias("problem"), F.lit(i).alias("place"),
-                      F.count_if(rule).alias("rows"), F.min(F.when(rule, row)).alias("first_row"),
-                      (F.min_by(F.col(c).cast("string"), F.when(rule, row)) if ROW in df.columns
-                       else F.min(F.when(rule, F.col(c).cast("string")))).alias("example"))
-             for i, (c, w, rule) in enumerate(found)]
-    # one row of as many items as there are kinds of problem
-    one = df.agg(*[s.alias(f"s{i}") for i, s in enumerate(stats)])
-    return one.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(stats))]))).filter("rows > 0")
+            add(column, "is blank", D.is_blank(raw))
+    rows = _count_problems(df, found)
+    for column in dated:
+        if any(r[:2] == (column, UNREAD) for r in rows):
+            rows = [r for r in rows if r[:2] != (column, UNREAD)]
+            place = {w: i for c, w, i, _ in found if c == column}
+            unread = df.filter(F.col(f"_class_{column}") == UNREAD).withColumn("_finer", _finer(F.col(column)))
+            rows += _count_problems(unread, [(column, w, place[w], F.col("_finer") == w) for w in (OTHER_FORMAT, UNREAD)])
+    return df.sparkSession.createDataFrame(rows, PROBLEM_SCHEMA)
 
 
 def blank_profile(df: DataFrame) -> DataFrame:

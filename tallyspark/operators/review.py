@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.plans.staging import beside
 from tallyspark.schema import DECISIONS, LedgerError
 
 LEGACY = "legacy"
@@ -125,7 +126,7 @@ def review_status(scored: DataFrame, decisions: DataFrame, narratives: DataFrame
     decided = done.agg(F.count("*").alias("decided"))
     noted = recorded_ids(narratives, ledger_id).agg(F.count("*").alias("narratives"))
     others = other_ledgers(decisions, narratives, ledger_id).agg(F.count("*").alias("other_ledgers"))
-    return flagged.crossJoin(decided).crossJoin(noted).crossJoin(others).select(  # one row each
+    return beside(flagged, decided, noted, others).select(
         F.lit(ledger_id).alias("ledger_id"), "flagged", "decided", "outstanding", "narratives", "other_ledgers")
 
 

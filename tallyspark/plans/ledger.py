@@ -9,7 +9,7 @@ from tallyspark.operators import benford, evaluate, forest, review
 from tallyspark.operators.entries import account_amounts, fixed_key_counts
 from tallyspark.operators.journal_tests import Settings, registry, run_tests, score_entries, staged_entries
 from tallyspark.operators.materiality import Materiality, band, count_by_band, with_bands
-from tallyspark.plans.staging import settle
+from tallyspark.plans.staging import beside, settle
 from tallyspark.schema import AGREEMENTS, HELD_OUT, Controls, LedgerError
 
 # Notes that stand beside figures.
@@ -114,7 +114,7 @@ def top_exceptions(combined: DataFrame, limit: int = 10, fiscal_year: int | None
     found = _exceptions(combined, fiscal_year, period_from, period_to, agreement)
     lead = found.orderBy(F.desc("risk_score"), F.desc("model_score"), "entry_id").limit(limit)
     matching = found.agg(F.count("*").alias("matching"))  # one row
-    return lead.crossJoin(F.broadcast(matching)).select(*ENTRY_COLUMNS, "matching").orderBy(
+    return beside(lead, matching).select(*ENTRY_COLUMNS, "matching").orderBy(
         F.desc("risk_score"), F.desc("model_score"), "entry_id")
 
 
@@ -133,7 +133,7 @@ def search_entries(combined: DataFrame, lines: DataFrame, account_code: str | No
         found = found.filter(F.col("entry_amount") >= F.lit(str(min_amount)).cast("decimal(20,2)"))
     lead = found.orderBy(F.desc("risk_score"), F.desc("entry_amount"), "entry_id").limit(limit)
     matching = found.agg(F.count("*").alias("matching"))
-    return lead.crossJoin(F.broadcast(matching)).select(*ENTRY_COLUMNS, "matching").orderBy(
+    return beside(lead, matching).select(*ENTRY_COLUMNS, "matching").orderBy(
         F.desc("risk_score"), F.desc("entry_amount"), "entry_id")
 
 
@@ -173,7 +173,7 @@ def population_summary(combined: DataFrame, flags: DataFrame, lines: DataFrame)
 
     tests = rolled(flags, "test_id", tuple(registry()), "flags_by_test")
     tiers = rolled(combined, "agreement", AGREEMENTS, "tier_agreement")
-    out = entries.crossJoin(counts).crossJoin(raised).crossJoin(tests).crossJoin(tiers)  # one row each
+    out = beside(entries, counts, raised, tests, tiers)
     return out.select("entries", "lines", "fiscal_years", "flagged",
                       F.round(evaluate.ratio(F.col("flagged"), F.col("entries")), 4).alias("flag_rate"),
                       "flags_raised", "flags_by_test", "tier_agreement")
@@ -187,8 +187,8 @@ def full_summary(combined: DataFrame, flags: DataFrame, lines: DataFrame, labels
     parts = population_summary(combined, flags, lines).select(F.struct("*").alias("population"))
     tier = combined.agg(F.count_if("model_flag").alias("flagged"), F.lit(top_share).alias("top_pct"))
     if report is not None:
-        tier = tier.crossJoin(report)
-    parts = parts.crossJoin(tier.select(F.struct("*").alias("model_tier")))
+        tier = beside(tier, report)
+    parts = beside(parts, tier.select(F.struct("*").alias("model_tier")))
     lead = top_exceptions(combined, top)
     columns = [F.col(c) for c in ENTRY_COLUMNS]
     if m is not None:
@@ -196,22 +196,22 @@ def full_summary(combined: DataFrame, flags: DataFrame, lines: DataFrame, labels
         columns.append(band(cents, m, F.col("fiscal_year"), fiscal_year).alias("materiality_band"))
     item = F.struct((-F.col("risk_score")).alias("_r"), (-F.col("model_score")).alias("_m"), F.struct(*columns).alias("entry"))
     # at most ``top`` rows are gathered
-    parts = parts.crossJoin(lead.agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["entry"]).alias("top_exceptions")))
+    parts = beside(parts, lead.agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["entry"]).alias("top_exceptions")))
     if m is not None:
         banded = count_by_band(with_bands(combined.filter("risk_score > 0"), m, fiscal_year))
-        parts = parts.crossJoin(banded.agg(F.map_from_entries(F.collect_list(F.struct("materiality_band", "entries"))).alias("flagged_by_band")))
+        parts = beside(parts, banded.agg(F.map_from_entries(F.collect_list(F.struct("materiality_band", "entries"))).alias("flagged_by_band")))
     if status is not None:
-        parts = parts.crossJoin(status.select(F.struct("*").alias("review")))
+        parts = beside(parts, status.select(F.struct("*").alias("review")))
     notes = []
     if labels is None:
         notes.append(F.lit(NO_LABELS_NOTE))
         found = None
     else:
         found = evaluate.evaluate(flags, labels, combined.select("entry_id"))
-        parts = parts.crossJoin(found.select(F.struct("*").alias("detection")))
+        parts = beside(parts, found.select(F.struct("*").alias("detection")))
         recall = evaluate.archetype_reading(evaluate.recall_by_archetype(flags, labels))
         # one item per archetype
-        parts = parts.crossJoin(recall.agg(F.collect_list(F.struct("*")).alias("by_archetype")))
+        parts = beside(parts, recall.agg(F.collect_list(F.struct("*")).alias("by_archetype")))
         held = F.exists("by_archetype", lambda r: r["anomaly_type"].isin(list(HELD_OUT)))
         notes.append(F.when(held, HELD_OUT_NOTE))
     notes.append(F.when(F.col("population.entries") < SMALL_LEDGER, F.concat(F.col("population.entries").cast("string"), F.lit(SMALL_NOTE))))

@@ -85,6 +85,15 @@ def attach(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "l
     return left.join(right, match, how).drop("_way", "_r_way", *keys)
 
 
+def beside(df: DataFrame, *figures: DataFrame) -> DataFrame:
+    """``df`` with the columns of one-row tables beside every row, as scalar subqueries: each is
+    worked out once and read as a constant, so nothing is joined."""
+    for one in figures:
+        whole = one.select(F.struct(*one.columns).alias("figures")).scalar()
+        df = df.withColumn("_figures", whole).select(*df.columns, "_figures.*")
+    return df
+
+
 def middle_values(counts: DataFrame, keys: Sequence[str], value: str, weight: str,
                   bucket: Column) -> DataFrame:
     """Exact weighted median of ``value`` per key, as ``keys, n, low, high``.

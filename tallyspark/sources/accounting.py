@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tallyspark.functions.dates import read
 from tallyspark.operators.entries import derive, entry_facts
 from tallyspark.operators.ingest import prepare
-from tallyspark.plans.staging import attach, numbered_within, settle
+from tallyspark.plans.staging import attach, beside, numbered_within, settle
 from tallyspark.schema import ACCOUNT_TYPES, EXPORT_COLUMNS, LedgerError
 
 # Where each transaction type sits among the sources, report column titles, and
@@ -389,7 +389,4 @@ def pull_statistics(accounts: DataFrame, entries: DataFrame, rows: DataFrame, he
     match = asked.join(told, "txn_id", "full_outer").agg(
         F.count_if(F.col("h").isNull()).alias("je_ids_missing_from_report"),
         F.count_if(F.col("q").isNull()).alias("je_ids_missing_from_query"))
-    out = listed
-    for part in (per_line, per_entry, loose, uneven, match, unmapped):  # one row each
-        out = out.crossJoin(part)
-    return out
+    return beside(listed, per_line, per_entry, loose, uneven, match, unmapped)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.text import export_cells, not_a_formula
 from tallyspark.operators.materiality import Materiality, with_bands
 from tallyspark.operators.review import STATE_COLUMNS
+from tallyspark.plans.staging import beside
 from tallyspark.schema import EXPORT_COLUMNS, FLAG_COLUMNS, REQUIRED_COLUMNS, SEVERITIES, Controls
 
 KEPT = ("entry_id", "posting_date", "entered_at", "source", "created_by", "entry_amount", "materiality_band",
@@ -65,9 +66,10 @@ def worst_severity(flags: DataFrame) -> DataFrame:
 
 def workpaper_summary(scored: DataFrame, flags: DataFrame, exceptions: DataFrame, controls: Controls) -> DataFrame:
     """The summary sheet's rows: label and value as text, in order."""
-    counts = scored.agg(F.count("*").alias("n"), F.count_if(F.col("risk_score") > 0).alias("flagged")).crossJoin(
-        flags.agg(F.count("*").alias("raised"), F.count_distinct("test_id").alias("tests"))).crossJoin(
-        exceptions.agg(F.count("*").alias("shown")))  # one row each
+    counts = beside(
+        scored.agg(F.count("*").alias("n"), F.count_if(F.col("risk_score") > 0).alias("flagged")),
+        flags.agg(F.count("*").alias("raised"), F.count_distinct("test_id").alias("tests")),
+        exceptions.agg(F.count("*").alias("shown")))
     rate = F.format_string("%.2f%%", F.round(F.lit(100.0) * F.col("flagged") / F.greatest("n", F.lit(1)), 2))
     rows = [("Population (entries)", F.col("n")), ("Entries flagged", F.col("flagged")), ("Flag rate", rate),
             ("Total flags raised", F.col("raised")), ("Distinct tests fired", F.col("tests")),
