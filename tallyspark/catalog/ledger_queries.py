@@ -49,7 +49,7 @@ def _(s: Staged) -> DataFrame:
     return federal_holidays(s.spark, years[0], years[1])
 
 
-_LIMBS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+_LIMBS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {15 * i + 1}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
 
 
 @query("b10_ledger_digest", f"""SELECT count(*) AS lines, 'csv:' || sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_LIMBS})) AS ledger_id FROM (

@@ -39,7 +39,8 @@ def char_class(ranges: tuple[tuple[int, int], ...]) -> str:
 
 
 SPACES = char_class(SPACE_RANGES) + "+"
-UNSEEN = char_class(UNSEEN_RANGES)
+# the look-ahead lets common characters fail on one comparison
+UNSEEN = "(?![!-~])" + char_class(UNSEEN_RANGES)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,9 +54,11 @@ def collapse(text: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    """One line of visible text; null as nothing."""
-    shown = F.regexp_replace(collapse(text), UNSEEN, "")
-    return F.coalesce(collapse(shown), F.lit(""))
+    """One line of visible text; null as nothing. Text that hides nothing is collapsed once."""
+    def shown(line: Column) -> Column:
+        return F.when(line.rlike(UNSEEN), collapse(F.regexp_replace(line, UNSEEN, ""))).otherwise(line)
+
+    return let(F.coalesce(collapse(text), F.lit("")), shown)
 
 
 def _fence(text: Column) -> Column:

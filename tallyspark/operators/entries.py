@@ -31,10 +31,8 @@ def derive(lines: DataFrame) -> DataFrame:
     })
 
 
-def _first(column: str) -> Column:
-    """The first non-null value in line order (ties: account code, then description)."""
-    rank = F.when(F.col(column).isNotNull(), F.struct("line_no", "account_code", "description"))
-    return F.min_by(F.col(column), rank)
+#: Where a line stands in its entry: its number, then (for numbers given twice) account and text.
+LINE_ORDER = ("line_no", "account_code", "description")
 
 
 def _codes(side: str) -> Column:
@@ -46,12 +44,16 @@ def entry_facts(lines: DataFrame, period_end_days: int = 3) -> DataFrame:
 
     Header fields, totals, the debit and credit account sets, the account of the largest line
     and the entry's first period-end manual revenue line. Columns a caller does not select are
-    pruned from the aggregate.
+    pruned from the aggregate. The contract leaves only ``description`` blank, so every other
+    header field is the first line's and one ordered minimum finds them all.
     """
     closing = ((F.col("account_type") == "Revenue") & (F.col("credit_cents") > 0)
                & (F.col("source") == "Manual") & (days_to_period_end(F.col("posting_date")) < period_end_days))
+    rest = [c for c in HEADER if c != "description"]
+    told = F.when(F.col("description").isNotNull(), F.struct(*LINE_ORDER))
     grouped = lines.groupBy("entry_id").agg(
-        *[_first(c).alias(c) for c in HEADER],
+        F.min(F.struct(*LINE_ORDER, *rest)).alias("_first"),
+        F.min(told).getField("description").alias("description"),
         F.sum("debit_cents").alias("debit_sum"),
         F.sum("credit_cents").alias("credit_sum"),
         F.count("line_no").alias("n_lines"),
@@ -61,6 +63,7 @@ def entry_facts(lines: DataFrame, period_end_days: int = 3) -> DataFrame:
         F.min_by(F.struct("credit_cents", "account_name", "posting_date"),
                  F.when(closing, F.struct("line_no", "account_code"))).alias("closing_line"),
     )
+    grouped = grouped.withColumns({c: F.col(f"_first.{c}") for c in rest}).drop("_first")
     sided = (F.col("_debits") != "") | (F.col("_credits") != "")
     return grouped.withColumns({
         "total_debit_cents": F.col("debit_sum"),

@@ -215,7 +215,8 @@ def canonical_row() -> Column:
     return F.to_json(F.array(*parts), {"ignoreNullFields": "false"})
 
 
-LIMBS = 8
+#: The set hash adds up this many limbs of 15 hex digits: 240 bits, each sum exact in DECIMAL(38,0).
+LIMBS, LIMB_DIGITS = 4, 15
 
 
 def ledger_digest(lines: DataFrame) -> DataFrame:
@@ -225,7 +226,7 @@ def ledger_digest(lines: DataFrame) -> DataFrame:
     1997) and the sums hashed with the row count: one map-side aggregate, no sort, no shuffle.
     """
     hashed = lines.select(F.sha2(canonical_row(), 256).alias("h"))
-    limb = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"l{i}") for i in range(LIMBS)]
+    limb = [F.sum(F.conv(F.substring("h", LIMB_DIGITS * i + 1, LIMB_DIGITS), 16, 10).cast("bigint").cast("decimal(20,0)")).alias(f"l{i}") for i in range(LIMBS)]
     total = hashed.agg(F.count("*").alias("n"), *limb)
     text = F.concat_ws(":", F.col("n").cast("string"), *[F.coalesce(F.col(f"l{i}"), F.lit(0)).cast("string") for i in range(LIMBS)])
     return total.select(F.col("n").alias("lines"), F.concat(F.lit("csv:"), F.sha2(text, 256)).alias("ledger_id"))
