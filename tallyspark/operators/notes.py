@@ -31,7 +31,7 @@ FORBIDDEN = (
     r"\b(is|was|are|were) (clearly |certainly |definitely |obviously )?(an error|erroneous|wrong|improper|fictitious|illegitimate|unauthori[sz]ed)\b",
     r"\bto (hide|disguise|evade|circumvent)\b",
 )
-CITATION = r"\bAU[-‐-―]C[-‐-―\s]*(?:section\s*|§\s*)?240\b"
+CITATION = r"\bAU[-\u2010-\u2015]C[-\u2010-\u2015\s]*(?:section\s*|\u00a7\s*)?240\b"
 METRICS = ("schema_valid", "mentions_required", "no_assertions", "evidence_specific", "no_invented_numbers", "confidence_in_band")
 NO_FLAGS = "- (no deterministic test fired)"
 PROMPT = ("Journal entry %s\n\nPosted: %s\nKeyed:  %s by %s (source: %s)\nTotal:  $%s\n\nLines:\n%s\n\n"
@@ -245,7 +245,7 @@ def refuse_bad_cases(cases: DataFrame) -> None:
     repeated = cases.groupBy("entry_id").count().filter("count > 1").agg(F.count("*"), F.min("entry_id")).first()
     fields = cases.select("entry_id", F.explode("overrides.lines").alias("line", "fields"))
     text = F.try_element_at("fields", F.lit("description"))
-    bad = fields.filter(~F.col("line").rlike("^[0-9]+$") | (F.size("fields") != 1) | text.isNull() | (F.trim(text) == "") | text.rlike(r"[\r\n\x0b\x0c\x1c-\x1e\x85  ]"))
+    bad = fields.filter(~F.col("line").rlike("^[0-9]+$") | (F.size("fields") != 1) | text.isNull() | (F.trim(text) == "") | text.rlike(r"[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"))
     odd = bad.agg(F.count("*"), F.min("entry_id")).first()
     problems = ([f"{repeated[0]} entry id(s) are repeated in the case set (e.g. {repeated[1]})"] if repeated[0] else []) + (
         [f"{odd[0]} override(s) are not one line of description text on a numbered line (e.g. {odd[1]})"] if odd[0] else [])
