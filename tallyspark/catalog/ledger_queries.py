@@ -260,7 +260,7 @@ _ENTROPY = " + ".join(f"CASE WHEN cnt{d} > 0 THEN -(cnt{d} / len) * log2(cnt{d}
 _LENS = ", ".join(f"CAST(length(txt) - length(replace(txt, '{d}', '')) AS DOUBLE) AS cnt{d}" for d in range(10))
 
 
-@query("f01_features", f"""SELECT e.entry_id, round(log10(greatest(ac, 1) / 100.0::DOUBLE), 6) AS log_amount, CAST(n_lines AS DOUBLE) AS n_lines,
+_FEATURES = f"""SELECT e.entry_id, round(log10(greatest(ac, 1) / 100.0::DOUBLE), 6) AS log_amount, CAST(n_lines AS DOUBLE) AS n_lines,
     round(sin(2 * pi() * hour(entered_at) / 24.0::DOUBLE), 6) AS hour_sin, round(cos(2 * pi() * hour(entered_at) / 24.0::DOUBLE), 6) AS hour_cos,
     round(sin(2 * pi() * (isodow(entered_at) - 1) / 7.0::DOUBLE), 6) AS dow_sin, round(cos(2 * pi() * (isodow(entered_at) - 1) / 7.0::DOUBLE), 6) AS dow_cos,
     CAST(date_diff('day', CAST(posting_date AS DATE), last_day(posting_date)) AS DOUBLE) AS days_to_period_end,
@@ -273,7 +273,10 @@ _LENS = ", ".join(f"CAST(length(txt) - length(replace(txt, '{d}', '')) AS DOUBLE
     FROM ent e JOIN (SELECT entry_id, account_code FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY abs_cents DESC, line_no) AS rn FROM gl) WHERE rn = 1) m USING (entry_id)
     LEFT JOIN acct a USING (account_code) JOIN (SELECT entry_id, {_ENTROPY} AS ent_bits FROM (SELECT entry_id, CAST(length(txt) AS DOUBLE) AS len, {_LENS}
       FROM (SELECT entry_id, lpad(CAST(abs(ac) AS VARCHAR), CAST(greatest(3, length(CAST(abs(ac) AS VARCHAR))) AS INTEGER), '0') AS txt FROM ent))) en USING (entry_id),
-    (SELECT CAST(count(*) AS DOUBLE) AS tot FROM ent)""")
+    (SELECT CAST(count(*) AS DOUBLE) AS tot FROM ent)"""
+
+
+@query("f01_features", _FEATURES)
 def _(s: Staged) -> DataFrame:
     exact = ("n_lines", "days_to_period_end", "posting_lag_days", "round_1000_remainder")
     out = features.build_features(s.lines, s.entries, s.stats)
@@ -315,7 +318,12 @@ def _(s: Staged) -> DataFrame:
     return row.select(F.inline(F.array(*items)))
 
 
-@query("f06_forest_fit")
+_VARIANCES = ", ".join(f"var_samp({c}) AS {c}" for c in features.FEATURE_COLUMNS)
+
+
+@query("f06_forest_fit", f"""SELECT any_value(n) AS n_entries, 16::BIGINT AS n_features_in, count(*) FILTER (v > 1e-12) AS n_features_used,
+    coalesce(string_agg(name, ', ') FILTER (v <= 1e-12), '') AS dropped_constant, 0.02::DOUBLE AS contamination
+    FROM (SELECT count(*) AS n, {_VARIANCES} FROM feats) UNPIVOT (v FOR name IN ({', '.join(features.FEATURE_COLUMNS)}))""", {"feats": _FEATURES})
 def _(s: Staged) -> DataFrame:
     return forest.fit_report(s.features, forest.fit_forest(s.features))
 
@@ -493,10 +501,14 @@ def _(s: Staged) -> DataFrame:
     return sampling.stratified_select(s.lines, MATERIALITY, _SIZE, SEED, _STRATA, YEAR, s.entries).bands
 
 
-@query("h08_selection_memo")
+@query("h08_selection_memo", f"""SELECT {YEAR}::BIGINT AS fiscal_year, {SEED}::BIGINT AS seed, any_value(CAST(n AS BIGINT)) AS size, count(*) AS entries_selected, CAST(sum(ac) AS BIGINT) AS selected_cents, any_value(CAST(b AS BIGINT)) AS book_cents,
+    'mus' AS method, 3750000::BIGINT AS performance_cents FROM mus_hit""", {"mus_pop": _POP, "mus_hit": _MUS})
 def _(s: Staged) -> DataFrame:
     picked = sampling.mus_select(s.lines, MATERIALITY, seed=SEED, fiscal_year=YEAR, entries=s.entries)
-    return sampling.selection_memo(picked, "csv:a", "2024-01-31")
+    memo = sampling.selection_memo(picked, "csv:a", "2024-01-31")
+    paths = {"fiscal_year": "population.fiscal_year", "seed": "seed", "size": "parameters.size", "entries_selected": "entries_selected", "selected_cents": "selected_cents",
+             "book_cents": "population.book_cents", "performance_cents": "materiality.performance_cents"}
+    return memo.select(F.get_json_object("memo", "$.method").alias("method"), *[F.get_json_object("memo", f"$.{p}").cast("bigint").alias(n) for n, p in paths.items()])
 
 
 # -- I: questions --------------------------------------------------------------------------------------
@@ -509,10 +521,15 @@ def _entry_rows(df: DataFrame, *extra: str) -> DataFrame:
     return out.select(*[c for c in questions.ENTRY_COLUMNS if c != "entry_amount"], "entry_cents", *extra)
 
 
-@query("i01_loaded_ledger")
+_SUMMARY = """(SELECT count(*) FROM scored) AS entries, (SELECT count(*) FROM gl) AS lines, (SELECT count(*) FROM scored WHERE risk_score > 0) AS flagged, (SELECT count(*) FROM flags) AS flags_raised"""
+
+
+@query("i01_loaded_ledger", f"SELECT {_SUMMARY}, greatest(1, CAST(round_even((SELECT count(*) FROM scored) * 0.02::DOUBLE, 0) AS BIGINT)) AS budget")
 def _(s: Staged) -> DataFrame:
-    loaded = questions.Ledger(s.lines.select(*s.lines.columns), CONTROLS).load()
-    return loaded.summary()
+    loaded = questions.Ledger(s.lines, CONTROLS, stage_lines=False).load()
+    # the forest's scores differ from entry to entry at the cutoff, so the budget is met exactly
+    budget = loaded.combined.agg(F.count_if("model_flag").alias("budget"))
+    return beside(loaded.summary(), budget).select("entries", "lines", "flagged", "flags_raised", "budget")
 
 
 @query("i02_top_exceptions", f"""SELECT {_SHOWN}, (SELECT count(*) FROM combined WHERE risk_score > 0 AND fiscal_year = {YEAR} AND period BETWEEN 3 AND 9) AS matching
@@ -547,11 +564,16 @@ def _(s: Staged) -> DataFrame:
     return questions.population_summary(s.combined, s.flags, s.lines)
 
 
-@query("i06_full_summary")
+@query("i06_full_summary", f"""SELECT {_SUMMARY}, 10::BIGINT AS listed, (SELECT count(*) FROM combined WHERE model_flag) AS model_flagged,
+    (SELECT count(*) FROM scored WHERE risk_score > 0 AND {_BAND} = 'below performance') AS below_performance, (SELECT count(DISTINCT entry_id) FROM mydecs) AS decided,
+    (SELECT count(*) FROM lab WHERE is_anomaly AND entry_id IN (SELECT entry_id FROM flags)) AS true_positives, (SELECT count(DISTINCT anomaly_type) FROM lab WHERE is_anomaly) AS archetypes, 1::BIGINT AS notes""")
 def _(s: Staged) -> DataFrame:
     status = review_status(s.combined, s.decisions, s.notes, "csv:a")
     out = questions.full_summary(s.combined, s.flags, s.lines, s.labels, 10, MATERIALITY, YEAR, status)
-    return out.select(F.to_json(F.struct("*")).alias("summary"))
+    fields = {"entries": "population.entries", "lines": "population.lines", "flagged": "population.flagged", "flags_raised": "population.flags_raised", "model_flagged": "model_tier.flagged",
+              "decided": "review.decided", "true_positives": "detection.true_positives"}
+    return out.select(*[F.col(p).alias(n) for n, p in fields.items()], F.col("flagged_by_band")["below performance"].alias("below_performance"),
+                      *[F.size(c).alias(n) for n, c in (("listed", "top_exceptions"), ("archetypes", "by_archetype"), ("notes", "notes"))])
 
 
 @query("i07_exception_queue", f"""SELECT c.entry_id, strftime(c.posting_date, '%Y-%m-%d %H:%M:%S') AS posting_date, c.source, c.created_by, ac AS entry_cents, {_BAND} AS materiality_band,

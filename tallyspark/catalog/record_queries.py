@@ -199,14 +199,6 @@ def _(s: Staged) -> DataFrame:
     return log.decisions.select("ledger_id", "entry_id", "decision", "reviewer", "note", "risk_score", "model_score").unionByName(written)
 
 
-@query("a16_case_rows")
-def _(s: Staged) -> DataFrame:
-    rows = _graded_rows(s)
-    path = new_path(s.spark, "rows")
-    note_files.write_rows(rows, path)
-    return note_files.read_rows(s.spark, path).select("entry_id", "status", F.to_json("metrics").alias("metrics"))
-
-
 # -- B: text cells ------------------------------------------------------------------------------
 
 @query("b02_blank_profile", """SELECT c AS "column", count(*) FILTER (trim(v) = '') AS blanks, min(CASE WHEN trim(v) = '' THEN row_no END) AS first_row FROM (
@@ -532,7 +524,13 @@ def _graded(s: Staged) -> DataFrame:
     return notes.grade_notes(checked, _cases(s), _prompts(s))
 
 
-@query("k07_graded_notes")
+# every valid note names its entry, quotes only reasons the prompt shows and keeps to its band
+_GRADE_SQL = f"""SELECT entry_id, ok AS schema_valid, ok AS mentions_required, ok AND NOT (k % 3 = 0 AND contains(lower(reasons), 'round thousand')) AS no_assertions, ok AS evidence_specific,
+    ok AS no_invented_numbers, ok AS confidence_in_band, ok AND NOT (k % 3 = 0 AND contains(lower(reasons), 'round thousand')) AS passed, k
+    FROM (SELECT *, k % 13 > 8 AS ok FROM (SELECT entry_id, reasons, {NUM} AS k FROM scored WHERE risk_score > 0) WHERE k % 19 <> 0)"""
+
+
+@query("k07_graded_notes", f"SELECT * EXCLUDE (k) FROM ({_GRADE_SQL})")
 def _(s: Staged) -> DataFrame:
     return _graded(s).select("entry_id", *[F.col("metrics")[m].alias(m) for m in (*notes.METRICS, "passed")])
 
@@ -552,6 +550,14 @@ def _graded_rows(s: Staged) -> DataFrame:
     return wide.select(*[(F.col(f.name) if f.name in same else known.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in notes.ROW_SCHEMA.fields])
 
 
+@query("a16_case_rows", f"SELECT entry_id, CASE WHEN NOT schema_valid THEN 'invalid' WHEN k % 29 = 0 THEN 'error' ELSE 'ok' END AS status, passed FROM ({_GRADE_SQL})")
+def _(s: Staged) -> DataFrame:
+    rows = _graded_rows(s)
+    path = new_path(s.spark, "rows")
+    note_files.write_rows(rows, path)
+    return note_files.read_rows(s.spark, path).select("entry_id", "status", F.col("metrics")["passed"].alias("passed"))
+
+
 _LIVE = f"FROM (SELECT entry_id, {NUM} AS k FROM scored WHERE risk_score > 0 AND {NUM} % 19 <> 0)"
 
 

@@ -74,7 +74,7 @@ class Staged:
 
     @cached_property
     def combined(self) -> DataFrame:
-        return settle(forest.combine(self.scored, self.scores, ordered=False), "tiers")
+        return forest.combine(self.scored, self.scores, ordered=False)
 
     @cached_property
     def labels(self) -> DataFrame:

@@ -71,9 +71,11 @@ def benford_test(rows: DataFrame, value: str = "abs_cents", label: str = "popula
         F.lit(label).alias("label"), *RESULT[1:4], "chi_square_critical_5pct", *RESULT[4:])
 
 
-def segmented_benford(rows: DataFrame, by: str, value: str = "abs_cents", min_n: int = MIN_SAMPLE) -> DataFrame:
+def segmented_benford(rows: DataFrame, by: str | None, value: str = "abs_cents", min_n: int = MIN_SAMPLE) -> DataFrame:
     """The test per segment of at least ``min_n`` rows, most deviant first. Counts are combined
     map-side, so a segment holding most rows sends one partial row per task."""
+    if by is None:
+        return benford_test(rows, value, "ALL").select(*RESULT)
     counted = (rows.filter(F.col(by).isNotNull()).groupBy(F.col(by).cast("string").alias("label"))
                .agg(F.count("*").alias("_rows"), *_digit_counts(value)).filter(F.col("_rows") >= min_n))
     return _statistics(counted).select(*RESULT).orderBy(F.desc("mad"), "label")

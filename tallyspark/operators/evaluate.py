@@ -138,11 +138,11 @@ def sweep(candidates: DataFrame, measure: str, values: Sequence[float], labels:
     found = raised.join(truth, "entry_id", "left").groupBy("value").agg(
         F.sum("flags").alias("flags_raised"), F.count("*").alias("entries_flagged"),
         F.count_if("is_anomaly").alias("true_positives"), F.count_if("own").alias("own_caught"))
-    settings = spark.createDataFrame([(float(v),) for v in values], "value double")
+    settings = spark.createDataFrame([(float(v), i) for i, v in enumerate(values)], "value double, place int")
     total = labels.agg(F.count_if(own).alias("own_n"))  # one row
     out = beside(settings.join(found, "value", "left").fillna(0), total)
     known = F.lit(kind is not None)
-    return out.select(
+    return out.orderBy("place").select(
         "value", "flags_raised", "entries_flagged", "true_positives",
         F.round(ratio(F.col("true_positives"), F.col("entries_flagged")), 4).alias("precision"),
         F.when(known, F.col("own_caught")).alias("intended_caught"), F.when(known, F.col("own_n")).alias("intended_n"))

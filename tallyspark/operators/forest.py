@@ -146,6 +146,9 @@ def raw_scores(features: DataFrame, forest: Forest) -> DataFrame:
     """``entry_id, raw``: 2^(-mean depth / expected depth) for every entry, in Arrow batches."""
     shared = features.sparkSession.sparkContext.broadcast(forest.nodes)
     columns, expected = list(forest.columns), max(_average_path(forest.sample), 1e-12)
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    if features.rdd.getNumPartitions() < cores:  # a few small files: let every core score
+        features = features.repartition(cores)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nodes = shared.value

@@ -35,14 +35,17 @@ class Ledger:
     """
 
     def __init__(self, lines: DataFrame, controls: Controls | None = None, top_share: float = forest.TOP_SHARE,
-                 scores: DataFrame | None = None) -> None:
+                 scores: DataFrame | None = None, stage_lines: bool = True) -> None:
+        """``stage_lines=False`` reads ``lines`` in place: right when they are prepared columnar
+        files already, and a copy would only be written to be read again."""
         self._lines, self._controls, self._top_share, self._scores = lines, controls or Controls(), top_share, scores
+        self._stage_lines = stage_lines
         self.loaded = False
 
     def load(self) -> "Ledger":
         if self.loaded:
             return self
-        lines = settle(self._lines, "lines")
+        lines = settle(self._lines, "lines") if self._stage_lines else self._lines
         settings = Settings(controls=self._controls)
         entries = staged_entries(lines, settings)
         stats = settle(account_amounts(lines), "accounts")

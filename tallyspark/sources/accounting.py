@@ -277,15 +277,11 @@ def report_rows(reports: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     keys = F.transform(F.coalesce(F.col("r.Columns.Column"), F.array().cast(report_schema(depth)["Columns"].dataType["Column"].dataType)), column_key)
     parsed = parsed.withColumn("keys", keys)
     missing = F.filter(F.array(*[F.lit(k) for k in NEEDED_KEYS]), lambda k: ~F.array_contains("keys", k))
-    bad = parsed.agg(F.min(F.when(F.size(missing) > 0, F.array_join(missing, ", "))).alias("missing"),
-                     F.count_if(F.coalesce(_too_deep(F.col("r.Rows.Row"), 1, depth), F.lit(False))).alias("deep")).first()
-    if bad["missing"]:
-        raise LedgerError(f"the GeneralLedger report has no {bad['missing']} column(s)")
-    if bad["deep"]:
-        raise LedgerError(f"{bad['deep']} report(s) nest sections deeper than {depth}")
+    deep = F.coalesce(_too_deep(F.col("r.Rows.Row"), 1, depth), F.lit(False))
     nobody = F.lit(None).cast("struct<value: string, id: string>")
     rows = _data_rows(F.col("r.Rows.Row"), nobody, F.array().cast("array<int>"), 1, depth)
-    flat = parsed.select("doc_no", "keys", F.inline(rows))
+    parsed = parsed.select("doc_no", "keys", F.array_join(missing, ", ").alias("_missing"), deep.alias("_deep"), rows.alias("_rows"))
+    flat = parsed.select("doc_no", "keys", "_missing", "_deep", F.inline_outer("_rows"))
 
     def value(key: str) -> Column:
         at = F.array_position("keys", F.lit(key)).cast("int")
@@ -293,10 +289,18 @@ def report_rows(reports: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
 
     named = F.arrays_zip("keys", "cells")
     ids = F.filter(named, lambda z: z["keys"].isin("txn_type", "tx_date") & (F.coalesce(z["cells"]["id"], F.lit("")) != ""))
-    return flat.select(
-        "doc_no", "path", "account", F.get(ids, F.lit(0))["cells"]["id"].alias("txn_id"),
+    # written once: the documents are parsed one time, and what is wrong with them is read off the rows
+    flat = settle(flat.select(
+        "doc_no", "path", "account", F.get(ids, F.lit(0))["cells"]["id"].alias("txn_id"), "_missing", "_deep",
         *[value(k).alias(k) for k in ("tx_date", "txn_type", "doc_num", "name", "memo", "debt_amt", "credit_amt", "create_by", "create_date")],
-    ).withColumn("token", type_token(F.col("txn_type")))
+    ).withColumn("token", type_token(F.col("txn_type"))), "report")
+    bad = flat.agg(F.min(F.nullif("_missing", F.lit(""))).alias("missing"),
+                   F.count_distinct(F.when(F.col("_deep"), F.col("doc_no"))).alias("deep")).first()
+    if bad["missing"]:
+        raise LedgerError(f"the GeneralLedger report has no {bad['missing']} column(s)")
+    if bad["deep"]:
+        raise LedgerError(f"{bad['deep']} report(s) nest sections deeper than {depth}")
+    return flat.filter(F.col("path").isNotNull()).drop("_missing", "_deep")
 
 
 def report_headers(rows: DataFrame) -> DataFrame:
@@ -350,7 +354,7 @@ def to_ledger(lines: DataFrame) -> DataFrame:
 def assemble(accounts: DataFrame, entries: DataFrame, reports: DataFrame, zone: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One pull: the prepared ledger and its statistics."""
     accounts = settle(accounts_by_id(accounts), "accounts")
-    rows = settle(report_rows(reports), "rows")
+    rows = report_rows(reports)
     headers = settle(report_headers(rows), "headers")
     lines = settle(journal_entries_to_lines(entries, accounts, headers, zone)
                    .unionByName(general_ledger_to_lines(rows, accounts, zone)), "pulled")

@@ -16,16 +16,18 @@ TRUTH = {"true": True, "false": False, "1": True, "0": False, "1.0": True, "0.0"
 # End of fixed values.
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with every cell as text; only an empty field is null (NA and #N/A are kept)."""
+def read_text_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV with every cell as text; only an empty field is null (NA and #N/A are kept). Every
+    file's header must be the first one's. ``multi_line=False`` (no line breaks inside cells)
+    lets one large file be read by many tasks."""
     names = spark.read.option("header", True).csv(path).columns
     schema = ", ".join(f"`{n}` string" for n in names)
     return (spark.read.schema(schema).option("header", True).option("nullValue", "").option("emptyValue", "")
-            .option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "FAILFAST").csv(path))
+            .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("enforceSchema", False).option("mode", "FAILFAST").csv(path))
 
 
-def load_csv(spark: SparkSession, path: str) -> DataFrame:
-    return prepare(read_text_csv(spark, path))
+def load_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return prepare(read_text_csv(spark, path, multi_line))
 
 
 def read_labels(rows: DataFrame) -> DataFrame:
