@@ -135,9 +135,7 @@ def account_amounts(lines: DataFrame) -> DataFrame:
     centre = settle(mid.select("account_code", "n", (
         (F.log10(F.col("low") / F.lit(100.0)) + F.log10(F.col("high") / F.lit(100.0))) / 2).alias("median")), "medians")
     away = attach(counts, centre.select("account_code", "median"), ["account_code"], "inner", spread="cents")
-    spread = (away.withColumn("dev", F.abs(logged - F.col("median")))
-              .groupBy("account_code", "dev").agg(F.sum("weight").alias("weight")))
-    mad = middle_values(spread, ["account_code"], "dev", "weight", F.floor(F.col("dev") * 8192))
+    mad = middle_values(away.withColumn("dev", F.abs(logged - F.col("median"))), ["account_code"], "dev", "weight", F.floor(F.col("dev") * 8192))
     mad = mad.select("account_code", ((F.col("low") + F.col("high")) / 2).alias("mad"))
     return centre.join(mad, "account_code").select("account_code", "n", "median", "mad")
 

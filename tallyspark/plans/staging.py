@@ -98,9 +98,10 @@ def middle_values(counts: DataFrame, keys: Sequence[str], value: str, weight: st
                   bucket: Column) -> DataFrame:
     """Exact weighted median of ``value`` per key, as ``keys, n, low, high``.
 
-    ``counts`` holds one row per distinct (key, value) with its count; ``bucket`` is any
-    non-decreasing function of ``value``. A histogram over the buckets finds the one or two
-    that hold the middle ranks, and only their rows are ordered: no task sees a whole group.
+    ``counts`` holds values with their counts (a value may stand on several rows); ``bucket`` is
+    any non-decreasing function of ``value``. A histogram over the buckets, combined map-side,
+    finds the one or two that hold each key's middle ranks; those (at most two rows per key) are
+    looked up by the counts, which are not shuffled, and only the rows found are ordered.
     ``low`` and ``high`` are the values of the two middle ranks (equal for an odd count).
     """
     keys = list(keys)
@@ -112,8 +113,9 @@ def middle_values(counts: DataFrame, keys: Sequence[str], value: str, weight: st
             .withColumn("_lo", F.expr("(_n - 1) div 2")).withColumn("_hi", F.expr("_n div 2"))
             .filter("(_lo >= _before AND _lo < _before + _in) OR (_hi >= _before AND _hi < _before + _in)")
             .select(*keys, "_bucket", "_before", "_n", "_lo", "_hi"))
+    targets = settle(hist, "targets")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    near = (tagged.join(hist, [*keys, "_bucket"])
+    near = (attach(tagged, targets, [*keys, "_bucket"], "inner", spread=value)
             .withColumn("_from", F.col("_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
             .withColumn("_to", F.col("_from") + F.col(weight)))
     return near.groupBy(*keys).agg(
