@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -544,14 +545,24 @@ def _(s: Staged) -> DataFrame:
     return _entry_rows(questions.search_entries(s.combined, s.lines, "1200", "user3", "Manual", 10000), "matching")
 
 
-@query("i04_explained_entries", """SELECT c.entry_id, c.risk_score, l.lines_text, f.flags_text FROM combined c
-    JOIN (SELECT entry_id, string_agg(line_no || ' ' || account_code || ' ' || debit_cents || ' ' || credit_cents, ';' ORDER BY line_no) AS lines_text FROM gl GROUP BY 1) l USING (entry_id)
-    JOIN (SELECT entry_id, string_agg(test_id || ' ' || reason, ';' ORDER BY test_id, account_code, line_no, reason) AS flags_text FROM flags GROUP BY 1) f USING (entry_id)""")
+@query("i04_explained_entries", """SELECT entry_id, c.risk_score, d.* EXCLUDE (entry_id) FROM combined c JOIN (
+    SELECT entry_id, 'line' AS part, account_code, line_no, account_name, debit_cents, credit_cents, description, NULL AS test_id, NULL AS severity, NULL AS reason FROM gl
+    UNION ALL SELECT entry_id, 'flag', account_code, line_no, NULL, NULL, NULL, NULL, test_id, severity, reason FROM flags) d USING (entry_id) WHERE c.risk_score > 0""")
 def _(s: Staged) -> DataFrame:
     out = questions.explained_entries(s.combined, s.lines, s.flags)
-    line = F.transform("lines", lambda x: F.concat_ws(" ", x["line_no"].cast("string"), x["account_code"], to_cents(x["debit"]).cast("string"), to_cents(x["credit"]).cast("string")))
-    flag = F.transform("flags", lambda x: F.concat_ws(" ", x["test_id"], x["reason"]))
-    return out.select("entry_id", "risk_score", F.array_join(line, ";").alias("lines_text"), F.array_join(flag, ";").alias("flags_text"))
+    return out.withColumns({"debit_cents": to_cents(F.col("debit")), "credit_cents": to_cents(F.col("credit"))}).drop("debit", "credit", "place")
+
+
+@query("i04_one_entry", f"""SELECT part, n FROM (SELECT 'lines' AS part, (SELECT count(*) FROM gl WHERE entry_id = x) AS n, x FROM worst UNION ALL SELECT 'flags', (SELECT count(*) FROM flags WHERE entry_id = x), x FROM worst
+    UNION ALL SELECT 'decisions', (SELECT count(*) FROM mydecs WHERE entry_id = x), x FROM worst UNION ALL SELECT 'narratives', (SELECT count(*) FROM mynotes WHERE entry_id = x), x FROM worst)""",
+       {"worst": "SELECT entry_id AS x FROM combined ORDER BY risk_score DESC, model_score DESC, entry_id LIMIT 1"})
+def _(s: Staged) -> DataFrame:
+    books = questions.Ledger(s.lines, CONTROLS, scores=s.scores, stage_lines=False).load()
+    worst = books.top_exceptions(limit=1).first()["entry_id"]
+    found = books.explain_entry(worst, s.decisions, s.notes, "csv:a")
+    parts = {"lines": "lines", "flags": "flags", "decisions": "decisions", "narratives": "narrative_history"}
+    counts = [found[key].agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name, key in parts.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("i05_population_summary", """SELECT (SELECT count(*) FROM combined) AS entries, (SELECT count(*) FROM gl) AS lines,

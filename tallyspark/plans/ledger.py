@@ -149,14 +149,15 @@ def with_review(entries: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def explained_entries(combined: DataFrame, lines: DataFrame, flags: DataFrame) -> DataFrame:
-    """The bulk form of explain: every flagged entry with its lines and flags as arrays."""
-    flagged = combined.filter("risk_score > 0")
-    line = F.struct(*LINE_COLUMNS)
-    per_lines = lines.join(flagged.select("entry_id"), "entry_id", "left_semi").groupBy("entry_id").agg(
-        F.array_sort(F.collect_list(line)).alias("lines"))
-    per_flags = flags.groupBy("entry_id").agg(
-        F.array_sort(F.collect_list(F.struct("test_order", "account_code", "line_no", "test_id", "test_name", "severity", "reason"))).alias("flags"))
-    return flagged.select(*ENTRY_COLUMNS).join(per_lines, "entry_id").join(per_flags, "entry_id")
+    """The bulk form of explain: every flagged entry's lines and flags as rows in a fixed order
+    (``part``, ``place``, ``account_code``, ``line_no``), so no entry has to fit in one row."""
+    flagged = combined.filter("risk_score > 0").select("entry_id", "risk_score")
+    none = F.lit(None)
+    line = lines.select("entry_id", F.lit("line").alias("part"), F.lit(0).alias("place"), "account_code", "line_no", "account_name",
+                        "debit", "credit", "description", none.cast("string").alias("test_id"), none.cast("string").alias("severity"), none.cast("string").alias("reason"))
+    flag = flags.select("entry_id", F.lit("flag").alias("part"), (F.col("test_order") + 1).alias("place"), "account_code", "line_no", none.cast("string").alias("account_name"),
+                        none.cast("decimal(18,2)").alias("debit"), none.cast("decimal(18,2)").alias("credit"), none.cast("string").alias("description"), "test_id", "severity", "reason")
+    return flagged.join(line.unionByName(flag), "entry_id")
 
 
 def population_summary(combined: DataFrame, flags: DataFrame, lines: DataFrame) -> DataFrame:

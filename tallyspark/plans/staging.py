@@ -17,6 +17,16 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 SPREAD = 16
 
 
+def local_folder() -> str:
+    """A folder for a local session's stages, gone when the process ends."""
+    kept = tempfile.TemporaryDirectory(prefix="tallyspark-", ignore_cleanup_errors=True)
+    _LOCAL.append(kept)
+    return kept.name
+
+
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the one the cluster names, never a local one there."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -24,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tallyspark-")
+    folder = local_folder()
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -48,14 +58,14 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def fits(lookup: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+def fits(lookup: DataFrame, limit: int | None = None) -> bool:
     """Whether a (settled) lookup is small enough to broadcast: rows and text are measured."""
     text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in lookup.schema.fields
             if isinstance(f.dataType, T.StringType)]
     wide = 16 * len(lookup.columns)
     row = sum(text, F.lit(wide))
     size = lookup.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0)).alias("b")).first()["b"]
-    return size <= limit
+    return size <= (BROADCAST_BYTES if limit is None else limit)
 
 
 def attach(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left",

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
+from tallyspark.plans.staging import local_folder
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench. The checkpoint folder stands in for the
     shared folder a cluster names in ``spark.checkpoint.dir``."""
-    folder = os.environ.get("TALLYSPARK_SHARED") or tempfile.mkdtemp(prefix="tallyspark-")
+    folder = os.environ.get("TALLYSPARK_SHARED") or local_folder()
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tallyspark")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import journal_tests as jt
 from tallyspark.operators.entries import entry_level, entry_pairs
+from tallyspark.operators.features import build_features
+from tallyspark.plans import staging
 from tallyspark.schema import Controls, LedgerError
 
 
@@ -106,6 +108,20 @@ def test_order_and_partitions_of_rows_do_not_matter(ledger, spark):
     assert results[0] == results[1] == results[2] and any(r[1] for r in results[0])
 
 
+def test_lookups_too_large_to_broadcast_give_the_same_flags_and_features(ledger, monkeypatch):
+    lines = ledger(*[entry(f"JE-{i:03d}", 100 + i % 40, debit="61" if i % 3 else "64", credit="62", posted=f"2024-03-{i % 9 + 1:02d}", text="t" if i % 5 else None) for i in range(120)],
+                   entry("big", 9_000_000, debit="61", credit="62"), entry("odd", 77, debit="98", credit="99"))
+    entries = jt.staged_entries(lines)
+
+    def everything():
+        flags = sorted(map(tuple, jt.run_tests(lines, entries=entries).collect()))
+        return flags, sorted(map(tuple, build_features(lines, entries).collect()))
+
+    usual = everything()
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
+    assert everything() == usual and {f[1] for f in usual[0]} >= {"JET-07", "JET-08", "JET-11"}
+
+
 def test_unknown_tests_are_refused_and_added_ones_run(ledger):
     lines = ledger(entry("a", 5), entry("b", 6))
     with pytest.raises(LedgerError, match="JET-99"):
