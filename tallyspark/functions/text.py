@@ -61,19 +61,19 @@ def one_line(text: Column) -> Column:
     return let(F.coalesce(collapse(text), F.lit("")), shown)
 
 
-def _fence(text: Column) -> Column:
+def _backticks(text: Column) -> Column:
     runs = F.transform(F.regexp_extract_all(text, F.lit("(`+)"), 1), lambda r: F.length(r))
     return F.repeat(F.lit("`"), F.coalesce(F.array_max(runs), F.lit(0)) + 1)
 
 
-def _span(part: Column, fence: Column) -> Column:
+def _quoted(part: Column, fence: Column) -> Column:
     pad = F.when(part.startswith("`") | part.endswith("`"), " ").otherwise("")
     return F.when(part == "", "").otherwise(F.concat(fence, pad, part, pad, fence))
 
 
 def code_span(text: Column) -> Column:
     """One line of inert markdown code."""
-    return let(one_line(text), lambda line: _span(line, _fence(line)))
+    return let(one_line(text), lambda line: _quoted(line, _backticks(line)))
 
 
 def md_code(text: Column) -> Column:
@@ -82,9 +82,9 @@ def md_code(text: Column) -> Column:
     line = F.replace(one_line(text), F.lit("@"), F.lit("@\u200b"))
 
     def spans(b: Column) -> Column:
-        return F.array_join(F.transform(F.split(b["line"], r"\|"), lambda p: _span(p, b["fence"])), "&#124;")
+        return F.array_join(F.transform(F.split(b["line"], r"\|"), lambda p: _quoted(p, b["fence"])), "&#124;")
 
-    return let(let(line, lambda x: F.struct(x.alias("line"), _fence(x).alias("fence"))), spans)
+    return let(let(line, lambda x: F.struct(x.alias("line"), _backticks(x).alias("fence"))), spans)
 
 
 # -- redaction --------------------------------------------------------------------
@@ -93,12 +93,12 @@ def redact_emails(text: Column) -> Column:
     return F.regexp_replace(text, EMAIL, REDACTED_EMAIL)
 
 
-def _real_names(users: Mapping[str, str]) -> list[str]:
+def _names_to_scrub(users: Mapping[str, str]) -> list[str]:
     stand_ins = set(users.values())
     return sorted((n for n in users if n and n not in stand_ins), key=lambda n: (-len(n), n))
 
 
-def _name_pattern(name: str) -> str:
+def _whole_name(name: str) -> str:
     words = (r"\s+").join("\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E" for word in name.split())
     return rf"(?iU)(?<!\w){words}(?!\w)"
 
@@ -108,8 +108,8 @@ def scrub_known(text: Column, realm_id: str, users: Mapping[str, str]) -> Column
     ``users`` is a company's user list: a small mapping of real name to stand-in."""
     if realm_id:
         text = F.replace(text, F.lit(realm_id), F.lit(REALM))
-    for name in _real_names(users):
-        text = F.regexp_replace(text, _name_pattern(name), users[name])
+    for name in _names_to_scrub(users):
+        text = F.regexp_replace(text, _whole_name(name), users[name])
     return text
 
 
@@ -150,7 +150,7 @@ def leftovers(text: Column, realm_id: str, users: Mapping[str, str]) -> Column:
     """What should be gone and is not, as an array of findings."""
     folded = collapse(F.lower(text))
     found = [F.when(text.contains(realm_id), "the realm id")] if realm_id else []
-    for name in sorted(_real_names(users)):
+    for name in sorted(_names_to_scrub(users)):
         wanted = "\\Q" + " ".join(name.lower().split()) + "\\E"
         found.append(F.when(folded.rlike(rf"(?U)(?<!\w){wanted}(?!\w)"), f"a user name ({users[name]})"))
     return F.filter(F.array(*found), lambda f: f.isNotNull()) if found else F.array().cast("array<string>")
@@ -158,7 +158,7 @@ def leftovers(text: Column, realm_id: str, users: Mapping[str, str]) -> Column:
 
 # -- export -------------------------------------------------------------------------
 
-def _marker(code: int) -> str:
+def _code_point(code: int) -> str:
     return f"[U+{code:04X}]"
 
 
@@ -168,7 +168,7 @@ _ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 def _shown(text: Column) -> Column:
     for code in UNWRITABLE:
-        text = F.regexp_replace(text, f"\\x{{{code:X}}}", _marker(code))
+        text = F.regexp_replace(text, f"\\x{{{code:X}}}", _code_point(code))
     return text
 
 
@@ -186,7 +186,7 @@ def export_cell(text: Column) -> Column:
     start = F.struct((F.lit(CELL_LIMIT) - F.length(tail)).alias("room"), F.lit(0).alias("kept"), F.lit(True).alias("open"))
 
     def step(acc: Column, char: Column) -> Column:
-        width = F.when(char.rlike(_UNWRITABLE_CLASS), len(_marker(0))).when(char.rlike(_ASTRAL), 2).otherwise(1)
+        width = F.when(char.rlike(_UNWRITABLE_CLASS), len(_code_point(0))).when(char.rlike(_ASTRAL), 2).otherwise(1)
         fits = acc["open"] & (width <= acc["room"])
         return F.struct((acc["room"] - F.when(fits, width).otherwise(0)).alias("room"),
                         (acc["kept"] + F.when(fits, 1).otherwise(0)).alias("kept"), fits.alias("open"))

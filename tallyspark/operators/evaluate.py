@@ -45,7 +45,7 @@ def label_problems(labels: DataFrame, entry_ids: DataFrame) -> DataFrame:
 
 
 def check_labels(labels: DataFrame, entry_ids: DataFrame) -> None:
-    """Refuse labels that do not cover exactly the ledger's entries."""
+    """Raise unless labels and entries match one to one, naming what is missing on either side."""
     row = label_problems(labels, entry_ids).first()
 
     def count(n: int, one: str, many: str) -> str:
@@ -108,7 +108,7 @@ def _intended(kind: Column) -> Column:
 
 
 def attribution(flags: DataFrame, labels: DataFrame) -> DataFrame:
-    """Which tests caught each archetype: the one written for it, or others."""
+    """Per archetype, how many entries its own test flagged and how many only other tests did."""
     labelled = _anomalies(labels).dropDuplicates(["entry_id", "anomaly_type"]).withColumn(
         "intended_test", _intended(F.col("anomaly_type")))
     per = labelled.join(flags.select("entry_id", "test_id"), "entry_id", "left").groupBy(

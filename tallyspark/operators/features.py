@@ -21,13 +21,13 @@ FEATURE_COLUMNS = (
 
 
 def cyclical(value: Column, period: int) -> tuple[Column, Column]:
-    """Sine and cosine of a cyclical quantity, so that 23:00 and 00:00 are neighbours."""
+    """A clock or calendar value as a point on a circle (sine, cosine)."""
     angle = F.lit(2 * math.pi) * value.cast("double") / F.lit(float(period))
     return F.sin(angle), F.cos(angle)
 
 
 def digit_entropy(cents: Column) -> Column:
-    """Shannon entropy (bits) of the digits of an amount written with two decimals."""
+    """Bits of entropy in an amount's digits, two decimals written out; ten counts, no UDF."""
     text = F.abs(cents).cast("string")
     text = F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text)
     total = F.length(text).cast("double")
