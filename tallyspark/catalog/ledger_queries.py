@@ -200,7 +200,7 @@ def _(s: Staged) -> DataFrame:
       PARTITION BY account_code ORDER BY posting_date, entered_at, entry_id, line_no), posting_date) AS gap FROM gl) d ON d.gap > v
     LEFT JOIN lab l USING (entry_id) GROUP BY v""")
 def _(s: Staged) -> DataFrame:
-    gaps = journal_tests.dormancy_gaps(s.lines).select(F.col("first.entry_id").alias("entry_id"), "gap")
+    gaps = journal_tests.dormancy_gaps(s.lines, over=60)
     return evaluate.sweep(gaps, "gap", (60, 90, 120, 180, 240), s.labels, lambda m, v: m > v, "JET-09")
 
 

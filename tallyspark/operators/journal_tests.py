@@ -150,6 +150,8 @@ def _entry_flags(entries: DataFrame, ids: Iterable[str], s: Settings, order: dic
             rules[i][1].alias("reason"), F.lit(order[i]).alias("test_order"), F.lit("").alias("account_code"),
             F.lit(0).alias("line_no")))
         for i in ids])
+    # most entries raise nothing: the conditions alone are tried before any reason is worded
+    facts = facts.filter(reduce(lambda a, b: a | b, [rules[i][0] for i in ids]))
     kept = facts.select("entry_id", F.filter(raised, lambda f: f.isNotNull()).alias("raised"))
     return kept.select("entry_id", F.inline("raised"))
 
@@ -161,27 +163,29 @@ def _line_flags(hit: DataFrame, test_id: str, reason: Column, order: int) -> Dat
                       F.lit(order).alias("test_order"), F.col("account_code"), F.col("line_no"))
 
 
-def dormancy_gaps(lines: DataFrame) -> DataFrame:
-    """Per account and active day: its first line and the whole days since the day before it.
+def dormancy_gaps(lines: DataFrame, over: float) -> DataFrame:
+    """The first line of every account's day that ends a quiet of more than ``over`` whole days.
 
-    Only a day's first line can follow a long quiet, so lines are reduced to one row per
-    account and calendar day (combined map-side) before the window: an account's partition is
-    as long as its calendar, however many lines it has.
+    Lines are first reduced to one row per account and calendar day by a hash aggregate over two
+    columns, so an account's window is as long as its calendar, however many lines it has. The
+    days that end a long quiet are few; only their lines are then looked at for the first one.
     """
-    days = lines.groupBy("account_code", F.col("posting_date").cast("date").alias("day")).agg(
-        F.min(F.struct("posting_date", "entered_at", "entry_id", "line_no", "account_name")).alias("first"),
-        F.max("posting_date").alias("last_posted"))
+    day = F.col("posting_date").cast("date")
+    days = lines.groupBy("account_code", day.alias("day")).agg(
+        F.min("posting_date").alias("first_posted"), F.max("posting_date").alias("last_posted"))
     w = Window.partitionBy("account_code").orderBy("day")
-    return days.withColumn("gap", F.timestamp_diff("DAY", F.lag("last_posted").over(w), F.col("first.posting_date")))
+    gap = F.timestamp_diff("DAY", F.lag("last_posted").over(w), F.col("first_posted"))
+    woken = settle(days.withColumn("gap", gap).filter(F.col("gap") > over).select("account_code", "day", "gap"), "woken")
+    near = attach(lines.withColumn("day", day), woken, ["account_code", "day"], "inner")
+    first = F.min(F.struct("posting_date", "entered_at", "entry_id", "line_no", "account_name")).alias("first")
+    return near.groupBy("account_code", "day", "gap").agg(first).select("account_code", "gap", "first.entry_id", "first.line_no", "first.account_name")
 
 
 def dormant_account(lines: DataFrame, days: int = 120, order: int = 8) -> DataFrame:
     if days < 0:
         raise LedgerError("dormant days must be 0 or more")
-    hit = (dormancy_gaps(lines).filter(F.col("gap") > days)
-           .select("account_code", "gap", F.col("first.entry_id").alias("entry_id"),
-                   F.col("first.line_no").alias("line_no"), F.col("first.account_name").alias("account_name")))
-    return _line_flags(hit, "JET-09", _reason("JET-09", F.col("account_code"), _shown("account_name"), F.col("gap")), order)
+    reason = _reason("JET-09", F.col("account_code"), _shown("account_name"), F.col("gap"))
+    return _line_flags(dormancy_gaps(lines, days), "JET-09", reason, order)
 
 
 def robust_z(lines: DataFrame, stats: DataFrame, min_amounts: int = 30) -> DataFrame:
