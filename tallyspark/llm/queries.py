@@ -8,8 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import dart_minhash, decision_lists, packing, pii
-
+from tallyspark.llm import (
+    bpe,
+    dart_minhash,
+    decision_lists,
+    lz_fingerprint,
+    packing,
+    pii,
+    quotes,
+    token_store,
+    warc,
+    window_lm,
+)
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -22,6 +34,28 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+def op3_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS).withColumn("ids_sha256", F.sha2("ids", 256))
+    return bpe.decode(ids, RANKS).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.edited_and_next(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = packing.pack_documents(docs, VOCABULARY, with_ids=False)
@@ -33,11 +67,18 @@ def op8_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_lists.judged(docs, labels, ["doc_id"]).select("doc_id", *decision_lists.COUNTS, "base_failed", "kept", "rule")
 
 
+def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = token_store.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_dart_minhash, op7_packing, op8_decision_lists, op10_bootstrapped_pii)
+    f.__name__: f for f in (
+        op1_dart_minhash, op2_quotation_links, op3_merge_replay, op4_pseudo_likelihood, op5_warc_index, op6_lz_fingerprint,
+        op7_packing, op8_decision_lists, op9_simple8b, op10_bootstrapped_pii)
 }
 ORACLES: dict[str, str] = {}
