@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import spans
 from tallyspark.llm.arrow import batches
-from tallyspark.plans.staging import settle
+from tallyspark.plans.staging import fits, settle
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 20, 5
+#: Coordinates of a signature, and how many of them make a band. Each coordinate is in two bands: one
+#: of its neighbours, one of those at equal steps from it.
+SIZE, ROWS = 128, 8
 #: Height of the first band of ranks; the following ones double what has been thrown.
 FIRST_RANK = 1 / 64
 _U = np.uint64
@@ -118,8 +120,8 @@ def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, n
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def signed(docs: DataFrame, keep: list[str], size: int = BANDS * ROWS, weight: str = "presence", words: int = WORDS) -> DataFrame:
-    """The columns ``keep`` of ``docs``, ``node`` (32 hex letters of the text's digest, null without
+def signed(docs: DataFrame, keep: list[str], size: int = SIZE, weight: str = "presence", words: int = WORDS) -> DataFrame:
+    """The columns ``keep`` of ``docs``, ``node`` (the text's digest, 16 bytes, null without
     words) and ``signature`` (4 bytes a coordinate). ``weight``: presence (1 a shingle, so plain
     Jaccard similarity) or count (how often it occurs)."""
 
@@ -141,9 +143,9 @@ def signed(docs: DataFrame, keep: list[str], size: int = BANDS * ROWS, weight: s
                 yield pa.record_batch([*(part.column(c) for c in keep), pa.array([s.tobytes() if h else None for s, h in zip(sign, has, strict=True)], pa.binary()),
                                        part.column("node")], names=[*keep, "signature", "node"])
 
-    rows = docs.select(*keep, "text", F.md5("text").alias("node"))
+    rows = docs.select(*keep, "text", F.unhex(F.md5("text")).alias("node"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep]
-    out = rows.mapInArrow(run, ", ".join([*fields, "signature binary", "node string"]))
+    out = rows.mapInArrow(run, ", ".join([*fields, "signature binary", "node binary"]))
     return out.withColumn("node", F.when(F.col("signature").isNotNull(), F.col("node")))
 
 
@@ -160,9 +162,9 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                     cut = np.searchsorted(owner, np.arange(len(some) + 1))
                     for i, node in enumerate(batch.column("node").slice(first, len(some)).to_pylist()):
                         yield node, np.unique(elements[cut[i]:cut[i + 1]]).tobytes()
-        yield from batches(rows(), pa.schema([("node", pa.string()), ("held", pa.binary())]))
+        yield from batches(rows(), pa.schema([("node", pa.binary()), ("held", pa.binary())]))
 
-    return texts.select("node", "text").mapInArrow(run, "node string, held binary")
+    return texts.select("node", "text").mapInArrow(run, "node binary, held binary")
 
 
 def _similar(pairs: DataFrame) -> DataFrame:
@@ -177,7 +179,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
                 out.append(both / (len(one) + len(two) - both))
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
-    return pairs.select("a", "b", "held_a", "held_b").mapInArrow(run, "a string, b string, similarity double")
+    return pairs.select("a", "b", "held_a", "held_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def _agreement(size: int) -> Column:
@@ -203,17 +205,32 @@ def classes_of(links: DataFrame) -> DataFrame:
             return label
 
 
-def _links(signs: DataFrame, docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+def _band_hashes(size: int, rows: int) -> list[Column]:
+    """A hash of each band of ``sign``."""
+    def part(coordinates) -> Column:
+        return F.xxhash64(F.concat(*(F.substring("sign", 4 * c + 1, 4) for c in coordinates)))
+    step = size // rows
+    return [F.xxhash64(F.substring("sign", 4 * rows * k + 1, 4 * rows)) for k in range(step)] + [part(range(k, size, step)) for k in range(step)]
+
+
+def _sets_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """The shingle sets of the texts ``asked`` (node) for. A list measured small is broadcast, so that
+    only its texts are shuffled; a larger one is joined."""
+    few = F.broadcast(asked) if fits(asked.select(F.hex("node").alias("node"))) else asked
+    texts = docs.select(F.unhex(F.md5("text")).alias("node"), "text").join(few, "node", "left_semi")
+    return settle(shingle_sets(texts.dropDuplicates(["node"])), "sets")
+
+
+def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows: int) -> DataFrame:
     """Links ``a``, ``b`` (similarity of at least ``threshold``) that span every class of texts."""
-    size, spark = bands * rows, signs.sparkSession
+    spark = signs.sparkSession
     nodes = signs.where("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("sign"))
     nodes = settle(nodes, "nodes")
-    band = F.posexplode(F.array(*(F.xxhash64(F.substring("sign", 4 * rows * k + 1, 4 * rows)) for k in range(bands))))
-    met = nodes.select("node", band.alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
+    met = nodes.select("node", F.posexplode(F.array(*_band_hashes(size, rows))).alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
     full = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = settle(met.join(full, "bucket"), "buckets")
-    links = tried = label = None
-    leaders = 1
+    links = tried = label = sets = None
+    turn = 0
     while True:
         held = members.withColumn("class", F.col("node"))
         if label is not None:
@@ -222,13 +239,14 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, bands: int, rows
         held = settle(held.join(mixed, "bucket"), "held")
         if held.isEmpty():
             break
-        if leaders == 1:
-            lead = held.groupBy("bucket").agg(F.min(F.struct("node", "class")).alias("l")).select("bucket", F.col("l.node").alias("a"), F.col("l.class").alias("lead_class"))
-        else:  # of the smallest classes of a bucket one text each
-            small = held.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.min("node").alias("a"))
-            order = Window.partitionBy("bucket").orderBy("n", "class")
-            lead = small.withColumn("k", F.row_number().over(order)).where(F.col("k") <= leaders).select("bucket", "a", F.col("class").alias("lead_class"))
-        lead = settle(lead, "leaders")
+        if turn == 0:
+            lead = held.groupBy("bucket").agg(F.min("node").alias("a"))
+        else:  # of the largest class, which takes most others in; then of the smallest, whose rest is met in full
+            sizes = held.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+            order = Window.partitionBy("bucket").orderBy(F.desc("n") if turn % 2 else F.asc("n"), "class", "node")
+            ranked = held.join(sizes, ["bucket", "class"]).withColumn("k", F.row_number().over(order))
+            lead = ranked.where(F.col("k") <= 4 ** ((turn + 1) // 2)).select("bucket", F.col("node").alias("a"))
+        lead = settle(lead.join(held.select("bucket", F.col("node").alias("a"), F.col("class").alias("lead_class")), ["bucket", "a"]), "leaders")
         pairs = held.join(lead, "bucket").where("class <> lead_class").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -237,21 +255,24 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, bands: int, rows
         pairs = settle(pairs, "met")
         near = settle(pairs.join(sign_b, "b").join(sign_a, "a").where(_agreement(size) >= margin).select("a", "b"), "near")
         asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = docs.select(F.md5("text").alias("node"), "text").join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        sets = settle(shingle_sets(texts), "sets")
+        if sets is not None:
+            asked = asked.join(sets.select("node"), "node", "left_anti")
+        new_sets = _sets_of(settle(asked, "asked"), docs)
+        sets = new_sets if sets is None else sets.union(new_sets)
         set_a, set_b = (sets.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
         new = settle(_similar(near.join(set_b, "b").join(set_a, "a")).where(F.col("similarity") >= threshold).select("a", "b"), "links")
         links = new if links is None else links.union(new)
         tried = pairs if tried is None else tried.union(pairs)
-        label = classes_of(links)
+        if not new.isEmpty():
+            label = classes_of(links)
         members = settle(held.join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node"), "buckets")
-        leaders *= 4
+        turn += 1
     if links is None:
-        return spark.createDataFrame([], "a string, b string")
+        return spark.createDataFrame([], "a binary, b binary")
     return links
 
 
-def near_duplicates(docs: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, bands: int = BANDS,
+def near_duplicates(docs: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, size: int = SIZE,
                     rows: int = ROWS) -> DataFrame:
     """The columns ``keep`` (by default doc_id) of every row of ``docs`` (doc_id, text; others are
     let be), ``node`` and ``class_id``: the least doc_id among the rows of its class.
@@ -263,8 +284,8 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, threshold: f
     a null class_id. An empty table gives an empty one.
     """
     keep = keep or ["doc_id"]
-    signs = settle(signed(docs, keep, bands * rows), "signatures")
-    label = classes_of(_links(signs, docs, threshold, bands, rows))
+    signs = settle(signed(docs, keep, size), "signatures")
+    label = classes_of(_links(signs, docs, threshold, size, rows))
     labelled = signs.drop("signature").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = labelled.where("node IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     few = labelled.join(least, "class", "left")
@@ -277,6 +298,6 @@ def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     found = near_duplicates(rows.select("_uid", "doc_id", "text"), ["_uid", "doc_id"], **how)
     one = found.where("node IS NOT NULL").groupBy("node", "class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")).alias("m"))
     # one row per text; then one text per class
-    kept = one.groupBy(F.coalesce(F.col("class_id").cast("string"), F.col("node")).alias("c")).agg(F.min("m").alias("m")).select(F.col("m._uid").alias("_uid"))
+    kept = one.groupBy(F.coalesce(F.col("class_id").cast("string"), F.hex("node")).alias("c")).agg(F.min("m").alias("m")).select(F.col("m._uid").alias("_uid"))
     alone = found.where("node IS NULL").select("_uid")
     return rows.join(kept.union(alone), "_uid", "left_semi").drop("_uid")
