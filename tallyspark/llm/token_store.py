@@ -178,7 +178,7 @@ def placed(files: DataFrame) -> DataFrame:
 def read_documents(files: DataFrame) -> DataFrame:
     """doc_id, start (ids of all rows before it), n_tokens and ids of every row, read from the files."""
     lists = files.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("first", "docs", "lengths"))).alias("lists"))
-    jobs = lists.join(placed(files), "file").repartition(max(1, files.sparkSession.sparkContext.defaultParallelism), "file")
+    jobs = lists.join(placed(files), "file").repartition(max(1, files.select("file").distinct().count()), "file")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():

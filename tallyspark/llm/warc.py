@@ -111,7 +111,8 @@ def read(selected: DataFrame) -> DataFrame:
     payload_bytes, payload_digest (both of the payload as fetched) and payload (null in a revisit).
     A response whose payload does not have its digest is an error."""
     jobs = selected.select("file", "offset", "length", F.floor(F.col("offset") / SPLIT).alias("_part"))
-    jobs = jobs.repartition("file", "_part").sortWithinPartitions("file", "offset")
+    splits = max(1, jobs.select("file", "_part").distinct().count())  # index rows are small, what they stand for is not
+    jobs = jobs.repartition(splits, "file", "_part").sortWithinPartitions("file", "offset")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
