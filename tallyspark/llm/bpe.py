@@ -22,7 +22,7 @@ from tallyspark.llm import pretokens, spans
 from tallyspark.llm.arrow import batches
 
 #: Code points of text whose distinct pieces are merged together.
-WINDOW = 24_000_000
+WINDOW = 8_000_000
 _NONE = np.int32(2**31 - 1)
 
 
