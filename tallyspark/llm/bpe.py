@@ -39,10 +39,16 @@ class Ranks:
         self.lengths = np.fromiter(map(len, words), np.int64, self.size)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.letters = np.frombuffer(b"".join(words), np.uint8)
+        self._ranks = ranks
+
+    def index_pairs(self) -> None:
+        """Lists the pairs that merge; decoding needs none."""
+        ranks = self._ranks
         pairs = {ranks[t[:k]] * self.size + ranks[t[k:]]: rank for t, rank in ranks.items()
                  for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.pairs = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[p] for p in self.pairs.tolist()], np.int32)
+        self._ranks = {}
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, _NONE where there is none."""
@@ -53,8 +59,12 @@ class Ranks:
 
 
 @lru_cache(2)
-def ranks(path: str) -> Ranks:
-    return Ranks(path)
+def ranks(path: str, pairs: bool = True) -> Ranks:
+    table = Ranks(path)
+    if pairs:
+        table.index_pairs()
+    table._ranks = {}
+    return table
 
 
 def replay(words: list[bytes], table: Ranks) -> tuple[np.ndarray, np.ndarray]:
@@ -196,13 +206,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     names = [c for c in encoded.columns if c not in ("ids", "decoded")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks(path)
+        table = ranks(path, pairs=False)
+
+        def read(ids: bytes | None) -> bytes | None:
+            if ids is None:
+                return None
+            ids = np.frombuffer(ids, "<u4")
+            return table.letters[spans.gather(table.offsets[ids], table.lengths[ids])].tobytes()
+
         for batch in parts:
-            out = []
-            for ids in batch.column("ids").to_pylist():
-                ids = None if ids is None else np.frombuffer(ids, "<u4")
-                out.append(None if ids is None else table.letters[spans.gather(table.offsets[ids], table.lengths[ids])].tobytes())
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "decoded"])
+            for first in range(0, batch.num_rows, 500):
+                some = batch.slice(first, 500)
+                out = [read(x.as_py()) for x in some.column("ids")]
+                yield pa.record_batch([*(some.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in encoded.schema.fields if f.name in names)
     return encoded.select(*names, "ids").mapInArrow(run, own + "decoded binary")
