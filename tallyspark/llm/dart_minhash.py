@@ -227,8 +227,11 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
     nodes = signs.where("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("sign"))
     nodes = settle(nodes, "nodes")
     met = nodes.select("node", F.posexplode(F.array(*_band_hashes(size, rows))).alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
-    full = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    full = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(met.join(full, "bucket"), "buckets")
+    # the text whose buckets are the fullest leads: in a group of copies edited apart, the one they were made from
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    members = settle(members.select("bucket", "node").join(degree, "node"), "buckets")
     links = tried = label = sets = None
     turn = 0
     while True:
@@ -240,10 +243,10 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
         if held.isEmpty():
             break
         if turn == 0:
-            lead = held.groupBy("bucket").agg(F.min("node").alias("a"))
+            lead = held.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("m")).select("bucket", F.col("m.node").alias("a"))
         else:  # of the largest class, which takes most others in; then of the smallest, whose rest is met in full
             sizes = held.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-            order = Window.partitionBy("bucket").orderBy(F.desc("n") if turn % 2 else F.asc("n"), "class", "node")
+            order = Window.partitionBy("bucket").orderBy(F.desc("n") if turn % 2 else F.asc("n"), "class", F.desc("degree"), "node")
             ranked = held.join(sizes, ["bucket", "class"]).withColumn("k", F.row_number().over(order))
             lead = ranked.where(F.col("k") <= 4 ** ((turn + 1) // 2)).select("bucket", F.col("node").alias("a"))
         lead = settle(lead.join(held.select("bucket", F.col("node").alias("a"), F.col("class").alias("lead_class")), ["bucket", "a"]), "leaders")
@@ -265,7 +268,7 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
         tried = pairs if tried is None else tried.union(pairs)
         if not new.isEmpty():
             label = classes_of(links)
-        members = settle(held.join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node"), "buckets")
+        members = settle(held.join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "degree"), "buckets")
         turn += 1
     if links is None:
         return spark.createDataFrame([], "a binary, b binary")
