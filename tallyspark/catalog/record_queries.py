@@ -190,9 +190,9 @@ def _(s: Staged) -> DataFrame:
     UNION ALL SELECT ledger_id, entry_id, confidence, model, summary, NULL, NULL FROM notes WHERE ledger_id = 'csv:a'""")
 def _(s: Staged) -> DataFrame:
     log = ReviewLog(s.spark, new_path(s.spark, "log"), LEDGER)
-    log.save_narratives(review.mine(s.notes, LEDGER).drop("id", "ledger_id", "generated_at"))
+    log.save_narratives(review.mine(s.notes, LEDGER).drop("ledger_id", "generated_at").withColumnRenamed("id", "made"), "made")
     fresh = review.mine(s.decisions, LEDGER).withColumn("narrative_id", F.lit(None).cast("bigint"))
-    log.record(fresh.drop("id", "ledger_id", "decided_at"))
+    log.record(fresh.drop("ledger_id", "decided_at").withColumnRenamed("id", "made"), "made")
     none = F.lit(None).cast("double")
     written = log.narratives.select("ledger_id", "entry_id", F.col("confidence").alias("decision"), F.col("model").alias("reviewer"),
                                     F.col("summary").alias("note"), none.alias("risk_score"), none.alias("model_score"))

@@ -53,6 +53,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{SPACES}|{SPACES}$", "")
+
+
 def one_line(text: Column) -> Column:
     """One line of visible text; null as nothing. Text that hides nothing is collapsed once."""
     def shown(line: Column) -> Column:
@@ -119,15 +124,21 @@ def sanitize_text(text: Column, realm_id: str, users: Mapping[str, str]) -> Colu
     return scrub_known(redact_emails(text), realm_id, users)
 
 
-_USER_FIELD = r'"(?:[A-Za-z]*By|UserName)"\s*:\s*"((?:[^"\\]|\\.)+)"'
-_USER_REF = r'"[A-Za-z]*ByRef"\s*:\s*\{[^{}]*?"(?:value|name)"\s*:\s*"((?:[^"\\]|\\.)+)"'
+_STRING = r'"((?:[^"\\]|\\.)+)"'
+_USER_FIELD = r'"(?:[A-Za-z]*By(?:Ref)?|UserName)"\s*:\s*' + _STRING
+_USER_OBJECT = r'"(?:[A-Za-z]*By(?:Ref)?|UserName)"\s*:\s*(\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\})'
+_USER_PART = r'"(?:value|name)"\s*:\s*' + _STRING
 
 
 def record_users(records: DataFrame, column: str) -> DataFrame:
-    """The user names a source's JSON records carry in fields ending By, ByRef or UserName."""
+    """The user names a source's JSON records carry: every value and name of a field ending By, ByRef
+    or UserName, whether text or an object, as written and with JSON escapes read."""
     text = F.col(column)
-    names = F.concat(F.regexp_extract_all(text, F.lit(_USER_FIELD), 1), F.regexp_extract_all(text, F.lit(_USER_REF), 1))
-    return records.select(F.explode(names).alias("name")).distinct()
+    objects = F.array_join(F.regexp_extract_all(text, F.lit(_USER_OBJECT), 1), ",")
+    names = F.concat(F.regexp_extract_all(text, F.lit(_USER_FIELD), 1), F.regexp_extract_all(objects, F.lit(_USER_PART), 1))
+    found = records.select(F.explode(names).alias("name"))
+    read = F.get_json_object(F.concat(F.lit('{"n":"'), "name", F.lit('"}')), "$.n")
+    return found.select(F.explode(F.array("name", F.coalesce(read, F.col("name")))).alias("name")).where("name <> ''").distinct()
 
 
 def stand_ins(names: DataFrame) -> DataFrame:
@@ -146,13 +157,25 @@ def sanitize_record(text: Column, realm_id: str, users: Mapping[str, str]) -> Co
     return sanitize_text(text, realm_id, users)
 
 
+#: Letters whose full case fold is longer than they are.
+_FOLDS = {chr(c): chr(c).casefold() for c in range(0x80, 0x20000) if len(chr(c).casefold()) > 1}
+
+
+def folded(text: Column) -> Column:
+    """Text without regard to case, "ß" as "ss" and the like."""
+    out = text
+    for letter, fold in _FOLDS.items():
+        out = F.replace(out, F.lit(letter), F.lit(fold))
+    return F.lower(F.when(text.rlike("[" + "".join(_FOLDS) + "]"), out).otherwise(text))
+
+
 def leftovers(text: Column, realm_id: str, users: Mapping[str, str]) -> Column:
     """What should be gone and is not, as an array of findings."""
-    folded = collapse(F.lower(text))
+    seen = collapse(folded(text))
     found = [F.when(text.contains(realm_id), "the realm id")] if realm_id else []
     for name in sorted(_names_to_scrub(users)):
-        wanted = "\\Q" + " ".join(name.lower().split()) + "\\E"
-        found.append(F.when(folded.rlike(rf"(?U)(?<!\w){wanted}(?!\w)"), f"a user name ({users[name]})"))
+        wanted = "\\Q" + " ".join(name.casefold().split()) + "\\E"
+        found.append(F.when(seen.rlike(rf"(?U)(?<!\w){wanted}(?!\w)"), f"a user name ({users[name]})"))
     return F.filter(F.array(*found), lambda f: f.isNotNull()) if found else F.array().cast("array<string>")
 
 

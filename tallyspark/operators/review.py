@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.functions.text import strip
 from tallyspark.plans.staging import beside
 from tallyspark.schema import DECISIONS, LedgerError
 
@@ -146,8 +147,8 @@ def decision_faults(batch: DataFrame, narratives: DataFrame, ledger_id: str) ->
     own = F.coalesce((F.col("_entry") == F.col("entry_id")) & (F.col("_ledger") == ledger_id), F.lit(False))
     checks = {
         "decision must be one of " + ", ".join(DECISIONS): ~F.coalesce(F.col("decision").isin(list(DECISIONS)), F.lit(False)),
-        "a decision must be attributable to a named reviewer": F.trim(F.coalesce("reviewer", F.lit(""))) == "",
-        "a decision must name an entry": F.trim(F.coalesce("entry_id", F.lit(""))) == "",
+        "a decision must be attributable to a named reviewer": strip(F.coalesce("reviewer", F.lit(""))) == "",
+        "a decision must name an entry": strip(F.coalesce("entry_id", F.lit(""))) == "",
         f"a narrative is not one for its entry in ledger {ledger_id}": F.col("narrative_id").isNotNull() & ~own,
     }
     found = [F.struct(F.lit(text).alias("problem"), F.count_if(rule).alias("rows"),

@@ -42,8 +42,8 @@ NEEDED_KEYS = ("tx_date", "txn_type", "debt_amt", "credit_amt")
 UNKNOWN_TYPE, UNKNOWN_USER = "Unknown", "qbo-unknown"
 ESTIMATED_HOUR = 12
 # End of fixed values.
-#: How deep report sections may nest; a deeper report is refused, never cut short.
-MAX_DEPTH = 5
+#: How deep report sections are unrolled at first; for deeper documents, twice as deep, and so on.
+FIRST_DEPTH = 5
 
 ACCOUNT_SCHEMA = "Id string, AcctNum string, Name string, FullyQualifiedName string, SubAccount boolean, Active boolean, Classification string"
 JOURNAL_SCHEMA = (
@@ -52,7 +52,7 @@ JOURNAL_SCHEMA = (
     "JournalEntryLineDetail: struct<PostingType: string, AccountRef: struct<value: string, name: string>>>>")
 
 
-def report_schema(depth: int = MAX_DEPTH) -> T.StructType:
+def report_schema(depth: int = FIRST_DEPTH) -> T.StructType:
     """A report's shape with its sections unrolled to ``depth``; anything below stays text."""
     cell = T.StructType([T.StructField("value", T.StringType()), T.StructField("id", T.StringType())])
     cells = T.ArrayType(cell)
@@ -270,7 +270,7 @@ def _too_deep(rows: Column, level: int, depth: int) -> Column:
     return F.exists(rows, lambda r: F.coalesce(_too_deep(r["Rows"]["Row"], level + 1, depth), F.lit(False)))
 
 
-def report_rows(reports: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def report_rows(reports: DataFrame, depth: int = FIRST_DEPTH) -> DataFrame:
     """Report documents (``doc_no``, ``report`` JSON text) as data rows: values by key, the
     transaction id, the account of the innermost section and the row's place."""
     parsed = reports.select("doc_no", F.from_json("report", report_schema(depth)).alias("r"))
@@ -298,8 +298,8 @@ def report_rows(reports: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
                    F.count_distinct(F.when(F.col("_deep"), F.col("doc_no"))).alias("deep")).first()
     if bad["missing"]:
         raise LedgerError(f"the GeneralLedger report has no {bad['missing']} column(s)")
-    if bad["deep"]:
-        raise LedgerError(f"{bad['deep']} report(s) nest sections deeper than {depth}")
+    if bad["deep"]:  # sections go deeper than they were unrolled
+        return report_rows(reports, 2 * depth)
     return flat.filter(F.col("path").isNotNull()).drop("_missing", "_deep")
 
 

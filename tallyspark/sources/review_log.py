@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tallyspark.functions.text import strip
 from tallyspark.operators import review
 from tallyspark.plans.staging import numbered, settle
 from tallyspark.schema import LedgerError
@@ -23,8 +24,10 @@ class ReviewLog:
     def _read(self, name: str, schema) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        except AnalysisException:  # nothing recorded yet
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as failed:
+            if failed.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # nothing recorded yet
 
     @property
     def decisions(self) -> DataFrame:
@@ -39,21 +42,31 @@ class ReviewLog:
         placed = numbered(rows, order, "id", top + 1)
         placed.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode("append").parquet(f"{self.folder}/{name}")
 
-    def record(self, batch: DataFrame) -> None:
-        """Append decisions; the whole batch is refused when any row is unfit."""
+    def _keyed(self, batch: DataFrame, order: str | None) -> DataFrame:
+        """``batch`` with ``_key``, the order its rows were made in: the column ``order``, or any where
+        no entry is there twice. The latest row of an entry counts, so a repeat without one is refused."""
+        if order is None and not batch.groupBy("entry_id").count().where("count > 1").isEmpty():
+            raise LedgerError("the batch has several rows of one entry; name the column that orders them")
+        return batch.withColumn("_key", F.col(order) if order else F.col("entry_id"))
+
+    def record(self, batch: DataFrame, order: str | None = None) -> None:
+        """Append decisions; the whole batch is refused when any row is unfit. ``order`` names the column
+        that says which decision of an entry came later."""
+        batch = self._keyed(batch, order)
         problems = review.decision_problems(batch, self.narratives, self.ledger_id)
         if problems:
             raise LedgerError("; ".join(problems))
         now = datetime.now(timezone.utc).isoformat(timespec="seconds")
-        rows = batch.withColumns({"ledger_id": F.lit(self.ledger_id), "reviewer": F.trim("reviewer"),
-                                  "decided_at": F.lit(now), "_key": F.uuid()})
-        self._append(settle(rows), "decisions", review.DECISION_SCHEMA, ["_key"])
+        rows = batch.withColumns({"ledger_id": F.lit(self.ledger_id), "reviewer": strip(F.col("reviewer")),
+                                  "decided_at": F.lit(now)})
+        self._append(settle(rows), "decisions", review.DECISION_SCHEMA, ["_key", "entry_id"])
 
-    def save_narratives(self, batch: DataFrame) -> None:
-        """Append notes as new versions; nothing is replaced."""
+    def save_narratives(self, batch: DataFrame, order: str | None = None) -> None:
+        """Append notes as new versions, in the order of the column ``order``; nothing is replaced."""
+        batch = self._keyed(batch, order)
         now = datetime.now(timezone.utc).isoformat(timespec="seconds")
-        rows = batch.withColumns({"ledger_id": F.lit(self.ledger_id), "generated_at": F.lit(now), "_key": F.uuid()})
-        self._append(settle(rows), "narratives", review.NARRATIVE_SCHEMA, ["_key"])
+        rows = batch.withColumns({"ledger_id": F.lit(self.ledger_id), "generated_at": F.lit(now)})
+        self._append(settle(rows), "narratives", review.NARRATIVE_SCHEMA, ["_key", "entry_id"])
 
     def adopt_legacy(self, entry_ids: DataFrame | None = None) -> None:
         """Copy legacy rows into this ledger as new rows; the originals stay."""

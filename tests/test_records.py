@@ -144,16 +144,27 @@ def test_a_pull_is_assembled_and_nothing_is_dropped_unsaid(spark):
     assert row == want
 
 
-def test_reports_without_columns_or_too_deep_are_refused(spark):
+def test_reports_without_columns_are_refused_and_deep_ones_read(spark):
     def rows(doc):
         return accounting.report_rows(spark.createDataFrame([(0, doc)], "doc_no bigint, report string"), depth=2)
 
     with pytest.raises(LedgerError, match="no debt_amt, credit_amt column"):
         rows(report(("1", "x", []), columns=("tx_date", "txn_type")))
-    deep = json.loads(report(("1", "x", [])))
-    deep["Rows"]["Row"][0]["Rows"]["Row"][0]["Rows"]["Row"].append({"type": "Section", "Rows": {"Row": []}})
-    with pytest.raises(LedgerError, match="deeper than 2"):
-        rows(json.dumps(deep))
+    def nested(levels):
+        deep = json.loads(report(("1", "x", [])))
+        inner = deep["Rows"]["Row"][0]
+        found = []
+        while inner.get("Rows", {}).get("Row"):
+            found = inner["Rows"]["Row"]
+            inner = found[0]
+        for _ in range(levels):
+            section = {"type": "Section", "Rows": {"Row": []}}
+            found.append(section)
+            found = section["Rows"]["Row"]
+        found.append({"type": "Data", "ColData": [{"value": str(k)} for k in range(9)]})
+        return json.dumps(deep)
+
+    assert [rows(nested(k)).where("tx_date = '0'").count() for k in (0, 3, 9)] == [1, 1, 1]
 
 
 def test_stamps(spark):
@@ -185,7 +196,7 @@ def test_the_log_appends_refuses_and_adopts(spark, tmp_path):
     log.record(decisions(spark, ("e1", "accept", " Ann ", ids[("e1", "first")]), ("e3", "dismiss", "Bob", None)))
     log.record(decisions(spark, ("e3", "escalate", "Bob", None)))
     with pytest.raises(LedgerError, match="must be one of.*named reviewer.*name an entry.*not one for its entry"):
-        log.record(decisions(spark, ("e1", "maybe", "x", None), ("e1", "accept", " ", None), ("", "accept", "x", None), ("e2", "accept", "x", ids[("e1", "first")])))
+        log.record(decisions(spark, ("e1", "maybe", "x", None), ("e1", "accept", " \t", None), ("", "accept", "x", None), ("e2", "accept", "x", ids[("e1", "first")])), "decision")
     with pytest.raises(LedgerError, match="not one for its entry"):
         ReviewLog(spark, str(tmp_path / "log"), "csv:b").record(decisions(spark, ("e1", "accept", "x", ids[("e1", "first")])))
     assert log.decisions.count() == 3 and log.decisions.agg(F.max("id")).first()[0] == 3
