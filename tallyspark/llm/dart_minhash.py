@@ -10,8 +10,12 @@ coordinate with the probability of their weighted Jaccard similarity.
 
 Exact copies count as one text. Texts that agree in a band meet in a bucket. A bucket is never
 paired with itself: in each round a few of its texts are leaders, which are checked against its
-other texts of other classes and then leave it, until no bucket holds two classes. Agreement of
-whole signatures rules out far pairs (by five standard deviations); shingle sets decide the rest.
+other texts of other classes and then leave it. After the first round the texts whose buckets still
+hold two classes are undecided; they meet again by their rarest shingles, enough of them that texts
+of the threshold's similarity must share one (a large group of texts edited apart from one text fills
+its bands' buckets, yet its members share only frequent shingles). Rounds go on until no bucket holds
+two classes. Agreement of whole signatures rules out far pairs (by five standard deviations); shingle
+sets decide the rest.
 """
 
 from __future__ import annotations
@@ -182,6 +186,47 @@ def _similar(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "held_a", "held_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def rare_buckets(sets: DataFrame, threshold: float) -> DataFrame:
+    """``bucket`` (a shingle that two or more texts have), ``node``, ``size`` (all its shingles) and
+    ``rank`` (the shingle's place among them) for the rarest shingles of each text, ties by hash. A text of n shingles shares at least threshold * n
+    with one of that similarity, so of its n - ceil(threshold * n) + 1 rarest one is among the other's
+    rarest too. Shingles of one text alone take their places and are left out."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            ids, held = batch.column("id").to_numpy(), batch.column("held")
+            for first in range(0, len(ids), 100):
+                some = [np.frombuffer(x.as_buffer(), np.int64) for x in held.slice(first, 100)]
+                size = np.array([len(x) for x in some])
+                yield pa.record_batch([pa.array(np.concatenate(some)), pa.array(np.repeat(ids[first:first + 100], size)), pa.array(np.repeat(size, size))], names=["bucket", "id", "size"])
+
+    named = sets.select("node", F.xxhash64("node").alias("id"), "held")
+    each = settle(named.select("id", "held").mapInArrow(run, "bucket bigint, id bigint, size bigint"), "shingles")
+    often = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    text = Window.partitionBy("id")
+    own = F.col("size") - F.count("*").over(text)
+    rank = F.row_number().over(text.orderBy("n", "bucket")) + own
+    placed = each.join(often, "bucket").withColumn("rank", rank)
+    rare = placed.where(F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-6) + 1)
+    return rare.join(named.select("id", "node"), "id").select("bucket", "node", "size", "rank")
+
+
+def _within_reach(threshold: float, other_size: Column, other_rank: Column | None = None) -> Column:
+    """Whether the shingles from ``rank`` on are enough for the similarity to a text of ``other_size``:
+    the rarest shingle that two texts share has at most so many shared ones after it in either."""
+    rest = F.col("size") - F.col("rank") + 1
+    if other_rank is not None:
+        rest = F.least(rest, other_size - other_rank + 1)
+    return rest >= threshold / (1 + threshold) * (F.col("size") + other_size) - 1e-6
+
+
+def _of_reach(members: DataFrame, threshold: float) -> DataFrame:
+    """The members that some text of their bucket's least size, or the least similar one, is in reach of."""
+    least = members.groupBy("bucket").agg(F.min("size").alias("least"))
+    other = F.greatest(F.col("least").cast("double"), threshold * F.col("size"))
+    return members.join(least, "bucket").where(_within_reach(threshold, other)).drop("least")
+
+
 def _agreement(size: int) -> Column:
     """The share of equal coordinates of the signatures ``sign_a`` and ``sign_b``."""
     same = F.lit(0)
@@ -221,6 +266,13 @@ def _sets_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
     return settle(shingle_sets(texts.dropDuplicates(["node"])), "sets")
 
 
+def _of_mixed_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The members, with their ``class``, of buckets that hold two classes or more."""
+    held = members.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    mixed = held.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("bucket")
+    return settle(held.join(mixed, "bucket"), "held")
+
+
 def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows: int) -> DataFrame:
     """Links ``a``, ``b`` (similarity of at least ``threshold``) that span every class of texts."""
     spark = signs.sparkSession
@@ -229,49 +281,48 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
     met = nodes.select("node", F.posexplode(F.array(*_band_hashes(size, rows))).alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
     full = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(met.join(full, "bucket"), "buckets")
+    margin = max(0.0, threshold - 5 * (threshold * (1 - threshold) / size) ** 0.5)
+    sign_a, sign_b = (nodes.select(F.col("node").alias(c), F.col("sign").alias(f"sign_{c}")) for c in "ab")
+
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        return settle(pairs.join(sign_b, "b").join(sign_a, "a").where(_agreement(size) >= margin).select("a", "b"), "near")
+
+    def similar(near: DataFrame, sets: DataFrame) -> DataFrame:
+        set_a, set_b = (sets.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
+        return settle(_similar(near.join(set_b, "b").join(set_a, "a")).where(F.col("similarity") >= threshold).select("a", "b"), "links")
+
     # the text whose buckets are the fullest leads: in a group of copies edited apart, the one they were made from
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     members = settle(members.select("bucket", "node").join(degree, "node"), "buckets")
-    links = tried = label = sets = None
-    turn = 0
-    while True:
-        held = members.withColumn("class", F.col("node"))
-        if label is not None:
-            held = members.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        mixed = held.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("bucket")
-        held = settle(held.join(mixed, "bucket"), "held")
-        if held.isEmpty():
-            break
-        if turn == 0:
-            lead = held.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("m")).select("bucket", F.col("m.node").alias("a"))
-        else:  # of the largest class, which takes most others in; then of the smallest, whose rest is met in full
-            sizes = held.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-            order = Window.partitionBy("bucket").orderBy(F.desc("n") if turn % 2 else F.asc("n"), "class", F.desc("degree"), "node")
-            ranked = held.join(sizes, ["bucket", "class"]).withColumn("k", F.row_number().over(order))
-            lead = ranked.where(F.col("k") <= 4 ** ((turn + 1) // 2)).select("bucket", F.col("node").alias("a"))
-        lead = settle(lead.join(held.select("bucket", F.col("node").alias("a"), F.col("class").alias("lead_class")), ["bucket", "a"]), "leaders")
-        pairs = held.join(lead, "bucket").where("class <> lead_class").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        sign_a, sign_b = (nodes.select(F.col("node").alias(c), F.col("sign").alias(f"sign_{c}")) for c in "ab")
-        margin = max(0.0, threshold - 5 * (threshold * (1 - threshold) / size) ** 0.5)
+    lead = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("m")).select("bucket", F.col("m.node").alias("a"))
+    pairs = members.join(lead, "bucket").where("node <> a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
+    tried = settle(pairs, "met")
+    near = agreeing(tried)
+    sets = _sets_of(settle(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked"), docs)
+    links = similar(near, sets)
+    label = classes_of(links)
+    held = _of_mixed_buckets(members, label)
+    undecided = settle(held.select("node", "degree").distinct(), "undecided")
+    sets = sets.join(undecided, "node", "left_semi").union(_sets_of(undecided.select("node").join(sets, "node", "left_anti"), docs))
+    members = settle(rare_buckets(sets, threshold).join(undecided, "node"), "buckets")
+    turn = 1
+    while not (held := _of_mixed_buckets(_of_reach(members, threshold), label)).isEmpty():
+        # of the largest class, which takes most others in; then of the smallest, whose rest is met in full
+        sizes = held.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+        order = Window.partitionBy("bucket").orderBy(F.desc("n") if turn % 2 else F.asc("n"), "class", F.desc("degree"), "node")
+        ranked = held.join(sizes, ["bucket", "class"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= 4 ** ((turn + 1) // 2))
+        lead = settle(ranked.select("bucket", F.col("node").alias("a"), F.col("class").alias("lead_class"), F.col("size").alias("lead_size"), F.col("rank").alias("lead_rank")), "leaders")
+        reach = _within_reach(threshold, F.col("lead_size"), F.col("lead_rank"))
+        pairs = held.join(lead, "bucket").where((F.col("class") != F.col("lead_class")) & reach)
+        pairs = pairs.select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, "met")
-        near = settle(pairs.join(sign_b, "b").join(sign_a, "a").where(_agreement(size) >= margin).select("a", "b"), "near")
-        asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if sets is not None:
-            asked = asked.join(sets.select("node"), "node", "left_anti")
-        new_sets = _sets_of(settle(asked, "asked"), docs)
-        sets = new_sets if sets is None else sets.union(new_sets)
-        set_a, set_b = (sets.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
-        new = settle(_similar(near.join(set_b, "b").join(set_a, "a")).where(F.col("similarity") >= threshold).select("a", "b"), "links")
-        links = new if links is None else links.union(new)
-        tried = pairs if tried is None else tried.union(pairs)
+        new = similar(agreeing(pairs), sets)
+        tried = tried.union(pairs)
         if not new.isEmpty():
+            links = links.union(new)
             label = classes_of(links)
-        members = settle(held.join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "degree"), "buckets")
+        members = settle(held.join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").drop("class"), "buckets")
         turn += 1
-    if links is None:
-        return spark.createDataFrame([], "a binary, b binary")
     return links
 
 
