@@ -197,18 +197,17 @@ def rare_buckets(sets: DataFrame, threshold: float) -> DataFrame:
             ids, held = batch.column("id").to_numpy(), batch.column("held")
             for first in range(0, len(ids), 100):
                 some = [np.frombuffer(x.as_buffer(), np.int64) for x in held.slice(first, 100)]
-                size = np.array([len(x) for x in some])
-                yield pa.record_batch([pa.array(np.concatenate(some)), pa.array(np.repeat(ids[first:first + 100], size)), pa.array(np.repeat(size, size))], names=["bucket", "id", "size"])
+                yield pa.record_batch([pa.array(np.concatenate(some)), pa.array(np.repeat(ids[first:first + 100], [len(x) for x in some]))], names=["bucket", "id"])
 
     named = sets.select("node", F.xxhash64("node").alias("id"), "held")
-    each = settle(named.select("id", "held").mapInArrow(run, "bucket bigint, id bigint, size bigint"), "shingles")
+    each = named.select("id", "held").mapInArrow(run, "bucket bigint, id bigint")  # read twice, which costs less than its rows on disk
     often = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     text = Window.partitionBy("id")
-    own = F.col("size") - F.count("*").over(text)
-    rank = F.row_number().over(text.orderBy("n", "bucket")) + own
-    placed = each.join(often, "bucket").withColumn("rank", rank)
-    rare = placed.where(F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-6) + 1)
-    return rare.join(named.select("id", "node"), "id").select("bucket", "node", "size", "rank")
+    placed = each.join(often, "bucket").withColumns({"place": F.row_number().over(text.orderBy("n", "bucket")), "shared": F.count("*").over(text)})
+    sized = named.select("id", "node", F.expr("octet_length(held) div 8").alias("size"))
+    ranked = placed.join(sized, "id").withColumn("rank", F.col("place") + F.col("size") - F.col("shared"))
+    rare = ranked.where(F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-6) + 1)
+    return rare.select("bucket", "node", "size", "rank")
 
 
 def _within_reach(threshold: float, other_size: Column, other_rank: Column | None = None) -> Column:
