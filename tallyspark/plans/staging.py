@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,10 +51,35 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     branches share one computation, and gives Catalyst real sizes, column pruning and pushdown.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(_nullable(df.schema)).parquet(path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when its write has ended: the stage is read from
+    then on, so they would only fill the executors' disks until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete the files of settled stages that nothing reads any more. Other files are let be."""
+    for stage in stages:
+        spark = stage.sparkSession
+        own = f"/tallyspark/{spark.sparkContext.applicationId}/"
+        for path in {f.rpartition("/")[0] for f in stage.inputFiles()}:
+            if own in path:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import statistics
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,15 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         staging.shared_folder(Session())
+
+
+def test_a_settled_stage_leaves_no_shuffle_and_can_be_discarded(spark):
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    stage = staging.settle(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    assert tracker.shuffleStatuses().size() <= before
+    assert stage.count() == 7
+    folder = Path(stage.inputFiles()[0].removeprefix("file://")).parent
+    given = spark.read.parquet("/root/testdata/sf0.001/region.parquet")
+    staging.discard(stage, given)
+    assert not folder.exists() and given.count() == 5
