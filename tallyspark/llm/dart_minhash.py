@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import spans
 from tallyspark.llm.arrow import batches
-from tallyspark.plans.staging import fits, settle
+from tallyspark.plans.staging import discard, fits, settle
 
 WORDS, THRESHOLD = 5, 0.8
 #: Coordinates of a signature, and how many of them make a band. Each coordinate is in two bands: one
@@ -244,8 +244,10 @@ def classes_of(links: DataFrame) -> DataFrame:
         step = label.join(near, "node").select("node", F.col("class").alias("was"), F.least("class", "m").alias("m"))
         up = label.select(F.col("node").alias("m"), F.col("class").alias("up"))
         after = settle(step.join(up, "m").select("node", "was", F.least("m", "up").alias("class")), "classes")
+        discard(label)
         label = after.select("node", "class")
         if after.where("was <> class").isEmpty():
+            discard(both)
             return label
 
 
@@ -292,16 +294,19 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
 
     # the text whose buckets are the fullest leads: in a group of copies edited apart, the one they were made from
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = settle(members.select("bucket", "node").join(degree, "node"), "buckets")
+    plain, members = members, settle(members.select("bucket", "node").join(degree, "node"), "buckets")
+    discard(plain)
     lead = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("m")).select("bucket", F.col("m.node").alias("a"))
     pairs = members.join(lead, "bucket").where("node <> a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
     tried = settle(pairs, "met")
     near = agreeing(tried)
-    sets = _sets_of(settle(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked"), docs)
+    asked = settle(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    sets = _sets_of(asked, docs)
     links = similar(near, sets)
     label = classes_of(links)
     held = _of_mixed_buckets(members, label)
     undecided = settle(held.select("node", "degree").distinct(), "undecided")
+    discard(members, near, asked, held)
     sets = sets.join(undecided, "node", "left_semi").union(_sets_of(undecided.select("node").join(sets, "node", "left_anti"), docs))
     members = settle(rare_buckets(sets, threshold).join(undecided, "node"), "buckets")
     turn = 1
@@ -315,12 +320,16 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
         pairs = held.join(lead, "bucket").where((F.col("class") != F.col("lead_class")) & reach)
         pairs = pairs.select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, "met")
-        new = similar(agreeing(pairs), sets)
+        near = agreeing(pairs)
+        new = similar(near, sets)
         tried = tried.union(pairs)
         if not new.isEmpty():
             links = links.union(new)
-            label = classes_of(links)
-        members = settle(held.join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").drop("class"), "buckets")
+            before, label = label, classes_of(links)
+            discard(before)
+        left = settle(held.join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").drop("class"), "buckets")
+        discard(members, held, lead, near)
+        members = left
         turn += 1
     return links
 
