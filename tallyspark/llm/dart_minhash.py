@@ -267,6 +267,15 @@ def _sets_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
     return settle(shingle_sets(texts.dropDuplicates(["node"])), "sets")
 
 
+def _named(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``table`` (by node) that ``pairs`` name. Where their list is measured small, it is
+    broadcast and no other row is shuffled for the pairs; a larger one leaves that to their join."""
+    asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    if fits(asked.select(F.hex("node").alias("node"))):
+        return table.join(F.broadcast(asked), "node", "left_semi")
+    return table
+
+
 def _of_mixed_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
     """The members, with their ``class``, of buckets that hold two classes or more."""
     held = members.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -283,9 +292,9 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
     full = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(met.join(full, "bucket"), "buckets")
     margin = max(0.0, threshold - 5 * (threshold * (1 - threshold) / size) ** 0.5)
-    sign_a, sign_b = (nodes.select(F.col("node").alias(c), F.col("sign").alias(f"sign_{c}")) for c in "ab")
 
-    def agreeing(pairs: DataFrame) -> DataFrame:
+    def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        sign_a, sign_b = (nodes.select(F.col("node").alias(c), F.col("sign").alias(f"sign_{c}")) for c in "ab")
         return settle(pairs.join(sign_b, "b").join(sign_a, "a").where(_agreement(size) >= margin).select("a", "b"), "near")
 
     def similar(near: DataFrame, sets: DataFrame) -> DataFrame:
@@ -299,7 +308,7 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
     lead = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("m")).select("bucket", F.col("m.node").alias("a"))
     pairs = members.join(lead, "bucket").where("node <> a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
     tried = settle(pairs, "met")
-    near = agreeing(tried)
+    near = agreeing(tried, nodes)
     asked = settle(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
     sets = _sets_of(asked, docs)
     links = similar(near, sets)
@@ -320,8 +329,8 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
         pairs = held.join(lead, "bucket").where((F.col("class") != F.col("lead_class")) & reach)
         pairs = pairs.select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, "met")
-        near = agreeing(pairs)
-        new = similar(near, sets)
+        near = agreeing(pairs, _named(nodes, pairs))
+        new = similar(near, _named(sets, near))
         tried = tried.union(pairs)
         if not new.isEmpty():
             links = links.union(new)
