@@ -1,11 +1,12 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Four patterns find the base spans. The words with a digit are the instances; those that hold a base
-match are the seeds. An instance's context gives lexical patterns: the word before it with its
-shape, the word after it with its shape, and both words. On the graph of patterns and instances a
-pattern is worth the mean score of its instances, and an instance the mean worth of its patterns
-(those that other instances have too); seeds stay at 1. After a few rounds, instances with a pattern of high worth and a high score of
-their own are personal data too, wherever they stand.
+match are the seeds, where they do. An instance's context gives lexical patterns: the word before it,
+the word after it, and both words, alone and with its shape. On the graph of patterns and instances a
+pattern is worth the mean score of its instances; an instance has the mean of its contexts, each at
+the worth of its best pattern. Seeds stay at 1; patterns with too few seeds say nothing for or
+against. After a few rounds, instances with a pattern of high worth and a high score of their own
+are personal data too, wherever they stand.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.plans.staging import settle
+from tallyspark.plans.staging import attach, fits, settle
 
 #: Kinds in their order, and their patterns. A run of the leading class is tried from its first
 #: letter only, and runs are possessive: the same matches without going back over long runs.
@@ -99,28 +100,50 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def discovered(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``word`` of the instances of ``rows`` (_row, instances, base) that the contexts give away."""
+def occurrences(rows: DataFrame) -> DataFrame:
+    """``word``, ``seed`` (whether it holds part of a base span there), ``before`` and ``after`` of the instances of ``rows``."""
     one = rows.where(F.size("instances") > 0).select("base", F.explode("instances").alias("x")).select("base", "x.*")
     seed = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    shape = _shape(F.col("word"))
-    contexts = F.array(F.concat_ws("|", F.lit("before"), "before", shape), F.concat_ws("|", F.lit("after"), "after", shape),
-                       F.concat_ws("|", F.lit("both"), "before", "after"))
-    edges = one.select("word", seed.cast("int").alias("seed"), F.explode(contexts).alias("pattern"))
-    edges = settle(edges.groupBy("word", "pattern").agg(F.max("seed").alias("seed")), "contexts")
-    score = settle(edges.groupBy("word").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed")), "scores")
+    return one.select("word", seed.alias("seed"), "before", "after")
+
+
+def _patterns() -> Column:
+    """The hashes of an occurrence's patterns: the word before, the word after and both, each of them
+    alone and, for words with a digit, with the word's shape."""
+    sides = (("before", ["before"]), ("after", ["after"]), ("both", ["before", "after"]))
+    plain = [F.xxhash64(F.lit(name), *cols) for name, cols in sides]
+    shaped = [F.xxhash64(F.lit(name), *cols, _shape(F.col("word"))) for name, cols in sides]
+    return F.when(F.col("word").rlike("[0-9]"), F.array(*plain, *shaped)).otherwise(F.array(*plain))
+
+
+def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``word`` of those of ``found`` (:func:`occurrences`) that the contexts give away where they are no
+    seeds. Only patterns with LEAST_SEEDS seeds are evidence. A context counts as its worthiest such
+    pattern, a context without one does not count, and a word's score is the mean of its contexts."""
+    seeds = found.where("seed").select("word", F.explode(_patterns()).alias("pattern")).groupBy("pattern").agg(F.count_distinct("word").alias("seeds"))
+    seeds = settle(seeds.where(F.col("seeds") >= LEAST_SEEDS), "seed-patterns")
+    small = fits(seeds)
+    # what stands in a pattern with seeds stands in that of its word before or after alone
+    for side in ("before", "after"):
+        names = seeds.select(F.col("pattern").alias(f"_{side}"))
+        found = found.join(F.broadcast(names) if small else names, F.xxhash64(F.lit(side), side) == F.col(f"_{side}"), "left")
+    contexts = found.where("NOT seed AND (_before IS NOT NULL OR _after IS NOT NULL)").select("word", "before", "after").distinct()
+    edges = contexts.select("word", F.xxhash64("before", "after").alias("context"), F.explode(_patterns()).alias("pattern"))
+    edges = settle(edges.join(F.broadcast(seeds) if small else seeds, "pattern", "left_semi"), "contexts")
+    pairs = settle(edges.select("word", "pattern").distinct(), "pairs")
+    score = settle(pairs.groupBy("word").agg(F.lit(0.0).alias("score"), F.lit(0.0).alias("best")), "scores")
     for _ in range(rounds):
-        worth = settle(edges.drop("seed").join(score, "word").groupBy("pattern").agg(
-            (F.sum("score") / (F.count("*") + 1)).alias("worth"), F.sum("seed").alias("seeds"), F.count("*").alias("n")).where("n > 1"), "patterns")
-        trusted = F.when(F.col("seeds") >= LEAST_SEEDS, F.col("worth")).otherwise(0.0)
-        each = edges.join(worth, "pattern").groupBy("word").agg(F.max("seed").alias("seed"), F.avg(trusted).alias("mean"), F.max(trusted).alias("best"))
-        score = settle(each.select("word", "seed", "best", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("mean")).alias("score")), "scores")
-    return score.where(F.col("seed") == 0).where((F.col("best") >= PATTERN_WORTH) & (F.col("score") >= INSTANCE_SCORE)).select("word")
+        others = attach(pairs, score, ["word"], spread="pattern").groupBy("pattern").agg(F.sum("score").alias("more"), F.count("*").alias("n"))
+        worth = settle(seeds.join(others, "pattern").select(
+            "pattern", ((F.col("seeds") + F.col("more")) / (F.col("seeds") + F.col("n") + 1)).alias("worth")), "patterns")
+        each = attach(edges, worth, ["pattern"], spread="word").groupBy("word", "context").agg(F.max("worth").alias("worth"))
+        score = settle(each.groupBy("word").agg(F.avg("worth").alias("score"), F.max("worth").alias("best")), "scores")
+    return score.where((F.col("best") >= PATTERN_WORTH) & (F.col("score") >= INSTANCE_SCORE)).select("word")
 
 
 def _found(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``rows`` (_row, keep, base, instances) with ``extra``, the spans the contexts add."""
-    words = settle(discovered(rows), "found")
+    words = settle(discovered(occurrences(rows)), "found")
     some = rows.where(F.size("instances") > 0).select("_row", F.explode("instances").alias("x")).select("_row", "x.start", "x.end", "x.word")
     extra = some.join(words, "word").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(
         "start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(FOUND).alias("kind")))).alias("extra"))

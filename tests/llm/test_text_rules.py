@@ -57,6 +57,15 @@ def test_contexts_find_unseen(spark):
     assert out[100] == "context:16:30" and out[101] == ""
 
 
+def test_contexts_find_many_unseen_of_one_form(spark):
+    rows = [(i, f"please write to user{i}@mail.example.com today about case {i}") for i in range(40)]
+    rows += [(100 + i, f"please write to name{i}@intranet today about it") for i in range(20)]
+    rows += [(200, "card 4111 1111 1111 1111"), (201, "please write to 1111 today about it")]
+    rows += [(300 + i, f"go to page{i} now") for i in range(2)]
+    out = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[100 + i] == f"context:16:{29 + len(str(i))}" for i in range(20)) and "context:16:20" in out[201]
+
+
 def test_redacted(docs, odd_texts):
     out = pii.redacted(docs)
     assert out.columns == docs.columns
