@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Four patterns find the base spans. The words with a digit are the instances; those that hold a base
-match are the seeds, where they do. An instance's context gives lexical patterns: the word before it,
+Four patterns find the base spans. All words between white space are instances; those that hold a
+part of a base match are the seeds, where they do. An instance's context gives lexical patterns: the word before it,
 the word after it, and both words, alone and with its shape. On the graph of patterns and instances a
 pattern is worth the mean score of its instances; an instance has the mean of its contexts, each at
 the worth of its best pattern. Seeds stay at 1; patterns with too few seeds say nothing for or
@@ -25,7 +25,7 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-INSTANCE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+WORD, BLANKS = r"\S+", r"\s+"
 FOUND = "context"
 ROUNDS, LEAST_SEEDS, PATTERN_WORTH, INSTANCE_SCORE = 3, 5, 0.9, 0.8
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -40,7 +40,7 @@ def _sums(lengths: str, block: int = 256) -> str:
             f"'o', array_append(a.o, slice({small}, 2, {block}))), a -> a.o))")
 
 
-def _places(df: DataFrame, name: str, pattern: str, needs: str, keep_gaps: bool = False) -> DataFrame:
+def _places(df: DataFrame, name: str, pattern: str | Column, needs: str) -> DataFrame:
     """``df`` (with _t) and ``name``: an array of (start, end, word) of the matches in order, in code points."""
     lit = F.lit(pattern)
     match, gap, length, total = (f"_{name}_{x}" for x in ("m", "g", "l", "p"))
@@ -49,14 +49,8 @@ def _places(df: DataFrame, name: str, pattern: str, needs: str, keep_gaps: bool
     df = df.withColumn(gap, F.when(F.size(match) > 0, F.split("_t", pattern)).otherwise(F.array().cast("array<string>")))
     df = df.withColumn(length, F.expr(f"flatten(transform({match}, (m, k) -> array(length(get({gap}, k)), length(m))))"))
     df = df.withColumn(total, F.expr(f"CASE WHEN size({match}) = 0 THEN CAST(array() AS array<int>) ELSE {_sums(length)} END"))
-    around = ""
-    if keep_gaps:
-        def word(side: str, k: str, take: str) -> str:
-            clean = f"translate(coalesce(get({gap}, {k}), ''), '\\t\\n\\u000b\\f\\r', '     ')"
-            return f"'{side}', lower(substring_index({take}({clean}), ' ', {'-1' if take == 'rtrim' else '1'}))"
-        around = f", {word('before', 'k', 'rtrim')}, {word('after', 'k + 1', 'ltrim')}"
     df = df.withColumn(name, F.expr(
-        f"transform({match}, (m, k) -> named_struct('start', get({total}, 2 * k), 'end', get({total}, 2 * k + 1), 'word', m{around}))"))
+        f"transform({match}, (m, k) -> named_struct('start', get({total}, 2 * k), 'end', get({total}, 2 * k + 1), 'word', m))"))
     return df.drop(match, gap, length, total)
 
 
@@ -87,24 +81,36 @@ def _count(kind: str) -> Column:
 
 
 def base_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, and per row the array ``base`` of valid spans by start and kind, and ``instances``."""
-    step = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_t"))
+    """``keep``, and per row ``text`` and the array ``base`` of valid spans by start and kind."""
+    step = docs.select(*dict.fromkeys([*keep, "text"]), F.coalesce("text", F.lit("")).alias("_t"))
     for kind, pattern in KINDS.items():
         step = _places(step, f"_{kind}", pattern, NEEDS[kind])
-    step = _places(step, "_instances", INSTANCE, "[0-9]", keep_gaps=True).drop("_t")
     spans = [_of_kind(rank, kind) for rank, kind in enumerate(KINDS)]
-    return step.select(*keep, F.sort_array(F.concat(*spans)).cast(_SPAN).alias("base"), F.col("_instances").alias("instances"))
+    return step.select(*dict.fromkeys([*keep, "text"]), F.sort_array(F.concat(*spans)).cast(_SPAN).alias("base"))
 
 
 def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _nth_words(span: Column) -> Column:
+    """The numbers, from 0, of the words of ``text`` that hold a part of ``span``; a span begins and ends within words."""
+    first, last = (F.regexp_count(F.substring("text", F.lit(1), upto), F.lit(WORD)) - 1 for upto in (span["start"] + 1, span["end"]))
+    return F.sequence(first, last)
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
-    """``word``, ``seed`` (whether it holds part of a base span there), ``before`` and ``after`` of the instances of ``rows``."""
-    one = rows.where(F.size("instances") > 0).select("base", F.explode("instances").alias("x")).select("base", "x.*")
-    seed = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return one.select("word", seed.alias("seed"), "before", "after")
+    """``word``, ``seed`` (whether it holds part of a base span there), ``before`` and ``after`` (in lower case,
+    empty at an end of the text) of every word of ``rows`` (text, base)."""
+    words = F.filter(F.split("text", BLANKS), lambda w: w != "")
+    held = rows.where(F.size("base") > 0).select(words.alias("_s"), F.array_distinct(F.flatten(F.transform("base", _nth_words))).alias("_n"))
+    # the numbers as a variable of their own, worked out once per row rather than per word
+    held = held.select(F.flatten(F.transform(F.array("_n"), lambda n: F.transform("_s", lambda w, k: F.struct(w.alias("word"), F.array_contains(n, k).alias("seed"))))).alias("_w"))
+    rest = rows.where((F.size("base") == 0) & (F.length("text") > 0)).select(words.alias("_s"))
+    rest = rest.select(F.transform("_s", lambda w: F.struct(w.alias("word"), F.lit(False).alias("seed"))).alias("_w"))
+    around = "transform(_w, (w, k) -> named_struct('word', w.word, 'seed', w.seed, 'before', coalesce(lower(get(_w, k - 1).word), ''), 'after', coalesce(lower(get(_w, k + 1).word), '')))"
+    # outer: what explode drops would be filtered by the array written out, inside its own lambda too
+    return held.unionByName(rest).select(F.expr(around).alias("_x")).select(F.explode_outer("_x").alias("x")).select("x.*").where("word IS NOT NULL")
 
 
 def _patterns() -> Column:
@@ -116,20 +122,21 @@ def _patterns() -> Column:
     return F.when(F.col("word").rlike("[0-9]"), F.array(*plain, *shaped)).otherwise(F.array(*plain))
 
 
-def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``word`` of those of ``found`` (:func:`occurrences`) that the contexts give away where they are no
-    seeds. Only patterns with LEAST_SEEDS seeds are evidence. A context counts as its worthiest such
-    pattern, a context without one does not count, and a word's score is the mean of its contexts."""
-    seeds = found.where("seed").select("word", F.explode(_patterns()).alias("pattern")).groupBy("pattern").agg(F.count_distinct("word").alias("seeds"))
-    seeds = settle(seeds.where(F.col("seeds") >= LEAST_SEEDS), "seed-patterns")
-    small = fits(seeds)
+def discovered(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``word`` of those of ``rows`` (text, base) that the contexts give away where they are no seeds.
+    Only patterns with LEAST_SEEDS seeds are evidence, so only what stands in one of them is kept of
+    the corpus. A context counts as its worthiest such pattern, a context without one does not count,
+    and a word's score is the mean of its contexts."""
+    seeds = occurrences(rows.where(F.size("base") > 0)).where("seed").select("word", F.explode_outer(_patterns()).alias("pattern"))
+    seeds = settle(seeds.groupBy("pattern").agg(F.count_distinct("word").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS), "seed-patterns")
+    small, found = fits(seeds), occurrences(rows)
     # what stands in a pattern with seeds stands in that of its word before or after alone
     for side in ("before", "after"):
-        names = seeds.select(F.col("pattern").alias(f"_{side}"))
-        found = found.join(F.broadcast(names) if small else names, F.xxhash64(F.lit(side), side) == F.col(f"_{side}"), "left")
-    contexts = found.where("NOT seed AND (_before IS NOT NULL OR _after IS NOT NULL)").select("word", "before", "after").distinct()
-    edges = contexts.select("word", F.xxhash64("before", "after").alias("context"), F.explode(_patterns()).alias("pattern"))
-    edges = settle(edges.join(F.broadcast(seeds) if small else seeds, "pattern", "left_semi"), "contexts")
+        names = seeds.select(F.col("pattern").alias("_key"), F.lit(True).alias(f"_{side}"))
+        found = attach(found.withColumn("_key", F.xxhash64(F.lit(side), side)), names, ["_key"], spread="word", small=small).drop("_key")
+    contexts = found.where("NOT seed AND (_before OR _after)").select("word", "before", "after").distinct()
+    edges = contexts.select("word", F.xxhash64("before", "after").alias("context"), F.explode_outer(_patterns()).alias("pattern"))
+    edges = settle(attach(edges, seeds.select("pattern"), ["pattern"], "inner", spread="word", small=small), "contexts")
     pairs = settle(edges.select("word", "pattern").distinct(), "pairs")
     score = settle(pairs.groupBy("word").agg(F.lit(0.0).alias("score"), F.lit(0.0).alias("best")), "scores")
     for _ in range(rounds):
@@ -142,14 +149,18 @@ def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def _found(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``rows`` (_row, keep, base, instances) with ``extra``, the spans the contexts add."""
-    words = settle(discovered(occurrences(rows)), "found")
-    some = rows.where(F.size("instances") > 0).select("_row", F.explode("instances").alias("x")).select("_row", "x.start", "x.end", "x.word")
-    extra = some.join(words, "word").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(
-        "start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(FOUND).alias("kind")))).alias("extra"))
-    joined = rows.drop("instances").join(extra, "_row", "left")
-    apart = F.filter("extra", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    return joined.select("_row", *keep, "base", F.coalesce(apart, F.array().cast(_SPAN)).alias("extra"))
+    """``rows`` (_row, keep, text, base) with ``extra``, the spans the contexts add."""
+    words = settle(discovered(rows), "found")
+    small = fits(words)
+    each = rows.where(F.length("text") > 0).select("_row", F.explode_outer(F.array_distinct(F.split("text", BLANKS))).alias("word"))
+    has = each.join(F.broadcast(words) if small else words, "word", "left_semi").groupBy("_row").agg(F.collect_set("word").alias("_has"))
+    # only the rows that hold such a word are read for its places
+    some = rows.select("_row", F.col("text").alias("_t"), "base").join(settle(has, "holding"), "_row")
+    literal = F.transform("_has", lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit(r"\E\\E\Q")), F.lit("\\E")))
+    some = _places(some, "_words", F.concat(F.lit(r"(?<!\S)(?:"), F.array_join(literal, "|"), F.lit(r")(?!\S)")), ".")
+    apart = F.filter("_words", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    extra = some.select("_row", F.transform(apart, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), s["end"].alias("end"), F.lit(FOUND).alias("kind"))).alias("extra"))
+    return rows.join(extra, "_row", "left").select("_row", *keep, "base", F.coalesce("extra", F.array().cast(_SPAN)).alias("extra"))
 
 
 def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -66,6 +66,16 @@ def test_contexts_find_many_unseen_of_one_form(spark):
     assert all(out[100 + i] == f"context:16:{29 + len(str(i))}" for i in range(20)) and "context:16:20" in out[201]
 
 
+def test_contexts_without_a_digit(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(i, f"please write to {name(i)}.doe@mail.example.com today about it") for i in range(40)]
+    rows += [(100, "please write to Jane-Handle today about it"), (101, "ask\tJane-Handle"), (102, "please write to us today about it")]
+    rows += [(200 + i, f"go to us {name(i)} or to {name(i)}") for i in range(300)]
+    out = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[100] == "context:16:27" and out[101] == "context:4:15" and out[102] == ""
+    assert not any("context" in s for i, s in out.items() if i not in (100, 101))
+
+
 def test_redacted(docs, odd_texts):
     out = pii.redacted(docs)
     assert out.columns == docs.columns
