@@ -3,7 +3,8 @@
 Lines that begin with marks of quotation (">") are parsed to their level; runs of lines of one level
 are passages. A passage's words, in lower case and with single spaces, are hashed, and so are the
 paragraphs and lines that each message says itself; a quoted passage is joined to the latest
-earlier message of its conversation that said it. A message replies to the message that its
+earlier message of its conversation that said it, else to the one that said most of it by lines and
+paragraphs. A message replies to the message that its
 outermost quotation came from, without one to the message before it. What remains is written
 without quotations, thread by thread.
 """
@@ -64,7 +65,29 @@ def links(rows: DataFrame) -> DataFrame:
         earlier.select("conv_id", "said_hash", F.col("source").alias("turn"), F.lit(0).alias("asks")), allowMissingColumns=True)
     before = Window.partitionBy("conv_id", "said_hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     latest = F.max(F.when(F.col("asks") == 0, F.col("turn"))).over(before)
-    return both.withColumn("source", latest).where("asks = 1").select("_row", "nth", "level", "source")
+    whole = settle(both.withColumn("source", latest).where("asks = 1").select("_row", "nth", "level", "source"), "whole")
+    return whole.join(_in_parts(rows, whole), ["_row", "nth"], "left").select("_row", "nth", "level", F.coalesce("source", "part").alias("source"))
+
+
+def _in_parts(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """``_row``, ``nth`` and ``part`` of the passages that nobody said as one piece: the earlier turn that said
+    most of the passage's words, and more than half of them, the latest of equals. A line counts as
+    said where it stands as a line, or the passage's paragraph around it as a paragraph."""
+    left = whole.where("source IS NULL").select("_row", "nth")
+    body = rows.where(F.size("passages") > 0).select("_row", "conv_id", "turn", F.posexplode("passages").alias("nth", "p")).join(left, ["_row", "nth"])
+    parts = body.select("_row", "nth", "conv_id", "turn", F.posexplode(F.split("p.body", r"\n\s*\n")).alias("block", "paragraph"))
+    lines = parts.select("*", F.posexplode(F.split("paragraph", "\n")).alias("line", "body")).where(F.trim(_normal(F.col("body"))) != "")
+    lines = settle(lines.select("_row", "nth", "conv_id", "turn", "block", "line", F.size(F.split(_normal(F.col("body")), " ")).alias("words"),
+                                F.array_distinct(F.array(_hash(F.col("body")), _hash(F.col("paragraph")))).alias("hashes")), "lines")
+    asked = lines.select("_row", "nth", "conv_id", "turn", "block", "line", "words", F.explode("hashes").alias("said_hash"))
+    units = F.array_distinct(F.flatten(F.array(F.split("said", r"\n\s*\n"), F.split("said", "\n"))))
+    told = rows.join(lines.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.col("turn").alias("part"), F.explode(units).alias("unit"))
+    told = told.where(F.trim("unit") != "").select("conv_id", "part", _hash(F.col("unit")).alias("said_hash")).distinct()
+    met = asked.join(told, ["conv_id", "said_hash"]).where("part < turn").select("_row", "nth", "block", "line", "words", "part").distinct()
+    held = met.groupBy("_row", "nth", "part").agg(F.sum("words").alias("held"))
+    best = held.groupBy("_row", "nth").agg(F.max(F.struct("held", "part")).alias("m"))
+    total = lines.groupBy("_row", "nth").agg(F.sum("words").alias("total"))
+    return best.join(total, ["_row", "nth"]).where("2 * m.held > total").select("_row", "nth", F.col("m.part").alias("part"))
 
 
 def threads(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -59,6 +59,15 @@ def test_quotes_as_by_hand(spark):
     assert sorted((r["conv_id"], r["turn"], r["reply_to"], r["thread"], r["depth"], r["said"], r["n_passages"], r["sources"]) for r in got if True) == sorted(by_hand(rows))
 
 
+def test_quotes_of_parts(spark):
+    first = "one a\ntwo b\nthree c\nfour d\nfive e"
+    rows = [(1, 0, "u", first), (1, 1, "u", "p q\nr s\n\nt u\n\nv w"), (1, 2, "u", "other"), (1, 3, "u", "> two b\n> three c\nyes"),
+            (1, 4, "u", "> P q r\n> s\n>\n> t u\nno"), (1, 5, "u", "> four d\n> made up words here\nno"), (1, 6, "u", "> yes\n> no\n> no more of it\nx")]
+    out = {r["turn"]: r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [out[t]["reply_to"] for t in (3, 4, 5, 6)] == [0, 1, 4, 5]
+    assert [out[t]["sources"] for t in (3, 4, 5, 6)] == ["0", "1", "-", "-"] and out[4]["thread"] == 0 and out[4]["depth"] == 2
+
+
 def test_quotes_of_odd_rows(spark):
     rows = [(None, 1, "user", "x"), (1, None, "user", "> x"), (1, 1, "user", "x"), (1, 1, "user", "x"), (1, 2, None, "> X \nyes")]
     out = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
