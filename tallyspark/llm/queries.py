@@ -12,12 +12,15 @@ from tallyspark.llm import (
     bpe,
     dart_minhash,
     decision_lists,
+    hard_negatives,
     lz_fingerprint,
+    mixing,
     packing,
     pii,
     quotes,
     token_store,
     warc,
+    whitening,
     window_lm,
 )
 
@@ -76,9 +79,27 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_efraimidis_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "epochs", "place")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    each = rows.select("vec_id", "n", "deviation", "identity_error", "explained", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened", F.get("explained", "at").alias("explained"), "identity_error")
+
+
+def op13_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is one on, as the contract has it, and every hundredth row an anchor."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_dart_minhash, op2_quotation_links, op3_merge_replay, op4_pseudo_likelihood, op5_warc_index, op6_lz_fingerprint,
-        op7_packing, op8_decision_lists, op9_simple8b, op10_bootstrapped_pii)
+        op7_packing, op8_decision_lists, op9_simple8b, op10_bootstrapped_pii, op11_efraimidis_mixing, op12_whitening, op13_hilbert_negatives)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_efraimidis_mixing": mixing.ORACLE, "op13_hilbert_negatives": hard_negatives.ORACLE}
