@@ -12,7 +12,7 @@ from tallyspark.catalog.registry import Staged, query
 from tallyspark.catalog.views import CONTROLS
 from tallyspark.functions import dates, text
 from tallyspark.functions.money import to_cents
-from tallyspark.operators import ingest, notes, review
+from tallyspark.operators import ingest, notes, redaction, review
 from tallyspark.plans.staging import new_path, settle
 from tallyspark.sources import accounting, ledger_files, note_files, sinks
 from tallyspark.sources.review_log import ReviewLog
@@ -605,36 +605,103 @@ def _(s: Staged) -> DataFrame:
     return s.table("documents").select("doc_id", text.md_code(F.col("text")).alias("code"))
 
 
-USERS = {"the and": "qbo-user-1", "Enbest": "qbo-user-2", "in": "qbo-user-3", "les du": "qbo-user-4"}
-_NAMES = sorted(USERS, key=lambda n: (-len(n), n))
-
-
 @query("l03_redacted_emails", f"SELECT doc_id, regexp_replace(text, '{text.EMAIL}', 'redacted@example.com', 'g') AS text FROM documents")
 def _(s: Staged) -> DataFrame:
     return s.table("documents").select("doc_id", text.redact_emails(F.col("text")).alias("text"))
 
 
-@query("l03_scrubbed_names")
+REALM_ID = "55"
+# words of three kinds by the first digit of their md5, so that no two names of the table overlap in a text
+_NAME_WORDS = "substr(md5(lower({0})), 1, 1) {1}"
+_FIRST, _SECOND, _ONLY = "IN ('0', '1', '2', '3', '4', '5')", "IN ('6', '7', '8', '9', 'a')", "IN ('b', 'c', 'd', 'e', 'f')"
+_WORD_CLASS = r"\p{L}\p{N}_"
+
+
+def _known_names(s: Staged) -> DataFrame:
+    """Names of one and of two words, from the beginnings of the benchmark's items."""
+    words = s.table("benchmark").select(F.expr("regexp_extract_all(text, '[A-Za-z]+', 0)").alias("w"))
+    first, second = F.expr("get(w, 0)"), F.expr("get(w, 1)")
+    kind = {c: F.expr(_NAME_WORDS.format(f"get(w, {i})", c)) for i, c in ((0, _FIRST), (1, _SECOND), (0, _ONLY))}
+    one = words.where(kind[_ONLY]).select(F.lower(first).alias("name"))
+    two = words.where(kind[_FIRST] & kind[_SECOND]).select(F.concat_ws(" ", F.lower(first), F.lower(second)).alias("name"))
+    return redaction.stand_ins(one.union(two).distinct())
+
+
+_KNOWN = {"known": f"""SELECT name, 'qbo-user-' || row_number() OVER (ORDER BY name) AS stand_in FROM (
+    SELECT lower(w[1]) AS name FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark) WHERE {_NAME_WORDS.format('w[1]', _ONLY)}
+    UNION SELECT lower(w[1]) || ' ' || lower(w[2]) FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark)
+    WHERE {_NAME_WORDS.format('w[1]', _FIRST)} AND {_NAME_WORDS.format('w[2]', _SECOND)})"""}
+_CLEAN = f"regexp_replace(replace(text, '{REALM_ID}', 'REALM'), '{text.EMAIL}', 'redacted@example.com', 'g')"
+# word, blank and other pieces in their order; a name of two words stands on three pieces
+_PIECES = {"pieces": f"""SELECT doc_id, i, p[i] AS piece, lower(p[i]) AS f, lower(p[i + 2]) AS g, regexp_matches(p[i + 1], '^{_WS}$') AS apart
+    FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT doc_id, regexp_extract_all({_CLEAN}, '[{_WORD_CLASS}]+|{_WS}|[^{_WORD_CLASS}]') AS p FROM documents))"""}
+
+
+@query("l03_scrubbed_names", """SELECT d.doc_id, coalesce(t.text, d.text) AS text FROM documents d LEFT JOIN (
+    SELECT doc_id, string_agg(CASE WHEN two OR one IS NOT NULL THEN one WHEN lag_two OR lag_two2 THEN '' ELSE piece END, '' ORDER BY i) AS text FROM (
+      SELECT *, coalesce(lag(two) OVER w, FALSE) AS lag_two, coalesce(lag(two, 2) OVER w, FALSE) AS lag_two2 FROM (
+        SELECT p.doc_id, p.i, p.piece, b.stand_in IS NOT NULL AS two, coalesce(b.stand_in, a.stand_in) AS one
+        FROM pieces p LEFT JOIN known a ON a.name = p.f LEFT JOIN known b ON p.apart AND b.name = p.f || ' ' || p.g) WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    GROUP BY doc_id) t USING (doc_id)""", _KNOWN | _PIECES)
 def _(s: Staged) -> DataFrame:
-    return s.table("documents").select("doc_id", text.sanitize_text(F.col("text"), "4620816365", USERS).alias("text"))
+    return redaction.scrubbed(s.table("documents").select("doc_id", "text"), "text", REALM_ID, _known_names(s))
 
 
 @query("l03_stand_ins", "SELECT name, 'qbo-user-' || row_number() OVER (ORDER BY name) AS stand_in FROM (SELECT DISTINCT created_by AS name FROM gl)")
 def _(s: Staged) -> DataFrame:
     records = s.lines.select(F.to_json(F.struct(F.col("created_by").alias("CreatedBy"), "entry_id")).alias("record"))
-    return text.stand_ins(text.record_users(records, "record"))
+    return redaction.stand_ins(redaction.record_users(records, "record"))
+
+
+# users by name (user0 to user4) and by number (710 to 716), which sort before them
+_RECORD_USERS = {"told": """SELECT name, 'qbo-user-' || row_number() OVER (ORDER BY name) AS stand_in FROM (
+    SELECT DISTINCT created_by AS name FROM gl UNION SELECT DISTINCT CAST(710 + k % 7 AS VARCHAR) FROM gl)"""}
+
+
+@query("l03_sanitized_records", """SELECT g.entry_id, u.stand_in AS created, u.stand_in AS keyed, m.stand_in AS modified, 'seen by ' || u.stand_in || ', ' || g.created_by || '0 and redacted@example.com' AS note,
+    'REALM' AS realm, 'x/REALM' AS path, 'TEST-ACCESS' AS token, CAST(NULL AS VARCHAR) AS identity, 'paid ' || u.stand_in AS nested FROM gl g JOIN told u ON u.name = g.created_by JOIN told m ON m.name = CAST(710 + g.k % 7 AS VARCHAR) WHERE g.line_no = 1""", _RECORD_USERS)
+def _(s: Staged) -> DataFrame:
+    k, user = F.substring("entry_id", 4, 9).cast("bigint"), F.col("created_by")
+    loud = F.concat(F.lit("seen by "), F.upper("created_by"), F.lit(", "), user, F.lit("0 and Some.One@mail.example.org"))
+    record = F.struct(
+        F.struct((F.lit(710) + k % 7).alias("value")).alias("LastModifiedByRef"), F.struct(user.alias("name")).alias("Created_1By"), user.alias("UserName"), loud.alias("Note"),
+        F.lit(4620816365).alias("realmId"), F.lit("x/4620816365").alias("path"), F.lit("s3cret").alias("access_token"), F.lit("who").alias("id_token"),
+        F.array(F.struct(F.struct(F.concat(F.lit("paid  "), user).alias("memo")).alias("deep"))).alias("Line"))
+    records = s.lines.where("line_no = 1").select("entry_id", F.to_json(record).alias("document"))
+    out = redaction.sanitized(records, "document", "4620816365")
+    cell = {"created": "$.Created_1By.name", "keyed": "$.UserName", "modified": "$.LastModifiedByRef.value", "note": "$.Note", "realm": "$.realmId",
+            "path": "$.path", "token": "$.access_token", "identity": "$.id_token", "nested": "$.Line[0].deep.memo"}
+    read = out.select("entry_id", *[F.get_json_object("document", path).alias(c) for c, path in cell.items()])
+    return read.withColumn("nested", F.replace("nested", F.lit("  "), F.lit(" ")))
+
+
+_CELL_USER = "CASE WHEN k % 9 = 0 THEN '' WHEN k % 9 = 1 THEN '  ' ELSE created_by END"
+
+
+@query("l03_sanitized_reports", f"""SELECT CASE WHEN cell = '' THEN '' ELSE stand_in END AS create_by, coalesce(memo, '') AS memo, count(*) AS n_rows
+    FROM (SELECT {_CELL_USER} AS cell, CASE WHEN k % 4 = 0 THEN description END AS memo FROM gl) LEFT JOIN (
+        SELECT name, 'qbo-user-' || row_number() OVER (ORDER BY name) AS stand_in FROM (SELECT DISTINCT {_CELL_USER} AS name FROM gl) WHERE name <> '') ON name = cell
+    GROUP BY ALL""")
+def _(s: Staged) -> DataFrame:
+    clean = settle(redaction.sanitized(sv.report_documents(s.lines), "report", ""), "clean")
+    rows = accounting.report_rows(clean.select("doc_no", "report")).where("txn_id IS NOT NULL")
+    return rows.groupBy("create_by", "memo").agg(F.count("*").alias("n_rows"))
 
 
-# words apart from the name, as RE2 has no look-around: letters, digits or _ on either side
-_LEFT = " UNION ALL ".join(
-    f"SELECT doc_id, 'a user name ({USERS[n]})' AS finding FROM folded WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]){n.lower()}($|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}])')" for n in USERS)
+# a sixteenth of all words of the documents are names
+_WORD_NAMES = {
+    "words": f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[{_WORD_CLASS}]+')) AS f FROM documents",
+    "word_names": f"""SELECT f AS name, 'qbo-user-' || row_number() OVER (ORDER BY f) AS stand_in FROM (
+        SELECT DISTINCT f FROM (SELECT unnest(regexp_extract_all(lower(text), '[{_WORD_CLASS}]+')) AS f FROM documents) WHERE regexp_full_match(f, '[a-z]+') AND substr(md5(f), 1, 1) = '0')"""}
 
 
-@query("l04_leftovers", f"SELECT finding, count(*) AS documents FROM ({_LEFT} UNION ALL SELECT doc_id, 'the realm id' FROM documents WHERE contains(text, '55')) GROUP BY 1",
-       {"folded": f"SELECT doc_id, trim(regexp_replace(lower(text), '{_WS}', ' ', 'g')) AS t FROM documents"})
+@query("l04_leftovers", f"""SELECT finding, count(*) AS documents FROM (SELECT 'a user name (' || stand_in || ')' AS finding FROM words JOIN word_names ON name = f
+    UNION ALL SELECT 'the realm id' FROM documents WHERE contains(text, '{REALM_ID}')) GROUP BY 1""", _WORD_NAMES)
 def _(s: Staged) -> DataFrame:
-    found = s.table("documents").select(F.explode(text.leftovers(F.col("text"), "55", USERS)).alias("finding"))
-    return found.groupBy("finding").agg(F.count("*").alias("documents"))
+    words = s.table("documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"[{_WORD_CLASS}]+"), F.lit(0)))).alias("name"))
+    names = redaction.stand_ins(words.where("name RLIKE '^[a-z]+$' AND substr(md5(name), 1, 1) = '0'").distinct())
+    found = redaction.leftovers(s.table("documents").select("text"), "text", REALM_ID, names)
+    return found.select(F.explode("findings").alias("finding")).groupBy("finding").agg(F.count("*").alias("documents"))
 
 
 @query("l05_export_cells", """SELECT doc_id, length(text) <= 32767 AS whole, CASE WHEN length(text) <= 32767 THEN text ELSE substr(text, 1, 32767 - length(tail)) || tail END AS shown

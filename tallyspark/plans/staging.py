@@ -84,6 +84,14 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
+def unused(name: str, columns: Sequence[str]) -> str:
+    """``name``, or with as many underscores as it takes to be no column's."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fits(lookup: DataFrame, limit: int | None = None) -> bool:
     """Whether a (settled) lookup is small enough to broadcast: rows and text are measured."""
     text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in lookup.schema.fields

@@ -1,12 +1,8 @@
 from __future__ import annotations
 
-import json
-
 import pytest
-from pyspark.sql import functions as F
 from test_records import decisions
 
-from tallyspark.functions import text
 from tallyspark.schema import LedgerError
 from tallyspark.sources.review_log import ReviewLog
 
@@ -19,16 +15,3 @@ def test_order_of_one_batch(spark, tmp_path):
     log.record(batch, "decision")
     kept = [r["decision"] for r in log.decisions.where("entry_id = 'e1'").orderBy("id").collect()]
     assert kept == ["accept", "dismiss"]
-
-
-def test_every_user_name_of_a_record(spark):
-    record = json.dumps({"MetaData": {"LastModifiedByRef": {"value": "55", "name": "Jane Å \"J\" Dev"}, "x": 1}, "CreatedBy": {"name": "Bob Roe"},
-                         "ApprovedBy": "Cy", "UserName": "dee", "name": "not a user", "By": ""})
-    names = {r["name"] for r in text.record_users(spark.createDataFrame([(record,)], "r string"), "r").collect()}
-    assert {"55", "Jane Å \"J\" Dev", "Bob Roe", "Cy", "dee"} <= names and "not a user" not in names
-
-
-def test_leak_of_a_name_in_another_case(spark):
-    rows = spark.createDataFrame([("seen by STRASSE today",), ("Straße",), ("Strassen",)], "t string")
-    found = [r["f"] for r in rows.select(text.leftovers(F.col("t"), "", {"Straße": "u1"}).alias("f")).collect()]
-    assert found == [["a user name (u1)"], ["a user name (u1)"], []]
