@@ -14,7 +14,7 @@ from tallyspark.functions import dates, text
 from tallyspark.functions.money import to_cents
 from tallyspark.operators import ingest, notes, redaction, review
 from tallyspark.plans.staging import new_path, settle
-from tallyspark.sources import accounting, ledger_files, note_files, sinks
+from tallyspark.sources import accounting, csv_records, ledger_files, note_files, sinks
 from tallyspark.sources.review_log import ReviewLog
 
 LEDGER = "csv:a"
@@ -54,6 +54,18 @@ def _(s: Staged) -> DataFrame:
     return _line_rows(ledger_files.load_csv(s.spark, path))
 
 
+# a third of the texts hold line breaks and quotes; files are in the order of their rows
+_BROKEN = "CASE WHEN k % 3 = 0 THEN description || chr(10) || '\"of\", ' || chr(10) || chr(10) || entry_id ELSE description END"
+
+
+@query("a01_numbered_rows", f"SELECT row_number() OVER (ORDER BY entry_id, line_no) AS row_no, entry_id, CAST(line_no AS VARCHAR) AS line_no, {_BROKEN} AS description FROM gl")
+def _(s: Staged) -> DataFrame:
+    path = new_path(s.spark, "csv")
+    rows = s.lines.withColumn("k", F.substring("entry_id", 4, 9).cast("bigint")).withColumn("description", F.expr(_BROKEN)).select("entry_id", "line_no", "description")
+    sinks.write_table(rows.repartitionByRange("entry_id", "line_no").sortWithinPartitions("entry_id", "line_no"), path, "csv")
+    return csv_records.read(s.spark, path, range_bytes=1 << 18)[0].select("row_no", "entry_id", "line_no", "description")
+
+
 @query("a03_read_labels", "SELECT entry_id, is_anomaly, anomaly_type FROM lab")
 def _(s: Staged) -> DataFrame:
     k = F.substring("entry_id", 4, 9).cast("bigint")
@@ -230,6 +242,22 @@ def _(s: Staged) -> DataFrame:
     return found.filter(F.col("column") == "posting_date").select("problem", "rows", "first_row")
 
 
+_BAD_CELLS = {("entry_id", "is blank"): "trim(entry_id) = ''", ("account_code", "is blank"): "trim(account_code) = ''", ("created_by", "is blank"): "trim(created_by) = ''",
+              ("line_no", "is blank"): "line_no = ''", ("line_no", "is not a whole number"): "k % 503 IN (1, 4)", ("debit", "is not a number"): "k % 401 BETWEEN 1 AND 5"}
+
+
+@query("b05_problems_of_files", " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{w}' AS problem, count(*) AS rows, min(r) AS first_row, arg_min({c}, r) AS example FROM numbered WHERE {rule} HAVING count(*) > 0"""
+       for (c, w), rule in _BAD_CELLS.items()), DAMAGED | {"numbered": "SELECT *, row_number() OVER (ORDER BY row_no) AS r FROM dmg"})
+def _(s: Staged) -> DataFrame:
+    path = new_path(s.spark, "csv")
+    rows = _damaged(s).repartitionByRange("row_no").sortWithinPartitions("row_no").drop("row_no")
+    sinks.write_table(rows, path, "csv")
+    found = ingest.cell_problems(csv_records.read(s.spark, path, range_bytes=1 << 18)[0])
+    kept = F.concat_ws(" ", "column", "problem").isin([f"{c} {w}" for c, w in _BAD_CELLS])
+    blank = F.col("problem") == "is blank"
+    return found.where(kept).select("column", "problem", "rows", "first_row", F.when(blank, F.coalesce("example", F.lit(""))).otherwise(F.col("example")).alias("example"))
+
+
 @query("b05_date_cells", f"""SELECT row_no, CASE WHEN k % 601 BETWEEN 4 AND 12 THEN NULL ELSE strftime(CASE WHEN k % 601 = 1 THEN CAST(CAST(posted AS DATE) AS TIMESTAMP) ELSE posted END, '%Y-%m-%d %H:%M:%S') END AS posted FROM dmg""", DAMAGED)
 def _(s: Staged) -> DataFrame:
     raw = _damaged(s)
@@ -378,9 +406,8 @@ def _(s: Staged) -> DataFrame:
 def _(s: Staged) -> DataFrame:
     folder = new_path(s.spark, "legacy")
     old = F.lit(review.LEGACY)
-    review.mine(s.decisions, "csv:b").withColumn("ledger_id", old).select(*review.DECISION_SCHEMA.fieldNames()).write.parquet(f"{folder}/decisions")
-    review.mine(s.notes, "csv:b").withColumn("ledger_id", old).select(*review.NARRATIVE_SCHEMA.fieldNames()).write.parquet(f"{folder}/narratives")
     log = ReviewLog(s.spark, folder, "csv:new")
+    log.take_in(*[review.mine(rows, "csv:b").withColumn("ledger_id", old) for rows in (s.decisions, s.notes)])
     log.adopt_legacy(s.ids)
     mine = review.mine(log.narratives, "csv:new")
     shown = mine.select(F.col("id").alias("narrative_id"), F.col("summary").alias("note_version"))

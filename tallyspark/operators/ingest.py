@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def amount_cell(text: Column) -> Column:
 def whole_cell(text: Column) -> Column:
     """A whole number, also when written 3.0; null for a blank, a fraction or text."""
     exact = F.trim(text).try_cast("decimal(38,10)")
-    return F.when(exact % 1 == 0, exact.try_cast("int"))
+    return F.when(exact % 1 == 0, exact.try_cast("bigint"))
 
 
 def column_format(df: DataFrame, column: str) -> tuple[str | None, str | None, int | None]:
@@ -141,7 +142,7 @@ def blank_profile(df: DataFrame) -> DataFrame:
     return df.agg(*stats).select(F.inline(F.array(*KEYED_TEXT)))
 
 
-def date_formats(df: DataFrame) -> tuple[dict[str, str | None], list[str]]:
+def date_formats(df: DataFrame, told: Callable[[int], str] = "data row {}".format) -> tuple[dict[str, str | None], list[str]]:
     """Each text date column's format, and the columns no listed format reads."""
     formats, problems = {}, []
     for column in DATE_COLUMNS:
@@ -150,7 +151,7 @@ def date_formats(df: DataFrame) -> tuple[dict[str, str | None], list[str]]:
         fmt, cell, at = column_format(df, column)
         formats[column] = fmt
         if cell is not None and fmt is None:
-            problems.append(f"{column} is in no date format that can be read from data row {at} ({cell[:48]!a}): write dates as YYYY-MM-DD")
+            problems.append(f"{column} is in no date format that can be read from {told(at)} ({cell[:48]!a}): write dates as YYYY-MM-DD")
         day_first = D.DAY_FIRST.get(fmt)
         if day_first:
             raw = F.col(column)
@@ -162,24 +163,25 @@ def date_formats(df: DataFrame) -> tuple[dict[str, str | None], list[str]]:
     return formats, problems
 
 
-def prepare(df: DataFrame) -> DataFrame:
+def prepare(df: DataFrame, place: Callable[[int], str] | None = None) -> DataFrame:
     """Validate, read every cell and derive the working columns. Two cheap scans check the cells;
-    what is returned is lazy. Extra columns pass through."""
+    what is returned is lazy. Extra columns pass through. ``place`` says where a row of some ``row_no`` is."""
     check_columns(df.columns)
     if any(_is_text(df, c) for c in DATE_COLUMNS) and ROW not in df.columns:
         df = df.withColumn(ROW, F.monotonically_increasing_id() + 1)
         passing = False
     else:
         passing = ROW in df.columns
-    formats, problems = date_formats(df)
+    told = place or (lambda n: f"data row {n}")
+    formats, problems = date_formats(df, told)
     rows = cell_problems(df, formats).orderBy("place").collect()  # at most one row per kind of problem
     for r in rows:
         if formats.get(r["column"], "") is None and r["problem"] in ("is in a different date format", "is not a readable date"):
             continue  # the column's own format is the problem, named above
-        place = f", the first is data row {r['first_row']}" if r["first_row"] is not None and passing else ""
+        where = f", the first is {told(r['first_row'])}" if r["first_row"] is not None and passing else ""
         shown = "" if r["problem"] == "is blank" or r["example"] is None else f" ({r['example'][:48]!a})"
         plural = "row" if r["rows"] == 1 else "rows"
-        problems.append(f"{r['column']} {r['problem']} on {r['rows']:,} {plural}{place}{shown}")
+        problems.append(f"{r['column']} {r['problem']} on {r['rows']:,} {plural}{where}{shown}")
     if problems:
         raise LedgerError("cells no test can read: " + "; ".join(problems))
     out = df if passing else df.drop(ROW) if ROW in df.columns else df
@@ -194,7 +196,7 @@ def typed(df: DataFrame, formats: dict[str, str | None]) -> DataFrame:
         if field.name in DATE_COLUMNS:
             cells[field.name] = date_cell(raw, formats.get(field.name)) if text else raw.cast("timestamp_ntz")
         elif field.name in WHOLE_COLUMNS:
-            cells[field.name] = whole_cell(raw) if text else raw.cast("int")
+            cells[field.name] = whole_cell(raw) if text else raw.cast("bigint")
         elif field.name in AMOUNT_COLUMNS:
             cells[field.name] = amount_cell(raw) if text else F.coalesce(F.round(raw.cast("decimal(38,10)"), 2), F.lit(0)).cast("decimal(18,2)")
         else:

@@ -57,16 +57,23 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is written inside go when its write has ended: the stage is read from
-    then on, so they would only fill the executors' disks until the driver collects its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def setting(spark: SparkSession, **values: str | None) -> Iterator[None]:
+    """Session settings (dots as double underscores; None: as it is) for what is run inside."""
+    named = {k.replace("__", "."): v for k, v in values.items() if v is not None}
+    before = {k: spark.conf.get(k, None) for k in named}
+    for k, v in named.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of what is written inside go when its write has ended: the stage is read from
+    then on, so they would only fill the executors' disks until the driver collects its garbage."""
+    return setting(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
 def discard(*stages: DataFrame) -> None:

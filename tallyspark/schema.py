@@ -11,11 +11,11 @@ MONEY = T.DecimalType(18, 2)
 
 LEDGER_SCHEMA = T.StructType([
     T.StructField("entry_id", T.StringType()),
-    T.StructField("line_no", T.IntegerType()),
+    T.StructField("line_no", T.LongType()),
     T.StructField("posting_date", T.TimestampNTZType()),
     T.StructField("entered_at", T.TimestampNTZType()),
-    T.StructField("fiscal_year", T.IntegerType()),
-    T.StructField("period", T.IntegerType()),
+    T.StructField("fiscal_year", T.LongType()),
+    T.StructField("period", T.LongType()),
     T.StructField("account_code", T.StringType()),
     T.StructField("account_name", T.StringType()),
     T.StructField("account_type", T.StringType()),

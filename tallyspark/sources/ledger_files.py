@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,28 +11,22 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.ingest import prepare
 from tallyspark.schema import Controls, LedgerError
+from tallyspark.sources import csv_records
 
 # What a label's is_anomaly cell may hold.
 TRUTH = {"true": True, "false": False, "1": True, "0": False, "1.0": True, "0.0": False}
 # End of fixed values.
 
 
-def read_text_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A CSV with every cell as text; only an empty field is null (NA and #N/A are kept). Every
-    file's header must be the first one's. ``multi_line=False`` (no line breaks inside cells)
-    lets one large file be read by many tasks."""
-    names = spark.read.option("header", True).csv(path).columns
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return (spark.read.schema(schema).option("header", True).option("nullValue", "").option("emptyValue", "")
-            .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("enforceSchema", False).option("mode", "FAILFAST").csv(path))
+def load_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A ledger from CSV files, read by byte ranges; what is wrong with its cells is told with the first one's file and data row."""
+    rows, place = csv_records.read(spark, path)
+    prepared = prepare(rows, place)
+    return prepared.drop(csv_records.ROW)
 
 
-def load_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    return prepare(read_text_csv(spark, path, multi_line))
-
-
-def read_labels(rows: DataFrame) -> DataFrame:
-    """Labels from text cells: ``is_anomaly`` strictly true or false, a blank type as ''."""
+def read_labels(rows: DataFrame, place: Callable[[int], str] | None = None) -> DataFrame:
+    """Labels from text cells: ``is_anomaly`` strictly true or false, a blank type as ''. ``place`` says where a row of some ``row_no`` is."""
     cell = F.lower(F.trim("is_anomaly"))
     truth = F.lit(None).cast("boolean")
     for text, value in TRUTH.items():
@@ -43,13 +38,14 @@ def read_labels(rows: DataFrame) -> DataFrame:
     row = read.agg(F.count_if(bad).alias("n"), F.min(F.when(bad, F.col("row_no"))).alias("first"),
                    F.min(F.when(bad, F.coalesce("entry_id", F.lit("")))).alias("entry")).first()
     if row["n"]:
-        where = f"the first is data row {row['first']}" if row["first"] is not None else f"e.g. entry {row['entry']!a}"
+        told = place or (lambda n: f"data row {n}")
+        where = f"the first is {told(row['first'])}" if row["first"] is not None else f"e.g. entry {row['entry']!a}"
         raise LedgerError(f"is_anomaly must be true/false or 1/0 on every row; {row['n']} row(s) are blank or something else, {where}")
     return read.select("entry_id", F.col("_truth").alias("is_anomaly"), F.coalesce("anomaly_type", F.lit("")).alias("anomaly_type"))
 
 
 def load_labels(spark: SparkSession, path: str) -> DataFrame:
-    return read_labels(read_text_csv(spark, path))
+    return read_labels(*csv_records.read(spark, path))
 
 
 def parse_controls(text: str, origin: str | None = None) -> Controls:

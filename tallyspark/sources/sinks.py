@@ -32,7 +32,7 @@ def write_table(rows: DataFrame, path: str, fmt: str = "parquet", mode: str = "e
     nested = [n for n, t in rows.dtypes if t.startswith(("array", "struct", "map"))]
     rows = rows.withColumns({n: F.to_json(F.col(n)) for n in nested}) if nested else rows
     (rows.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "")
-     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
 
 
 def write_partitioned_ledger(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
