@@ -173,7 +173,7 @@ def _(s: Staged) -> DataFrame:
 def _(s: Staged) -> DataFrame:
     path = new_path(s.spark, "scored")
     sinks.write_table(s.scored.select("entry_id", "entry_cents", "risk_score", "n_flags", "tests_fired", "reasons"), path, "csv")
-    back = ledger_files.read_text_csv(s.spark, path)
+    back = csv_records.read(s.spark, path)[0]
     return back.select("entry_id", F.col("entry_cents").cast("bigint").alias("entry_cents"), F.col("risk_score").cast("double").alias("risk_score"),
                        F.col("n_flags").cast("bigint").alias("n_flags"), F.coalesce("tests_fired", F.lit("")).alias("tests_fired"), F.coalesce("reasons", F.lit("")).alias("reasons"))
 
