@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import spans
 from tallyspark.llm.arrow import batches
-from tallyspark.plans.staging import discard, fits, settle
+from tallyspark.plans.staging import discard, fits, settle, unused
 
 WORDS, THRESHOLD = 5, 0.8
 #: Coordinates of a signature, and how many of them make a band. Each coordinate is in two bands: one
@@ -355,20 +355,30 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, threshold: f
     a null class_id. An empty table gives an empty one.
     """
     keep = keep or ["doc_id"]
-    signs = settle(signed(docs, keep, size), "signatures")
-    label = classes_of(_links(signs, docs, threshold, size, rows))
-    labelled = signs.drop("signature").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    labelled = classed(docs, keep, threshold, size, rows)
     least = labelled.where("node IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     few = labelled.join(least, "class", "left")
     return few.select(*keep, "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
+def classed(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD, size: int = SIZE, rows: int = ROWS) -> DataFrame:
+    """The columns ``keep``, ``node`` (the text's digest) and ``class`` (the least node of its class) of every row of ``docs``; both
+    are null for rows without words."""
+    signs = settle(signed(docs, keep, size), "signatures")
+    label = classes_of(_links(signs, docs, threshold, size, rows))
+    return signs.drop("signature").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` less all but one of each class: of those with the class's id, the first."""
-    rows = settle(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(rows.select("_uid", "doc_id", "text"), ["_uid", "doc_id"], **how)
-    one = found.where("node IS NOT NULL").groupBy("node", "class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")).alias("m"))
+    """The rows of ``docs`` less all but one of each class: the one of the least id (null last), of equal ids the first row. Classes are
+    of texts, so unrelated texts under one id are kept each. Rows without words stay, null texts too; of repeated rows one stays;
+    other columns are let be whatever their names, an empty table gives an empty one."""
+    row = unused("_row", docs.columns)
+    rows = settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = classed(rows.select(F.col(row).alias("_uid"), "doc_id", "text"), ["_uid", "doc_id"], **how)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid"))
     # one row per text; then one text per class
-    kept = one.groupBy(F.coalesce(F.col("class_id").cast("string"), F.hex("node")).alias("c")).agg(F.min("m").alias("m")).select(F.col("m._uid").alias("_uid"))
-    alone = found.where("node IS NULL").select("_uid")
-    return rows.join(kept.union(alone), "_uid", "left_semi").drop("_uid")
+    one = found.where("node IS NOT NULL").groupBy("class", "node").agg(best.alias("m"))
+    kept = one.groupBy("class").agg(F.min("m").alias("m")).select(F.col("m._uid").alias(row))
+    alone = found.where("node IS NULL").select(F.col("_uid").alias(row))
+    return rows.join(kept.union(alone), row, "left_semi").drop(row)

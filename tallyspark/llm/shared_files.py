@@ -7,6 +7,7 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
 
 
 def fresh(folder: str, kind: str) -> str:
@@ -24,6 +25,17 @@ def reader(uri: str):
     return where.open_input_file(path)
 
 
-def folder(path: str) -> str:
-    """A path as a URI."""
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+def folder(spark: SparkSession, path: str) -> str:
+    """A path as a URI that tasks open: one without a scheme is in the store that Spark's own paths without one are in, and
+    Spark's names of S3 (s3a, s3n) are pyarrow's s3."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString() if "://" not in path else path
+    return task_uri(uri)
+
+
+def task_uri(uri: str) -> str:
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return "file://" + "/" + rest.lstrip("/")
+    return f"s3:{rest}" if scheme in ("s3a", "s3n") else uri

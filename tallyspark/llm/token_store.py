@@ -5,17 +5,20 @@ selector 0 holds 120 zeros, and selector 15 says that the next word is one id as
 are cut into blocks, no word crosses a block, and the file lists where each block's words begin, so
 any block decodes by itself, all words of one selector at once.
 
-A file: MAGIC, the words, the blocks' first words (64-bit each), then the tail: counts of ids, words,
-blocks and ids a block (64-bit each, little-endian). Rows are ordered by id, and cut into files by
-ranges, so a table of one row a file gives every row's place among all ids.
+A file: MAGIC, the words, the blocks' first words, then what bounds the documents: their ids (0 for a null one), the
+numbers of their ids, and a byte each that is 1 for a null id; then the tail: counts of ids, words, blocks, ids a block
+and documents. All but the bytes are 64-bit little-endian. Rows are ordered by id, and cut into files by ranges; a table of one row per
+some thousand documents of a file (a segment) tells readers which blocks to read, and where their ids stand among all.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,10 @@ COUNTS = (120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 _U = np.uint64
+_LIMITS = np.array([1 << b for b in BITS], np.uint64)
+_STEPS = np.array([*COUNTS, 1], np.int64)
+#: A segment ends at either bound, always with a document.
+SEGMENT_DOCS, SEGMENT_IDS = 4096, 1 << 20
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -38,29 +45,38 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    left = block - np.arange(n) % block
-    left = np.minimum(left, n - np.arange(n))
-    best, choice = np.full(n, 1, np.int64), np.full(n, len(COUNTS) - 1, np.int64)
-    for k in range(len(COUNTS) - 2, -1, -1):  # from few ids a word to many
-        wide = np.concatenate(([0], np.cumsum(ids >> _U(BITS[k]) != 0)))  # ids too large for it, so far
-        stop = np.minimum(np.arange(n) + COUNTS[k], n)
-        ok = (left >= COUNTS[k]) & (wide[stop] == wide[:n])
-        best[ok], choice[ok] = COUNTS[k], k
-    choice[ids >> _U(60) != 0] = ESCAPE
-    steps, at, starts = best.tolist(), 0, []
+    left = np.minimum(block - np.arange(n, dtype=np.int32) % block, n - np.arange(n, dtype=np.int32))
+    needs = np.searchsorted(_LIMITS, ids, side="right").astype(np.int8)  # the first selector each id fits
+    choice = np.full(n, len(COUNTS) - 1, np.int8)
+    open_yet = np.ones(n, bool)
+    for k in range(len(COUNTS) - 1):  # from many ids a word to few: the first that fits is best
+        fits = needs <= k
+        at = np.flatnonzero(fits & open_yet & (left >= COUNTS[k]))
+        if not len(at):
+            continue
+        if not fits.all():
+            wide = np.zeros(n + 1, np.int32)  # ids too large for it, so far
+            np.cumsum(~fits, out=wide[1:])
+            at = at[wide[at + COUNTS[k]] == wide[at]]
+        choice[at], open_yet[at] = k, False
+    choice[needs == len(COUNTS)] = ESCAPE
+    steps, at, starts = _STEPS[choice].tolist(), 0, []
     while at < n:
         starts.append(at)
         at += steps[at]
     starts = np.array(starts, np.int64)
-    kind = choice[starts]
+    kind = choice[starts].astype(np.int64)
     size = 1 + (kind == ESCAPE)
     place = np.cumsum(size) - size
     words = np.zeros(place[-1] + size[-1], np.uint64)
     words[place] = kind.astype(np.uint64)
     for k in range(1, len(COUNTS)):
         mine = np.flatnonzero(kind == k)
-        for j in range(COUNTS[k]) if len(mine) else ():
-            words[place[mine]] |= ids[starts[mine] + j] << _U(4 + BITS[k] * j)
+        if len(mine):
+            held, first = words[place[mine]], starts[mine]
+            for j in range(COUNTS[k]):
+                held |= ids[first + j] << _U(4 + BITS[k] * j)
+            words[place[mine]] = held
     far = kind == ESCAPE
     words[place[far] + 1] = ids[starts[far]]
     return words, place[np.searchsorted(starts, np.arange(0, n, block))]
@@ -88,17 +104,21 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 
 class Writer:
-    """One file; ids come in any pieces."""
+    """One file; documents come one by one."""
 
     def __init__(self, uri: str, block: int = BLOCK) -> None:
         self.uri, self.block, self.n, self.words = uri, block, 0, 0
         self.starts: list[np.ndarray] = []
         self.held: list[np.ndarray] = []
         self.waiting = 0
+        self.docs, self.lengths, self.nulls = array("q"), array("q"), bytearray()
         self.file = shared_files.writer(uri)
         self.file.write(MAGIC)
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        self.docs.append(doc or 0)
+        self.nulls.append(doc is None)
+        self.lengths.append(len(ids))
         self.held.append(ids)
         self.waiting += len(ids)
         if self.waiting >= 128 * self.block:
@@ -112,98 +132,113 @@ class Writer:
         self.n, self.words = self.n + n, self.words + len(words)
         self.held, self.waiting = [ids[n:]], len(ids) - n
 
-    def close(self) -> None:
+    def close(self, segment: int = SEGMENT_DOCS) -> Iterator[tuple[int, int, int, int]]:
+        """The file's segments: first document, documents, first id, ids."""
         self._put(self.waiting)
-        starts = np.concatenate(self.starts)
-        self.file.write(starts.astype("<i8").tobytes())
-        self.file.write(np.array([self.n, self.words, len(starts), self.block], "<i8").tobytes())
+        starts, lengths = np.concatenate(self.starts), np.array(self.lengths, "<i8")
+        for part in (starts.astype("<i8"), np.array(self.docs, "<i8"), lengths):
+            self.file.write(part.tobytes())
+        self.file.write(bytes(self.nulls))
+        self.file.write(np.array([self.n, self.words, len(starts), self.block, len(lengths)], "<i8").tobytes())
         self.file.close()
-
-
-def read(uri: str, blocks: int = 128) -> Iterator[np.ndarray]:
-    """The ids of a file in order, ``blocks`` blocks at a time."""
-    with shared_files.reader(uri) as file:
-        size = file.size()
-        n, words, count, block = np.frombuffer(file.read_at(32, size - 32), "<i8").tolist()
-        if file.read_at(8, 0) != MAGIC:
+        first, before, ends = 0, 0, np.cumsum(lengths)
+        while first < len(lengths):
+            full = int(np.searchsorted(ends, before + SEGMENT_IDS)) + 1
+            stop = min(len(lengths), first + segment, max(full, first + 1))
+            yield first, stop - first, before, int(ends[stop - 1]) - before
+            first, before = stop, int(ends[stop - 1])
+
+
+class Reader:
+    """One file, read by blocks."""
+
+    def __init__(self, uri: str) -> None:
+        self.file = shared_files.reader(uri)
+        size = self.file.size()
+        self.n, self.words, self.blocks, self.block, self.docs = np.frombuffer(self.file.read_at(40, size - 40), "<i8").tolist()
+        if self.file.read_at(8, 0) != MAGIC:
             raise ValueError(f"{uri} is not a file of token ids")
-        starts = np.append(np.frombuffer(file.read_at(8 * count, size - 32 - 8 * count), "<i8"), words)
-        for first in range(0, count, blocks):
-            a, b = int(starts[first]), int(starts[min(count, first + blocks)])
-            yield unpack(np.frombuffer(file.read_at(8 * (b - a), 8 + 8 * a), "<u8"))
-
-
-def write(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+        self.nulls_at = size - 40 - self.docs
+        self.lengths_at = self.nulls_at - 8 * self.docs
+        self.docs_at = self.lengths_at - 8 * self.docs
+        self.starts_at = self.docs_at - 8 * self.blocks
+
+    def _longs(self, at: int, first: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(8 * n, at + 8 * first), "<i8")
+
+    def documents(self, first: int, n: int) -> Iterator[tuple[int | None, int]]:
+        """Ids and lengths of documents."""
+        nulls = self.file.read_at(n, self.nulls_at + first)
+        for doc, length, null in zip(self._longs(self.docs_at, first, n).tolist(), self._longs(self.lengths_at, first, n).tolist(), nulls, strict=True):
+            yield None if null else doc, length
+
+    def ids(self, first: int, n: int) -> np.ndarray:
+        """``n`` ids from the ``first`` on: the blocks that hold them are read, no others."""
+        if not n:
+            return np.zeros(0, np.uint64)
+        low, high = first // self.block, -(-(first + n) // self.block)
+        starts = np.append(self._longs(self.starts_at, low, min(high + 1, self.blocks) - low), self.words)
+        a, b = int(starts[0]), int(starts[high - low])
+        back = unpack(np.frombuffer(self.file.read_at(8 * (b - a), 8 + 8 * a), "<u8"))
+        return back[first - low * self.block:][:n]
+
+
+def write(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, segment: int = SEGMENT_DOCS) -> DataFrame:
     """Encodes ``docs`` (doc_id, text; null text: empty), each with ``end_id`` after its ids, and writes
-    files in ascending doc_id order (null first, equal ids by text). Returns the settled table of
-    files: file, part (its place), rows and the doc ids and lengths in it."""
+    files in ascending doc_id order (null first, equal ids by text). Returns the settled table of segments: file, task (files in
+    their order), first_doc, docs, first_id, ids."""
     spark = docs.sparkSession
-    folder = shared_files.folder(folder or new_path(spark, "tokens"))
+    folder = shared_files.folder(spark, folder or new_path(spark, "tokens"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, store = pretokens.library(vocabulary)
-        out, rows, uri = None, [], None
+        out = None
         end = np.array([end_id], "<u4")
-
-        def listed(done: list[tuple]):
-            for first in range(0, len(done), 4096):
-                yield (uri, first, [d for d, _ in done[first:first + 4096]], [k for _, k in done[first:first + 4096]])
-
         for batch in parts:
-            if out is None:
-                uri = shared_files.fresh(folder, "s8b")
-                out = Writer(uri)
+            out = out or Writer(shared_files.fresh(folder, "s8b"))
             for doc, ids in zip(batch.column("doc_id").to_pylist(), pretokens.encoded(batch.column("text").to_pylist(), encode, store), strict=True):
-                out.add(np.concatenate((ids, end)))
-                rows.append((doc, len(ids) + 1))
+                out.add(doc, np.concatenate((ids, end)))
         if out is not None:
-            out.close()
-            kind = pa.schema([("file", pa.string()), ("first", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
-            yield from batches(listed(rows), kind)
+            task = TaskContext.get().partitionId()
+            kind = pa.schema([("file", pa.string()), ("task", pa.int32()), *((c, pa.int64()) for c in ("first_doc", "docs", "first_id", "ids"))])
+            yield from batches(((out.uri, task, *part) for part in out.close(segment)), kind)
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return settle(ordered.mapInArrow(run, "file string, first long, docs array<long>, lengths array<long>"), "token-files")
+    return settle(ordered.mapInArrow(run, "file string, task int, first_doc long, docs long, first_id long, ids long"), "token-files")
 
 
-def placed(files: DataFrame) -> DataFrame:
-    """One row per file: ``file`` and ``before``, the ids of the files before it. Files are few (one a
-    task that wrote), so one task orders them."""
-    total = F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")
-    one = files.groupBy("file").agg(F.min(F.when(F.col("first") == 0, F.coalesce(F.get("docs", F.lit(0)), F.lit(-2**63)))).alias("least"), F.sum(total).alias("ids"))
-    order = Window.orderBy("least", "file").rowsBetween(Window.unboundedPreceding, -1)
+def placed(segments: DataFrame) -> DataFrame:
+    """One row per file: ``file`` and ``before``, the ids of the files before it. Files are few (one a task that wrote), so one task
+    orders them."""
+    one = segments.groupBy("file", "task").agg(F.sum("ids").alias("ids"))
+    order = Window.orderBy("task", "file").rowsBetween(Window.unboundedPreceding, -1)
     return one.select("file", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("before"))
 
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all rows before it), n_tokens and ids of every row, read from the files."""
-    lists = files.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("first", "docs", "lengths"))).alias("lists"))
-    jobs = lists.join(placed(files), "file").repartition(max(1, files.select("file").distinct().count()), "file")
+def read_documents(segments: DataFrame) -> DataFrame:
+    """doc_id, start (ids of all rows before it), n_tokens and ids of every row, read from the files by segments, which are
+    dealt evenly to tasks; a task holds one segment's ids at a time."""
+    spark = segments.sparkSession
+    many = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    jobs = segments.join(placed(segments), "file").select("file", "first_doc", "docs", "first_id", "ids", "before")
+    jobs = jobs.repartition(max(1, min(segments.count(), many)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in parts:
                 for job in batch.to_pylist():
-                    held, start = np.zeros(0, np.uint32), job["before"]
-                    source = read(job["file"])
-                    for part in job["lists"]:
-                        for doc, n in zip(part["docs"], part["lengths"], strict=True):
-                            more = [held]
-                            size = len(held)
-                            while size < n:
-                                more.append(next(source).astype("<u4"))
-                                size += len(more[-1])
-                            held = np.concatenate(more) if len(more) > 1 else held
-                            yield doc, start, n, held[:n].tobytes()
-                            held, start = held[n:], start + n
+                    file = Reader(job["file"])
+                    ids, at = file.ids(job["first_id"], job["ids"]).astype("<u4"), 0
+                    for doc, n in file.documents(job["first_doc"], job["docs"]):
+                        yield doc, job["before"] + job["first_id"] + at, n, ids[at:at + n].tobytes()
+                        at += n
         yield from batches(rows(), pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]))
 
     return jobs.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, **how) -> DataFrame:
     """Writes ``docs`` and reads them back: one row per row of ``docs``, repeated ones too, null and
     empty texts as the end id alone. An empty table gives an empty one, and no files."""
-    return read_documents(write(docs, vocabulary, end_id))
-
-
+    return read_documents(write(docs, vocabulary, end_id, **how))

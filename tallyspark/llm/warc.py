@@ -72,7 +72,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes a record per row of ``pages`` (page_id, url, html) and returns the settled index: file,
     offset, length, url, digest, page_id, record_type. Rows of the least page id of equal payloads
     are responses, all of them if the id repeats; a null id counts as the largest."""
-    folder = shared_files.folder(folder or new_path(pages.sparkSession, "warc"))
+    folder = shared_files.folder(pages.sparkSession, folder or new_path(pages.sparkSession, "warc"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():

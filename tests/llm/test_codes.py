@@ -9,6 +9,7 @@ import pytest
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, lz_fingerprint, pretokens, shared_files, spans, token_store, warc
 from tallyspark.llm.queries import RANKS, VOCABULARY
@@ -68,13 +69,32 @@ def test_simple8b_round_trip(ids, block):
         assert token_store.unpack(words[first:stop]).tolist() == ids[k * block:(k + 1) * block]
 
 
-def test_simple8b_file(tmp_path):
+def test_simple8b_file(tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "SEGMENT_IDS", 3000)
     ids = np.random.default_rng(1).integers(0, 50257, 20_000).astype(np.uint32)
-    out = token_store.Writer(shared_files.folder(f"{tmp_path}/a/x.s8b"), block=256)
-    for part in np.array_split(ids, 17):
-        out.add(part)
-    out.close()
-    assert np.concatenate(list(token_store.read(out.uri, blocks=3))).tolist() == ids.tolist()
+    out = token_store.Writer(f"file://{tmp_path}/a/x.s8b", block=256)
+    parts = np.split(ids, [0, 0, 1, 900, 901, 902, 903, 904, 905, 9000, 12000, 19_999, 20_000])
+    for doc, part in enumerate(parts):
+        out.add(None if doc == 3 else -doc, part)
+    segments = list(out.close(5))
+    assert sum(s[1] for s in segments) == len(parts) and len(segments) > 4 and max(s[1] for s in segments) <= 5
+    file = token_store.Reader(out.uri)
+    for first, n, start, size in segments:
+        assert file.ids(start, size).tolist() == ids[start:start + size].tolist()
+        assert list(file.documents(first, n)) == [(None if d == 3 else -d, len(parts[d])) for d in range(first, first + n)]
+
+
+def test_files_in_the_store_of_spark(spark, tmp_path):
+    assert shared_files.folder(spark, str(tmp_path)) == f"file://{tmp_path}"
+    assert shared_files.task_uri("file:/a/b") == shared_files.task_uri("file:///a/b") == "file:///a/b"
+    assert shared_files.task_uri("s3a://bucket/x") == "s3://bucket/x" and shared_files.task_uri("hdfs://name:1/x") == "hdfs://name:1/x"
+
+
+def test_the_store_is_read_by_many_tasks(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), F.col("id").cast("string")).alias("text"))
+    rows = token_store.round_trip(docs.repartition(3), VOCABULARY, segment=16)
+    sizes = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 4 and max(r["count"] for r in sizes) <= 100 and rows.count() == 600
 
 
 def test_token_store(docs, odd_texts):
