@@ -75,3 +75,29 @@ def near_classes(rows: list[tuple[int | None, str | None]], threshold: float = 0
 
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def base_failed(text: str | None) -> bool:
+    counts = quality(text)
+    return counts["n_words"] < 50 or 100 * counts["n_repeat_words"] > 50 * counts["n_words"]
+
+
+def near_groups(texts: list[str | None]) -> list[list[int]]:
+    """The places of the texts of each class; texts without words stand alone."""
+    groups = defaultdict(list)
+    for i, least in near_classes(list(enumerate(texts))):
+        groups[least].append(i)
+    return list(groups.values())
+
+
+def redacted(text: str | None) -> str:
+    text, out, at, merged = text or "", [], 0, []
+    for a, _, b, kind in base_spans(text):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b, kind])
+    for a, b, kind in merged:
+        out.append(text[at:a] + f"[{kind.upper()}]")
+        at = b
+    return "".join(out) + text[at:]
