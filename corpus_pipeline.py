@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, near-duplicates, personal data, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, personal data, packing.
+
+Every stage takes rows with null, empty and repeated texts and ids, and other columns of any name, as its operator's docstring
+says; an empty table goes through as an empty one.
+"""
 
 from __future__ import annotations
 
@@ -6,39 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import dart_minhash, decision_lists, packing, pii
 from tallyspark.llm.queries import VOCABULARY, table
-from tallyspark.plans.staging import new_path
+from tallyspark.plans.staging import discard, new_path, shuffles_freed
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned decision list let pass."""
+    """Documents that the base rules and the learned decision list let pass; a null or empty text fails the base rules."""
     return decision_lists.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the least id."""
+    """One document of each class of near-duplicates, the one with the least id; unrelated texts under one id stay each."""
     return dart_minhash.without_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind."""
+    """All documents, personal data in their texts replaced by its kind; null texts stay null."""
     return pii.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids in pieces, each with its sequence and its place there."""
+    """The documents' ids in pieces, each with its sequence and its place there; a null or empty text is the end id alone."""
     return packing.pack_documents(docs, VOCABULARY)
 
 
 STAGES = [("quality rules", quality), ("near-duplicates", near_dedup), ("personal data", personal_data), ("packing", pack)]
-#: Learned rules, signatures and token ids are beyond SQL; the tests hold the result against plain Python.
+#: Learned rules, signatures and token ids are beyond SQL; tests/llm/test_pipeline.py holds the result against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over ``documents``; each stage is written and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over ``documents``; each stage is written and read by the next, and gone when that is written."""
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with shuffles_freed(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        discard(before)  # the given table is none of this session's stages, so it stays
+        before = docs
     return docs
