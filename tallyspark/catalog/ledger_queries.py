@@ -242,11 +242,14 @@ def _(s: Staged) -> DataFrame:
     return benford.segmented_benford(s.lines, "created_by", min_n=100)
 
 
-@query("e04_mad_band", """SELECT account_code, CASE WHEN mad <= 0.006 THEN 'close conformity' WHEN mad <= 0.012 THEN 'acceptable conformity'
-    WHEN mad <= 0.015 THEN 'marginal conformity' ELSE 'nonconformity' END AS band FROM (SELECT account_code, avg(abs_cents % 17) / 1000.0 AS mad FROM gl GROUP BY 1)""")
+@query("e04_mad_band", """SELECT label AS account_code, CASE WHEN mad <= 0.006 THEN 'close conformity' WHEN mad <= 0.012 THEN 'acceptable conformity'
+    WHEN mad <= 0.015 THEN 'marginal conformity' ELSE 'nonconformity' END AS band, round(mad, 9) AS mad FROM (
+        SELECT account_code AS label, avg(abs(c / CAST(n AS DOUBLE) - log10(1 + 1.0::DOUBLE / d))) AS mad FROM (
+            SELECT account_code, d, count(*) FILTER (substr(CAST(abs_cents AS VARCHAR), 1, 1) = CAST(d AS VARCHAR)) AS c, count(*) AS n
+            FROM gl, range(1, 10) r(d) WHERE abs_cents > 0 GROUP BY ALL) GROUP BY 1)""")
 def _(s: Staged) -> DataFrame:
-    mad = s.lines.groupBy("account_code").agg((F.avg(F.col("abs_cents") % 17) / 1000.0).alias("mad"))
-    return mad.select("account_code", benford.mad_conformity(F.col("mad")).alias("band"))
+    found = benford.mad_by(s.lines, "account_code")
+    return found.select(F.col("label").alias("account_code"), benford.mad_conformity(F.col("mad")).alias("band"), F.round("mad", 9).alias("mad"))
 
 
 @query("e05_digit_distribution", """SELECT d AS digit, count(*) FILTER (dig = d) AS observed, round(count(*) FILTER (dig = d) / CAST(count(*) AS DOUBLE), 4) AS observed_prop,
@@ -309,17 +312,14 @@ def _(s: Staged) -> DataFrame:
                       F.col("round_1000_remainder").alias("remainder"))
 
 
-@query("f05_kept_features", """SELECT name AS feature, v > 1e-12 AS kept FROM (SELECT var_samp(CAST(n_lines AS DOUBLE)) AS n_lines,
-    var_samp(date_diff('day', CAST(entered_at AS DATE), CAST(posting_date AS DATE))) AS posting_lag_days, var_samp(log10(greatest(ac, 1) / 100.0::DOUBLE)) AS log_amount,
-    var_samp(hour(entered_at)) AS hour_sin FROM ent) UNPIVOT (v FOR name IN (n_lines, posting_lag_days, log_amount, hour_sin))""")
-def _(s: Staged) -> DataFrame:
-    row = features.feature_variances(s.features)
-    names = ("n_lines", "posting_lag_days", "log_amount", "hour_sin")
-    items = [F.struct(F.lit(c).alias("feature"), (F.col(c) > 1e-12).alias("kept")) for c in names]
-    return row.select(F.inline(F.array(*items)))
+_VARIANCES = ", ".join(f"var_samp({c}) AS {c}" for c in features.FEATURE_COLUMNS)
 
 
-_VARIANCES = ", ".join(f"var_samp({c}) AS {c}" for c in features.FEATURE_COLUMNS)
+@query("f05_kept_features", f"SELECT name AS feature, v > 1e-12 AS kept, round(v, 6) AS variance FROM (SELECT {_VARIANCES} FROM feats) UNPIVOT (v FOR name IN ({', '.join(features.FEATURE_COLUMNS)}))",
+       {"feats": _FEATURES})
+def _(s: Staged) -> DataFrame:
+    items = [F.struct(F.lit(c).alias("feature"), (F.col(c) > 1e-12).alias("kept"), F.round(c, 6).alias("variance")) for c in features.FEATURE_COLUMNS]
+    return features.feature_variances(s.features).select(F.inline(F.array(*items)))
 
 
 @query("f06_forest_fit", f"""SELECT any_value(n) AS n_entries, 16::BIGINT AS n_features_in, count(*) FILTER (v > 1e-12) AS n_features_used,

@@ -291,17 +291,17 @@ def _(s: Staged) -> DataFrame:
 
 
 @query("b14_entry_stamps", f"""SELECT entry_id, ['time', 'time', 'date', 'blank', 'unreadable-date', 'time', 'unreadable'][k % 7 + 1] AS kind, k % 7 = 1 AS utc,
-    CASE WHEN k % 7 IN (3, 6) THEN NULL ELSE strftime({_STAMP_SQL}, '%Y-%m-%d %H:%M:%S') END AS stamped FROM gl WHERE line_no = 1""")
+    CASE WHEN k % 7 IN (3, 6) THEN NULL ELSE strftime({_STAMP_SQL}, '%Y-%m-%d %H:%M:%S') END AS stamped, line_no FROM gl""")
 def _(s: Staged) -> DataFrame:
     k = F.substring("entry_id", 4, 9).cast("bigint")
     stamp = accounting.read_stamp(sv._stamp(k, F.col("entered_at")))
-    return s.lines.filter("line_no = 1").select("entry_id", stamp["kind"].alias("kind"), stamp["utc"].alias("utc"), stamp["when"].alias("stamped"))
+    return s.lines.select("entry_id", "line_no", stamp["kind"].alias("kind"), stamp["utc"].alias("utc"), stamp["when"].alias("stamped"))
 
 
-@query("b14_stamps_in_zone", """SELECT entry_id, strftime(entered_at + INTERVAL 8 HOUR + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS stamped FROM gl WHERE line_no = 1""")
+@query("b14_stamps_in_zone", """SELECT entry_id, strftime(entered_at + INTERVAL 8 HOUR + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS stamped, line_no FROM gl""")
 def _(s: Staged) -> DataFrame:
     raw = F.concat(F.date_format("entered_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-0800"))
-    return s.lines.filter("line_no = 1").select("entry_id", accounting.read_stamp(raw, "Asia/Kolkata")["when"].alias("stamped"))
+    return s.lines.select("entry_id", "line_no", accounting.read_stamp(raw, "Asia/Kolkata")["when"].alias("stamped"))
 
 
 @query("b15_transaction_types", f"""SELECT entry_id, token, CASE token WHEN 'JournalEntry' THEN 'Manual' WHEN 'BillPaymentCheck' THEN 'AP' WHEN 'InventoryStartingValue' THEN 'System' WHEN 'Bill' THEN 'AP'
@@ -331,13 +331,13 @@ def _(s: Staged) -> DataFrame:
 
 # -- J: review log ----------------------------------------------------------------------------------
 
-@query("j01_decision_problems", """SELECT 'decision must be one of accept, dismiss, escalate' AS problem, count(*) FILTER (k % 4 = 0) AS rows FROM decs JOIN once USING (entry_id)
-    UNION ALL SELECT 'a decision must be attributable to a named reviewer', count(*) FILTER (k % 3 = 0) FROM decs JOIN once USING (entry_id) UNION ALL SELECT 'a decision must name an entry', 0
-    UNION ALL SELECT 'a narrative is not one for its entry in ledger csv:a', count(*) FILTER (narrative_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM mynotes n WHERE n.id = d.narrative_id AND n.entry_id = d.entry_id)) FROM decs d""")
+@query("j01_decision_problems", """SELECT 'decision must be one of accept, dismiss, escalate' AS problem, count(*) FILTER (k % 4 = 0) AS rows, min(entry_id) FILTER (k % 4 = 0) AS example FROM decs JOIN once USING (entry_id)
+    UNION ALL SELECT 'a decision must be attributable to a named reviewer', count(*) FILTER (k % 3 = 0), min(entry_id) FILTER (k % 3 = 0) FROM decs JOIN once USING (entry_id) UNION ALL SELECT 'a decision must name an entry', 0, NULL
+    UNION ALL SELECT 'a narrative is not one for its entry in ledger csv:a', count(*) FILTER (narrative_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM mynotes n WHERE n.id = d.narrative_id AND n.entry_id = d.entry_id)), min(entry_id) FILTER (narrative_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM mynotes n WHERE n.id = d.narrative_id AND n.entry_id = d.entry_id)) FROM decs d""")
 def _(s: Staged) -> DataFrame:
     k = F.substring("entry_id", 4, 9).cast("bigint")
     odd = s.decisions.withColumns({"decision": F.when(k % 4 == 0, "maybe").otherwise(F.col("decision")), "reviewer": F.when(k % 3 == 0, " ").otherwise(F.col("reviewer"))})
-    return review.decision_faults(odd, s.notes, LEDGER).select("problem", "rows")
+    return review.decision_faults(odd, s.notes, LEDGER).select("problem", "rows", "example")
 
 
 _DEC_SQL = "SELECT id, ledger_id, entry_id, decision, reviewer, note, risk_score, model_score, narrative_id, decided_at FROM {0}"
@@ -731,11 +731,16 @@ def _(s: Staged) -> DataFrame:
     return found.select(F.explode("findings").alias("finding")).groupBy("finding").agg(F.count("*").alias("documents"))
 
 
-@query("l05_export_cells", """SELECT doc_id, length(text) <= 32767 AS whole, CASE WHEN length(text) <= 32767 THEN text ELSE substr(text, 1, 32767 - length(tail)) || tail END AS shown
-    FROM (SELECT doc_id, text, ' [cut: shown in full, the text would run to ' || format('{:,}', length(text)) || ' characters; a cell holds 32,767]' AS tail FROM documents)""")
+_UNWRITABLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
+
+
+@query("l05_export_cells", f"""SELECT doc_id, length(text) <= 32767 AS whole, CASE WHEN length(text) <= 32767 THEN text ELSE head || tail END AS shown,
+    length(CASE WHEN length(text) <= 32767 THEN text ELSE head END) - length(regexp_replace(CASE WHEN length(text) <= 32767 THEN text ELSE head END, '{_UNWRITABLE}', '', 'g')) AS replaced
+    FROM (SELECT *, substr(text, 1, 32767 - length(tail)) AS head FROM (
+        SELECT doc_id, text, ' [cut: shown in full, the text would run to ' || format('{{:,}}', length(text)) || ' characters; a cell holds 32,767]' AS tail FROM documents))""")
 def _(s: Staged) -> DataFrame:
     out = s.table("documents").withColumn("c", text.export_cell(F.col("text")))
-    return out.select("doc_id", (~F.col("c.cut")).alias("whole"), F.col("c.shown").alias("shown"))
+    return out.select("doc_id", (~F.col("c.cut")).alias("whole"), F.col("c.shown").alias("shown"), F.col("c.replaced").alias("replaced"))
 
 
 @query("l06_not_formulas", "SELECT doc_id, CASE WHEN text[1] IN ('=', '+', '-', '@') THEN '''' || text ELSE text END AS text FROM (SELECT doc_id, substr('=+-@x', CAST(doc_id % 5 + 1 AS INTEGER), 1) || text AS text FROM documents)")

@@ -81,6 +81,12 @@ def segmented_benford(rows: DataFrame, by: str | None, value: str = "abs_cents",
     return _statistics(counted).select(*RESULT).orderBy(F.desc("mad"), "label")
 
 
+def mad_by(rows: DataFrame, by: str, value: str = "abs_cents") -> DataFrame:
+    """``label`` and ``mad``, unrounded, of every segment that has digits, whatever its size."""
+    counted = rows.groupBy(F.col(by).cast("string").alias("label")).agg(F.count("*").alias("_rows"), *_digit_counts(value))
+    return _statistics(counted).where("n > 0").select("label", F.col("_mad").alias("mad"))
+
+
 def digit_distribution(rows: DataFrame, value: str = "abs_cents") -> DataFrame:
     """Observed against expected proportion of each digit, absent digits included."""
     counted = rows.agg(*_digit_counts(value))

@@ -91,6 +91,10 @@ def test_controls_file():
     for bad, said in (({**good, "x": 1}, "unknown key"), ({**good, "version": 2}, "version must be 1"), ({**good, "approval_limit": 0}, "above 0"), ({"version": 1}, "missing key")):
         with pytest.raises(LedgerError, match=said):
             ledger_files.parse_controls(json.dumps(bad))
+    with pytest.raises(LedgerError, match="unknown key 'x'; missing key 'version'; .* must be a list; .*above 0"):
+        ledger_files.parse_controls('{"x": 1, "manual_entry_approvers": {"a": 1}, "approval_limit": -5}')
+    with pytest.raises(LedgerError, match="approval_limit must be a number"):
+        ledger_files.parse_controls('{"version": 1, "manual_entry_approvers": ["a"], "approval_limit": NaN}')
     with pytest.raises(LedgerError, match="given twice"):
         ledger_files.parse_controls('{"version": 1, "version": 1, "manual_entry_approvers": ["a"], "approval_limit": 5}')
 
