@@ -38,6 +38,8 @@ WORDS, THRESHOLD = 5, 0.8
 SIZE, ROWS = 128, 8
 #: Height of the first band of ranks; the following ones double what has been thrown.
 FIRST_RANK = 1 / 64
+#: The most cells in which shingles are counted (a byte each), and cells in a row of counts.
+CELLS, BLOCK = 1 << 24, 1 << 14
 _U = np.uint64
 
 
@@ -186,28 +188,72 @@ def _similar(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "held_a", "held_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each cell occur in ``sets``, in one byte: up to 128 as it is, then by the logarithm.
+
+    A shingle's cell is its lowest bits. There are about a quarter as many cells as shingles, at most CELLS, so what a task hands on
+    and what is sent back is bounded. A task counts no cell beyond 255."""
+    total = sets.agg(F.sum(F.expr("octet_length(held) div 8")).alias("n")).first()["n"] or 0
+    cells = min(CELLS, max(BLOCK, 1 << max(1, total // 4).bit_length()))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        counts = np.zeros(cells, np.int64)
+        for batch in parts:
+            for x in batch.column("held"):
+                np.add.at(counts, _cells(x, cells), 1)
+        share = TaskContext.get().partitionId() % 64
+        least = np.minimum(counts, 255).astype(np.uint8).reshape(-1, BLOCK)
+        rows = ((k, share, least[k].tobytes()) for k in np.flatnonzero(least.any(axis=1)).tolist())
+        yield from batches(rows, pa.schema([("block", pa.int32()), ("share", pa.int32()), ("counts", pa.binary())]))
+
+    def add(kind: str):
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            counts = sum(np.frombuffer(x, kind).astype("<u4") for x in part["counts"])
+            return pd.DataFrame({"block": part["block"].iloc[:1], "share": part["share"].iloc[:1], "counts": [counts.tobytes()]})
+        return run
+
+    kind = "block int, share int, counts binary"
+    shares = sets.select("held").mapInArrow(run, kind).groupBy("block", "share").applyInPandas(add("u1"), kind)
+    out = np.zeros(cells, np.uint8)
+    for row in shares.groupBy("block").applyInPandas(add("<u4"), kind).toLocalIterator():
+        counts = np.frombuffer(row["counts"], "<u4").astype(np.float64)
+        out[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.where(counts <= 128, counts, np.minimum(255, 128 + 5 * np.log2(np.maximum(counts, 1) / 128)))
+    return out
+
+
+def _cells(held: pa.Scalar, cells: int) -> np.ndarray:
+    return (np.frombuffer(held.as_buffer(), np.uint64) & _U(cells - 1)).astype(np.int64)
+
+
 def rare_buckets(sets: DataFrame, threshold: float) -> DataFrame:
-    """``bucket`` (a shingle that two or more texts have), ``node``, ``size`` (all its shingles) and
-    ``rank`` (the shingle's place among them) for the rarest shingles of each text, ties by hash. A text of n shingles shares at least threshold * n
-    with one of that similarity, so of its n - ceil(threshold * n) + 1 rarest one is among the other's
-    rarest too. Shingles of one text alone take their places and are left out."""
+    """``bucket`` (a shingle), ``node``, ``size`` (all its shingles) and ``rank`` (the shingle's place among them) for the first shingles of
+    each text in an order that all texts have in common: the count of the shingle's cell, then its hash. A text of n shingles shares at
+    least threshold * n with one of that similarity, so of its n - ceil(threshold * n) + 1 first ones one is among the other's first too,
+    whatever the order; rare ones first keeps buckets small. Shingles alone in their cell are of one text; they take their places and
+    are left out."""
+    counts = shingle_counts(sets)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            ids, held = batch.column("id").to_numpy(), batch.column("held")
-            for first in range(0, len(ids), 100):
-                some = [np.frombuffer(x.as_buffer(), np.int64) for x in held.slice(first, 100)]
-                yield pa.record_batch([pa.array(np.concatenate(some)), pa.array(np.repeat(ids[first:first + 100], [len(x) for x in some]))], names=["bucket", "id"])
-
-    named = sets.select("node", F.xxhash64("node").alias("id"), "held")
-    each = named.select("id", "held").mapInArrow(run, "bucket bigint, id bigint")  # read twice, which costs less than its rows on disk
-    often = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    text = Window.partitionBy("id")
-    placed = each.join(often, "bucket").withColumns({"place": F.row_number().over(text.orderBy("n", "bucket")), "shared": F.count("*").over(text)})
-    sized = named.select("id", "node", F.expr("octet_length(held) div 8").alias("size"))
-    ranked = placed.join(sized, "id").withColumn("rank", F.col("place") + F.col("size") - F.col("shared"))
-    rare = ranked.where(F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-6) + 1)
-    return rare.select("bucket", "node", "size", "rank")
+            for first in range(0, batch.num_rows, 100):
+                some = batch.slice(first, 100)
+                buckets, sizes, ranks = [], [], []
+                for held in some.column("held"):
+                    own = np.frombuffer(held.as_buffer(), np.int64)
+                    count = counts[_cells(held, len(counts))]
+                    order = np.lexsort((own, count))[:len(own) - int(np.ceil(threshold * len(own) - 1e-6)) + 1]
+                    rank = np.flatnonzero(count[order] > 1)
+                    buckets.append(own[order[rank]])
+                    ranks.append(rank.astype(np.int32) + 1)
+                    sizes.append(len(own))
+                each = np.array([len(x) for x in buckets])
+                yield pa.record_batch([pa.array(np.concatenate(buckets)), some.column("node").take(pa.array(np.repeat(np.arange(len(each)), each))),
+                                       pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(np.concatenate(ranks).astype(np.int32))],
+                                      names=["bucket", "node", "size", "rank"])
+
+    return sets.select("node", "held").mapInArrow(run, "bucket bigint, node binary, size int, rank int")
 
 
 def _within_reach(threshold: float, other_size: Column, other_rank: Column | None = None) -> Column:
@@ -317,7 +363,10 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
     undecided = settle(held.select("node", "degree").distinct(), "undecided")
     discard(members, near, asked, held)
     sets = sets.join(undecided, "node", "left_semi").union(_sets_of(undecided.select("node").join(sets, "node", "left_anti"), docs))
-    members = settle(rare_buckets(sets, threshold).join(undecided, "node"), "buckets")
+    first = settle(rare_buckets(sets, threshold), "first")
+    often = first.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = settle(first.join(often, "bucket").join(undecided, "node"), "buckets")
+    discard(first)
     turn = 1
     while not (held := _of_mixed_buckets(_of_reach(members, threshold), label)).isEmpty():
         # of the largest class, which takes most others in; then of the smallest, whose rest is met in full
