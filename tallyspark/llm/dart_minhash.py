@@ -362,7 +362,10 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
     held = _of_mixed_buckets(members, label)
     undecided = settle(held.select("node", "degree").distinct(), "undecided")
     discard(members, near, asked, held)
-    sets = sets.join(undecided, "node", "left_semi").union(_sets_of(undecided.select("node").join(sets, "node", "left_anti"), docs))
+    few = F.broadcast(undecided) if fits(undecided.select(F.hex("node").alias("node"))) else undecided
+    more = _sets_of(undecided.select("node").join(sets.select("node"), "node", "left_anti"), docs)
+    before, sets = sets, settle(sets.join(few, "node", "left_semi").union(more), "sets")  # every round reads them
+    discard(before, more)
     first = settle(rare_buckets(sets, threshold), "first")
     often = first.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = settle(first.join(often, "bucket").join(undecided, "node"), "buckets")
