@@ -33,8 +33,8 @@ from tallyspark.llm.arrow import batches
 from tallyspark.plans.staging import discard, fits, settle, unused
 
 WORDS, THRESHOLD = 5, 0.8
-#: Coordinates of a signature, and how many of them make a band. Each coordinate is in two bands: one
-#: of its neighbours, one of those at equal steps from it.
+#: Coordinates of a signature, and how many of them make a band. Each coordinate is in three bands: one
+#: of its neighbours, one of those at equal steps from it, one of a diagonal across those steps.
 SIZE, ROWS = 128, 8
 #: Height of the first band of ranks; the following ones double what has been thrown.
 FIRST_RANK = 1 / 64
@@ -302,7 +302,8 @@ def _band_hashes(size: int, rows: int) -> list[Column]:
     def part(coordinates) -> Column:
         return F.xxhash64(F.concat(*(F.substring("sign", 4 * c + 1, 4) for c in coordinates)))
     step = size // rows
-    return [F.xxhash64(F.substring("sign", 4 * rows * k + 1, 4 * rows)) for k in range(step)] + [part(range(k, size, step)) for k in range(step)]
+    near = [F.xxhash64(F.substring("sign", 4 * rows * k + 1, 4 * rows)) for k in range(step)]
+    return near + [part(range(k, size, step)) for k in range(step)] + [part(step * j + (k + j) % step for j in range(rows)) for k in range(step)]
 
 
 def _sets_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
