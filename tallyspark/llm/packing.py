@@ -55,12 +55,10 @@ def pieces(docs: DataFrame, vocabulary: str, keep: list[str], capacity: int = SE
     fields = [f for f in docs.select(*keep).schema.fields]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, store = pretokens.library(vocabulary)
-
         def rows(batch: pa.RecordBatch):
             own = zip(*(batch.column(c).to_pylist() for c in keep), strict=True) if keep else iter(() for _ in range(batch.num_rows))
             end = np.array([end_id], "<u4")
-            for mine, ids in zip(own, pretokens.encoded(batch.column("text").to_pylist(), encode, store), strict=True):
+            for mine, ids in zip(own, pretokens.encoded_by(vocabulary, batch.column("text").to_pylist()), strict=True):
                 ids = np.concatenate((ids, end))
                 for first in range(0, len(ids), capacity):
                     part = ids[first:first + capacity]

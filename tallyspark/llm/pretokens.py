@@ -83,17 +83,34 @@ def encoded(texts: list[str | None], encode: Callable[[list[str]], list[list[int
             begin = stop
 
 
+def encoded_by(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The ids (uint32) of each text in order by the tokenizers file at ``path``. Strings of the file's added tokens become those
+    tokens' ids; what stands between them is encoded as texts of their own, as the tokenizers library does."""
+    encode, kept, added = library(path)
+    cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+    parted = [cut.split(t) if t and any(a in t for a in added) else [t] for t in texts]
+    between = encoded([part for own in parted for part in own[::2]], encode, kept)
+    for own in parted:
+        ids = [next(between)]
+        for token in own[1::2]:
+            ids += [np.array([added[token]], "<u4"), next(between)]
+        yield np.concatenate(ids) if len(ids) > 1 else ids[0]
+
+
 @lru_cache(2)
-def library(path: str) -> tuple[Callable[[list[str]], list[list[int]]], dict[str, list[int]]]:
-    """An encoder of pieces by the vocabulary of a tokenizers file (byte-level BPE), and its store;
-    one per worker and file. Pieces need the merges alone, so the file's ranks are given to the
-    faster of the installed libraries; special tokens' strings are ordinary text."""
+def library(path: str) -> tuple[Callable[[list[str]], list[list[int]]], dict[str, list[int]], dict[str, int]]:
+    """An encoder of pieces by the vocabulary of a tokenizers file (byte-level BPE), its store, and the
+    file's added tokens; one per worker and file. Pieces need the merges alone, so the file's ranks are
+    given to the faster of the installed libraries."""
     import json
 
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        whole = json.load(file)
+    model, added = whole["model"], whole.get("added_tokens", [])
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("the file's added tokens take white space or whole words only")
     of = letters()
     ranks = {bytes(of[c] for c in token): rank for token, rank in model["vocab"].items() if all(c in of for c in token)}
     order = [model["vocab"]["".join(pair if isinstance(pair, list) else pair.split(" "))] for pair in model["merges"]]
@@ -106,7 +123,7 @@ def library(path: str) -> tuple[Callable[[list[str]], list[list[int]]], dict[str
     def encode(words: list[str]) -> list[list[int]]:
         return [core.encode_single_piece(w.encode()) for w in words]
 
-    return encode, {}
+    return encode, {}, {t["content"]: t["id"] for t in added}
 
 
 def letters() -> dict[str, int]:

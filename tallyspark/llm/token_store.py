@@ -191,12 +191,11 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None
     folder = shared_files.folder(spark, folder or new_path(spark, "tokens"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, store = pretokens.library(vocabulary)
         out = None
         end = np.array([end_id], "<u4")
         for batch in parts:
             out = out or Writer(shared_files.fresh(folder, "s8b"))
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), pretokens.encoded(batch.column("text").to_pylist(), encode, store), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), pretokens.encoded_by(vocabulary, batch.column("text").to_pylist()), strict=True):
                 out.add(doc, np.concatenate((ids, end)))
         if out is not None:
             task = TaskContext.get().partitionId()

@@ -97,10 +97,20 @@ def test_the_store_is_read_by_many_tasks(spark):
     assert len(sizes) > 4 and max(r["count"] for r in sizes) <= 100 and rows.count() == 600
 
 
+def test_added_tokens_as_the_library():
+    from tokenizers import Tokenizer
+    from tallyspark.llm import pretokens
+    tool = Tokenizer.from_file(VOCABULARY)
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"{end}{end}x  {end}  ", f"it{end}'s  {end[:-1]} {end.upper()}", None, "", f"  {end}\n\n{end[1:]}", "plain words"]
+    got = [ids.tolist() for ids in pretokens.encoded_by(VOCABULARY, texts)]
+    assert got == [tool.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[0] == [50256]
+
+
 def test_token_store(docs, odd_texts):
     from tokenizers import Tokenizer
     tool = Tokenizer.from_file(VOCABULARY)
-    tool.encode_special_tokens = True
     rows = sorted(token_store.round_trip(docs.union(docs.where("doc_id = 9")), VOCABULARY).collect(), key=lambda r: r["start"])
     at = 0
     for r in rows:

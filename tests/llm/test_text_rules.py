@@ -102,7 +102,6 @@ def test_nothing_to_redact(empty):
 def tool():
     from tokenizers import Tokenizer
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
     return tool
 
 
