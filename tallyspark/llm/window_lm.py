@@ -2,26 +2,28 @@
 
 A small network sees the two words before and the two after a place and predicts the word there: one
 embedding table per place of the window, their sum through tanh, then a class of words and a word
-within it. Words are the SIZE - OTHERS most frequent ones of the whole corpus (lower case, counted
-over all documents) and OTHERS classes of the rest by hash. Each task trains on all its documents by
-Adagrad in numpy, from the same start; the networks are averaged, weighted by the words they saw.
+within it. The network's words are the SIZE - OTHERS most frequent ones of the whole corpus (lower
+case, counted over all documents) and OTHERS groups of the rest by hash. A word of the rest has its
+group's probability times its own share of the group, by a table of all words of the corpus with
+their counts, joined by word. Each task trains on all its documents by Adagrad in numpy, from the same
+start; the networks are averaged, weighted by the words they saw.
 A document's score is the sum over its words of the log-probability of each given its neighbours.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import spans
 from tallyspark.llm.arrow import batches
-from tallyspark.plans.staging import settle
+from tallyspark.plans.staging import settle, unused
 
 SIZE, OTHERS, CLASSES, WIDTH = 1024, 32, 32, 16
 PLACES = (-2, -1, 1, 2)
@@ -29,6 +31,8 @@ BATCH, RATE = 4096, 0.1
 #: Words counted in a task before they are handed on; parameters in a row of a task's network.
 HELD, BLOCK = 200_000, 4096
 _IN = SIZE // CLASSES
+#: The seed of Spark's own xxhash64, which a word outside the vocabulary has as its key in tasks too.
+_SEED = 42
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -50,9 +54,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """The number of each frequent word, by falling count, and the counts of all SIZE numbers."""
-    counts = settle(word_counts(docs), "words")
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[dict[str, int], np.ndarray]:
+    """The number of each frequent word, by falling count, and the counts of all SIZE numbers.
+    ``counts``: the settled :func:`word_counts` of ``docs``, where there are such."""
+    counts = settle(word_counts(docs), "words") if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(SIZE - OTHERS).collect()
     numbers = {r["word"]: k for k, r in enumerate(top)}
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -62,6 +67,17 @@ def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
     return numbers, found
 
 
+def rare_words(counts: DataFrame, numbers: dict[str, int]) -> tuple[DataFrame, np.ndarray]:
+    """``key`` (a 64-bit hash) and ``n`` of every word of ``counts`` outside ``numbers``, and what each of the
+    OTHERS groups holds in all. Words are one only if their hashes agree in all 64 bits."""
+    rest = counts.where(~F.col("word").isin(list(numbers))) if numbers else counts
+    words = rest.groupBy(F.xxhash64("word").alias("key")).agg(F.sum("n").alias("n"))
+    totals = np.zeros(OTHERS)
+    for row in rest.groupBy(F.pmod(F.xxhash64("word"), F.lit(OTHERS)).alias("at")).agg(F.sum("n").alias("n")).collect():
+        totals[row["at"]] = row["n"]
+    return words, totals
+
+
 def _words(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     """Per chunk: its distinct words, the number of each word in the chunk's order, words per text."""
     for chunk in spans.chunks(texts):
@@ -74,18 +90,22 @@ def _words(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray, np.
         yield words, codes, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
-def _numbered(texts: list[str | None], numbers: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per chunk: each word's number, the numbers around it (SIZE beyond the text), words per text."""
+def _numbered(texts: list[str | None], numbers: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per chunk: each word's number, the numbers around it (SIZE beyond the text), words per text, and
+    the keys of the words outside ``numbers`` in their order."""
     for words, codes, sizes in _words(texts):
         known = np.array([numbers.get(w, -1) for w in words], np.int64)
-        for k in np.flatnonzero(known < 0).tolist():
-            known[k] = SIZE - OTHERS + zlib.crc32(words[k].encode()) % OTHERS
+        keys = np.zeros(len(words), np.uint64)
+        rare = np.flatnonzero(known < 0)
+        keys[rare] = [xxhash.xxh64_intdigest(words[k].encode(), _SEED) for k in rare.tolist()]
+        known[rare] = SIZE - OTHERS + (keys[rare] % np.uint64(OTHERS)).astype(np.int64)
         target = known[codes] if len(codes) else np.zeros(0, np.int64)
         gap = len(PLACES) // 2
         at = np.arange(len(target)) + gap * (1 + np.repeat(np.arange(len(sizes)), sizes))
         padded = np.full(len(target) + gap * (len(sizes) + 2), SIZE, np.int64)
         padded[at] = target
-        yield target, np.stack([padded[at + p] for p in PLACES], axis=1) if len(target) else np.zeros((0, len(PLACES)), np.int64), sizes
+        around = np.stack([padded[at + p] for p in PLACES], axis=1) if len(target) else np.zeros((0, len(PLACES)), np.int64)
+        yield target, around, sizes, keys[codes][target >= SIZE - OTHERS].view(np.int64) if len(codes) else np.zeros(0, np.int64)
 
 
 class Network:
@@ -187,7 +207,7 @@ def train(docs: DataFrame, numbers: dict[str, int], start: Network) -> Network:
         net, seen = Network(begin.copy()), 0
         square = np.full(len(begin), 1e-6, np.float32)
         for batch in parts:
-            for target, around, _ in _numbered(batch.column("text").to_pylist(), numbers):
+            for target, around, _, _ in _numbered(batch.column("text").to_pylist(), numbers):
                 for at in range(0, len(target), BATCH):
                     slope = net.gradient(target[at:at + BATCH], around[at:at + BATCH])
                     square += slope * slope
@@ -211,28 +231,48 @@ def train(docs: DataFrame, numbers: dict[str, int], start: Network) -> Network:
     return Network(np.concatenate([np.frombuffer(r["sums"], np.float64) / r["words"] for r in rows]))
 
 
-def scored(docs: DataFrame, numbers: dict[str, int], net: Network, keep: list[str]) -> DataFrame:
+def scored(docs: DataFrame, numbers: dict[str, int], net: Network, keep: list[str], counts: DataFrame | None = None) -> DataFrame:
     """The columns ``keep`` of every row of ``docs``, ``n_words``, ``log_likelihood`` and ``per_word`` (null
-    without words)."""
+    without words).
+
+    ``counts``: the settled :func:`word_counts` that ``numbers`` come from. A word outside ``numbers`` that
+    was counted n times has n / (N + 1) of its group's probability, N being all that the group holds;
+    a word never seen has 1 / (N + 1). Without ``counts`` such a word scores as its whole group.
+    """
     keep = [c for c in keep if c not in ("n_words", "log_likelihood", "per_word", "text")]
     values = net.values
+    words, totals = (None, np.zeros(OTHERS)) if counts is None else rare_words(counts, numbers)
+    whole = np.concatenate([np.zeros(SIZE - OTHERS), np.log(totals + 1)])
+    given = unused("_keys", keep)
+    row, more = unused("_row", keep), unused("_more", keep)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Network(values)
         for batch in parts:
-            sizes, sums = [], []
-            for target, around, size in _numbered(batch.column("text").to_pylist(), numbers):
-                logs = held.log_probabilities(target, around)
-                sums.append(np.bincount(np.repeat(np.arange(len(size)), size), logs, len(size)))
+            sizes, sums, found, rare = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for target, around, size, keys in _numbered(batch.column("text").to_pylist(), numbers):
+                owner = np.repeat(np.arange(len(size)), size)
+                logs = held.log_probabilities(target, around) - whole[target]
+                sums.append(np.bincount(owner, logs, len(size)))
                 sizes.append(size)
-            n, total = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, sums))
-            mean = [t / k if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())],
-                                  names=[*keep, "n_words", "log_likelihood", "per_word"])
+                found.append(np.bincount(owner[target >= SIZE - OTHERS], minlength=len(size)))
+                rare.append(keys)
+            n, total, some, keys = (np.concatenate(x) for x in (sizes, sums, found, rare))
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some)]).astype(np.int32), pa.array(keys))
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(total, pa.float64()), lists],
+                                  names=[*keep, "n_words", "log_likelihood", given])
 
     rows = docs.select(*keep, "text")
     own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(run, own + "n_words long, log_likelihood double, per_word double")
+    rows = rows.mapInArrow(run, own + f"n_words long, log_likelihood double, `{given}` array<long>")
+    if words is not None:
+        # No word outside the vocabulary makes up more than one in SIZE - OTHERS of all, so no key of this join is hot.
+        rows = settle(rows.withColumn(row, F.monotonically_increasing_id()), "scores")
+        each = rows.select(row, F.explode(given).alias("key")).join(words.where("n > 1"), "key")
+        sums = each.groupBy(row).agg(F.sum(F.log("n")).alias(more))
+        rows = rows.drop(given).join(sums, row, "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce(more, F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return rows.select(*keep, "n_words", "log_likelihood", mean.alias("per_word"))
 
 
 def score_documents(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -240,5 +280,6 @@ def score_documents(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     default doc_id), n_words, log_likelihood, per_word. Null and empty texts have no words, a
     log_likelihood of 0 and a null per_word; repeated rows score alike; an empty table gives an empty
     one. Scores follow how rows are dealt to tasks in their last digits, since networks are averaged."""
-    numbers, counts = vocabulary(docs)
-    return scored(docs, numbers, train(docs, numbers, Network.fresh(counts)), keep or ["doc_id"])
+    counts = settle(word_counts(docs), "words")
+    numbers, found = vocabulary(docs, counts)
+    return scored(docs, numbers, train(docs, numbers, Network.fresh(found)), keep or ["doc_id"], counts)

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
 import numpy as np
+import xxhash
 
 from tallyspark.llm import quotes, window_lm
+from tallyspark.plans.staging import settle
 
 
 def by_hand(rows):
@@ -113,3 +116,48 @@ def test_learns_order_beyond_frequency(spark):
     after = {r["doc_id"]: r["per_word"] for r in window_lm.scored(held, numbers, net, ["doc_id"]).collect()}
     before = {r["doc_id"]: r["per_word"] for r in window_lm.scored(held, numbers, start, ["doc_id"]).collect()}
     assert after[1] > before[1] + 1 and after[1] > after[2] + 1
+
+
+def test_every_word_has_its_own_probability(spark):
+    draw = random.Random(4)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(draw.choices(words, [1 / (k + 30) for k in range(3000)], k=300)) for _ in range(40)] + [None, "", "W0 w1 W2999"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(3)
+    counted = settle(window_lm.word_counts(docs))
+    n = {}
+    for word in " ".join(t or "" for t in texts).lower().split():
+        n[word] = n.get(word, 0) + 1
+    assert {r["word"]: r["n"] for r in counted.collect()} == n
+    numbers, found = window_lm.vocabulary(docs, counted)
+    known = window_lm.SIZE - window_lm.OTHERS
+    assert list(numbers) == sorted(n, key=lambda w: (-n[w], w))[:known]
+    assert len(n) > 2 * known and any(n[w] > 1 for w in n.keys() - numbers.keys())
+    net = window_lm.train(docs, numbers, window_lm.Network.fresh(found))
+    held = docs.unionByName(spark.createDataFrame([(99, "w0 junk1 w1 junk2 w2999")], "_row long, text string"))
+    got = {r["_row"]: r for r in window_lm.scored(held, numbers, net, ["_row"], counted).collect()}
+    group = lambda w: known + xxhash.xxh64_intdigest(w, 42) % window_lm.OTHERS
+    whole = {}
+    for word in n.keys() - numbers.keys():
+        whole[group(word)] = whole.get(group(word), 0) + n[word]
+    for row in held.collect():
+        text = (row["text"] or "").lower().split()
+        at = [numbers.get(w, group(w)) for w in text]
+        padded = np.array([window_lm.SIZE] * 2 + at + [window_lm.SIZE] * 2)
+        around = np.array([[padded[i + 2 + p] for p in window_lm.PLACES] for i in range(len(at))]).reshape(-1, 4)
+        logs = net.log_probabilities(np.array(at, np.int64), around)
+        own = [0 if w in numbers else math.log(n.get(w, 1) / (whole.get(group(w), 0) + 1)) for w in text]
+        assert got[row["_row"]]["n_words"] == len(text)
+        assert abs(got[row["_row"]]["log_likelihood"] - logs.sum() - sum(own)) < 0.01
+        assert (got[row["_row"]]["per_word"] is None) == (not text)
+
+
+def test_random_words_score_below_rare_ones(spark):
+    draw = random.Random(6)
+    rare = ["".join(draw.choices("abcdefghij", k=9)) for _ in range(4000)]
+    texts = [" ".join(draw.choices(rare, k=60)) for _ in range(400)]
+    junk = [" ".join("".join(draw.choices("klmnopqrst", k=9)) for _ in range(60)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts + junk + texts[:1])), "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r["per_word"] for r in window_lm.score_documents(docs).collect()}
+    real = [rows[k] for k in range(400)]
+    assert max(rows[400 + k] for k in range(5)) < min(real)
+    assert abs(rows[405] - rows[0]) < 1e-9
