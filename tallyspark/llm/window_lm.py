@@ -8,6 +8,9 @@ group's probability times its own share of the group, by a table of all words of
 their counts, joined by word. Each task trains on all its documents by Adagrad in numpy, from the same
 start; the networks are averaged, weighted by the words they saw.
 A document's score is the sum over its words of the log-probability of each given its neighbours.
+
+Texts are cut once: a word is from then on a 64-bit hash of its code points, its key. Words are one
+only if all 64 bits agree.
 """
 
 from __future__ import annotations
@@ -17,49 +20,84 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm import spans
 from tallyspark.llm.arrow import batches
-from tallyspark.plans.staging import settle, unused
+from tallyspark.plans.staging import discard, settle, unused
 
 SIZE, OTHERS, CLASSES, WIDTH = 1024, 32, 32, 16
 PLACES = (-2, -1, 1, 2)
 BATCH, RATE = 4096, 0.1
-#: Words counted in a task before they are handed on; parameters in a row of a task's network.
-HELD, BLOCK = 200_000, 4096
+#: Words worked on at once, but for a longer text; words counted before they are handed on; parameters in a row of a task's network.
+PART, HELD, BLOCK = 500_000, 4_000_000, 4096
 _IN = SIZE // CLASSES
-#: The seed of Spark's own xxhash64, which a word outside the vocabulary has as its key in tasks too.
-_SEED = 42
+_COLUMNS = ("n_words", "log_likelihood", "per_word")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word`` and ``n`` over the whole texts of ``docs``."""
+def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs`` but text and those of the scores, and as the last column
+    the key of each word of the whole text, in order. Null has none."""
+    keep = [c for c in keep if c not in (*_COLUMNS, "text")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            counts: dict[str, int] = {}
-            for batch in parts:
-                for words, codes, _ in _words(batch.column("text").to_pylist()):
-                    for word, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
-                        counts[word] = counts.get(word, 0) + n
-                    if len(counts) > HELD:
-                        yield from counts.items()
-                        counts = {}
-            yield from counts.items()
-        yield from batches(rows(), pa.schema([("word", pa.string()), ("n", pa.int64())]))
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[dict[str, int], np.ndarray]:
-    """The number of each frequent word, by falling count, and the counts of all SIZE numbers.
-    ``counts``: the settled :func:`word_counts` of ``docs``, where there are such."""
-    counts = settle(word_counts(docs), "words") if counts is None else counts
-    top = counts.orderBy(F.desc("n"), "word").limit(SIZE - OTHERS).collect()
-    numbers = {r["word"]: k for k, r in enumerate(top)}
+        for batch in parts:
+            keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for chunk in spans.chunks(batch.column("text").to_pylist()):
+                points, ends = spans.code_points([t.lower() for t in chunk])
+                starts, stops, outside = spans.blank_words(points)
+                keys.append(spans.hashes(points, starts, stops, outside)[0].view(np.int64))
+                sizes.append(np.diff(np.searchsorted(starts, ends), prepend=0))
+            yield pa.record_batch([*(batch.column(c) for c in keep), _lists(np.concatenate(keys), np.concatenate(sizes))], names=names)
+
+    rows = docs.select(*keep, "text")
+    names = [*keep, unused("keys", keep)]
+    return rows.mapInArrow(run, T.StructType([*rows.drop("text").schema.fields, T.StructField(names[-1], T.ArrayType(T.LongType()))]))
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The keys and words per text of some texts after the other, about PART words at once."""
+    lists = batch.column(batch.num_columns - 1)
+    edges, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    at = 0
+    while at < len(lists):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + PART, side="right")) - 1)
+        yield values[edges[at]:edges[to]], np.diff(edges[at:to + 1])
+        at = to
+
+
+def word_counts(words: DataFrame) -> DataFrame:
+    """``key`` and ``n`` of every word of the :func:`keyed` rows ``words``."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        codes, keys = pd.factorize(np.concatenate(held))
+        return pa.record_batch([pa.array(keys, pa.int64()), pa.array(np.bincount(codes, minlength=len(keys)), pa.int64())], names=["key", "n"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in parts:
+            for keys, _ in _parts(batch):
+                held.append(keys)
+                size += len(keys)
+                if size > HELD:
+                    yield counted(held)
+                    held, size = [], 0
+        if size:
+            yield counted(held)
+
+    return words.select(words.columns[-1]).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> tuple[dict[int, int], np.ndarray]:
+    """The number of each frequent word's key, by falling count, and the counts of all SIZE numbers."""
+    top = counts.orderBy(F.desc("n"), "key").limit(SIZE - OTHERS).collect()
+    numbers = {r["key"]: k for k, r in enumerate(top)}
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     found = np.ones(SIZE)
     found[:len(top)] += [r["n"] for r in top]
@@ -67,45 +105,38 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[dict[s
     return numbers, found
 
 
-def rare_words(counts: DataFrame, numbers: dict[str, int]) -> tuple[DataFrame, np.ndarray]:
-    """``key`` (a 64-bit hash) and ``n`` of every word of ``counts`` outside ``numbers``, and what each of the
-    OTHERS groups holds in all. Words are one only if their hashes agree in all 64 bits."""
-    rest = counts.where(~F.col("word").isin(list(numbers))) if numbers else counts
-    words = rest.groupBy(F.xxhash64("word").alias("key")).agg(F.sum("n").alias("n"))
+def rare_words(counts: DataFrame, numbers: dict[int, int]) -> tuple[DataFrame, np.ndarray]:
+    """The rows of ``counts`` outside ``numbers``, and what each of the OTHERS groups holds in all."""
+    rest = counts.where(~F.col("key").isin(list(numbers))) if numbers else counts
     totals = np.zeros(OTHERS)
-    for row in rest.groupBy(F.pmod(F.xxhash64("word"), F.lit(OTHERS)).alias("at")).agg(F.sum("n").alias("n")).collect():
+    for row in rest.groupBy(F.pmod("key", F.lit(OTHERS)).alias("at")).agg(F.sum("n").alias("n")).collect():
         totals[row["at"]] = row["n"]
-    return words, totals
-
-
-def _words(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """Per chunk: its distinct words, the number of each word in the chunk's order, words per text."""
-    for chunk in spans.chunks(texts):
-        chunk = [t.lower() for t in chunk]
-        points, ends = spans.code_points(chunk)
-        starts, stops, outside = spans.blank_words(points)
-        codes, first = spans.distinct(points, starts, stops, outside)
-        whole = "\n".join(chunk)
-        words = [whole[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-        yield words, codes, np.diff(np.searchsorted(starts, ends), prepend=0)
-
-
-def _numbered(texts: list[str | None], numbers: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per chunk: each word's number, the numbers around it (SIZE beyond the text), words per text, and
-    the keys of the words outside ``numbers`` in their order."""
-    for words, codes, sizes in _words(texts):
-        known = np.array([numbers.get(w, -1) for w in words], np.int64)
-        keys = np.zeros(len(words), np.uint64)
-        rare = np.flatnonzero(known < 0)
-        keys[rare] = [xxhash.xxh64_intdigest(words[k].encode(), _SEED) for k in rare.tolist()]
-        known[rare] = SIZE - OTHERS + (keys[rare] % np.uint64(OTHERS)).astype(np.int64)
-        target = known[codes] if len(codes) else np.zeros(0, np.int64)
+    return rest, totals
+
+
+class Numbers:
+    """Keys to numbers: a frequent word's own, or its group's. Groups are numbered from SIZE - OTHERS."""
+
+    def __init__(self, numbers: dict[int, int]) -> None:
+        self.keys = np.array(sorted(numbers), np.int64)
+        self.numbers = np.array([numbers[k] for k in self.keys.tolist()], np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = SIZE - OTHERS + keys % OTHERS
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[at] == keys
+            out[known] = self.numbers[at[known]]
+        return out
+
+    def windows(self, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's number and the numbers around it, SIZE beyond its text."""
+        target = self(keys)
         gap = len(PLACES) // 2
         at = np.arange(len(target)) + gap * (1 + np.repeat(np.arange(len(sizes)), sizes))
         padded = np.full(len(target) + gap * (len(sizes) + 2), SIZE, np.int64)
         padded[at] = target
-        around = np.stack([padded[at + p] for p in PLACES], axis=1) if len(target) else np.zeros((0, len(PLACES)), np.int64)
-        yield target, around, sizes, keys[codes][target >= SIZE - OTHERS].view(np.int64) if len(codes) else np.zeros(0, np.int64)
+        return target, np.stack([padded[at + p] for p in PLACES], axis=1)
 
 
 class Network:
@@ -197,17 +228,18 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def train(docs: DataFrame, numbers: dict[str, int], start: Network) -> Network:
-    """One pass over all of ``docs``. What goes to the driver is one network."""
+def train(words: DataFrame, numbers: dict[int, int], start: Network) -> Network:
+    """One pass over all of the :func:`keyed` rows ``words``. What goes to the driver is one network."""
     begin = start.values
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        net, seen = Network(begin.copy()), 0
+        net, seen, table = Network(begin.copy()), 0, Numbers(numbers)
         square = np.full(len(begin), 1e-6, np.float32)
         for batch in parts:
-            for target, around, _, _ in _numbered(batch.column("text").to_pylist(), numbers):
+            for keys, sizes in _parts(batch):
+                target, around = table.windows(keys, sizes)
                 for at in range(0, len(target), BATCH):
                     slope = net.gradient(target[at:at + BATCH], around[at:at + BATCH])
                     square += slope * slope
@@ -223,7 +255,7 @@ def train(docs: DataFrame, numbers: dict[str, int], start: Network) -> Network:
         return pd.DataFrame({"block": part["block"].iloc[:1], "share": part["share"].iloc[:1], "words": [part["words"].sum()], "sums": [sums.tobytes()]})
 
     kind = "block int, share int, words long, sums binary"
-    sums = docs.select("text").mapInArrow(run, kind).groupBy("block", "share").applyInPandas(add, kind)
+    sums = words.select(words.columns[-1]).mapInArrow(run, kind).groupBy("block", "share").applyInPandas(add, kind)
     rows = sums.groupBy("block").applyInPandas(add, kind).collect()
     if not rows:
         return start
@@ -231,44 +263,40 @@ def train(docs: DataFrame, numbers: dict[str, int], start: Network) -> Network:
     return Network(np.concatenate([np.frombuffer(r["sums"], np.float64) / r["words"] for r in rows]))
 
 
-def scored(docs: DataFrame, numbers: dict[str, int], net: Network, keep: list[str], counts: DataFrame | None = None) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs``, ``n_words``, ``log_likelihood`` and ``per_word`` (null
-    without words).
+def scored(words: DataFrame, numbers: dict[int, int], net: Network, counts: DataFrame | None = None) -> DataFrame:
+    """The columns of every :func:`keyed` row of ``words`` but the last, ``n_words``, ``log_likelihood`` and
+    ``per_word`` (null without words).
 
     ``counts``: the settled :func:`word_counts` that ``numbers`` come from. A word outside ``numbers`` that
     was counted n times has n / (N + 1) of its group's probability, N being all that the group holds;
     a word never seen has 1 / (N + 1). Without ``counts`` such a word scores as its whole group.
     """
-    keep = [c for c in keep if c not in ("n_words", "log_likelihood", "per_word", "text")]
+    keep = words.columns[:-1]
     values = net.values
-    words, totals = (None, np.zeros(OTHERS)) if counts is None else rare_words(counts, numbers)
+    rest, totals = (None, np.zeros(OTHERS)) if counts is None else rare_words(counts, numbers)
     whole = np.concatenate([np.zeros(SIZE - OTHERS), np.log(totals + 1)])
-    given = unused("_keys", keep)
-    row, more = unused("_row", keep), unused("_more", keep)
+    given, row, more = (unused(name, keep) for name in ("_keys", "_row", "_more"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Network(values)
+        held, table = Network(values), Numbers(numbers)
         for batch in parts:
-            sizes, sums, found, rare = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for target, around, size, keys in _numbered(batch.column("text").to_pylist(), numbers):
-                owner = np.repeat(np.arange(len(size)), size)
-                logs = held.log_probabilities(target, around) - whole[target]
-                sums.append(np.bincount(owner, logs, len(size)))
-                sizes.append(size)
-                found.append(np.bincount(owner[target >= SIZE - OTHERS], minlength=len(size)))
-                rare.append(keys)
-            n, total, some, keys = (np.concatenate(x) for x in (sizes, sums, found, rare))
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some)]).astype(np.int32), pa.array(keys))
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(total, pa.float64()), lists],
+            sums, rare, n_rare = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for keys, sizes in _parts(batch):
+                target, around = table.windows(keys, sizes)
+                owner, other = np.repeat(np.arange(len(sizes)), sizes), target >= SIZE - OTHERS
+                sums.append(np.bincount(owner, held.log_probabilities(target, around) - whole[target], len(sizes)))
+                rare.append(keys[other])
+                n_rare.append(np.bincount(owner[other], minlength=len(sizes)))
+            n = np.diff(batch.column(len(keep)).offsets.to_numpy())
+            yield pa.record_batch([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(np.concatenate(sums)), _lists(np.concatenate(rare), np.concatenate(n_rare))],
                                   names=[*keep, "n_words", "log_likelihood", given])
 
-    rows = docs.select(*keep, "text")
-    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name != "text")
-    rows = rows.mapInArrow(run, own + f"n_words long, log_likelihood double, `{given}` array<long>")
-    if words is not None:
+    own = [T.StructField("n_words", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField(given, T.ArrayType(T.LongType()))]
+    rows = words.mapInArrow(run, T.StructType([*words.schema.fields[:-1], *own]))
+    if rest is not None:
         # No word outside the vocabulary makes up more than one in SIZE - OTHERS of all, so no key of this join is hot.
         rows = settle(rows.withColumn(row, F.monotonically_increasing_id()), "scores")
-        each = rows.select(row, F.explode(given).alias("key")).join(words.where("n > 1"), "key")
+        each = rows.select(row, F.explode(given).alias("key")).join(rest.where("n > 1"), "key")
         sums = each.groupBy(row).agg(F.sum(F.log("n")).alias(more))
         rows = rows.drop(given).join(sums, row, "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce(more, F.lit(0.0)))
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
@@ -280,6 +308,9 @@ def score_documents(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     default doc_id), n_words, log_likelihood, per_word. Null and empty texts have no words, a
     log_likelihood of 0 and a null per_word; repeated rows score alike; an empty table gives an empty
     one. Scores follow how rows are dealt to tasks in their last digits, since networks are averaged."""
-    counts = settle(word_counts(docs), "words")
-    numbers, found = vocabulary(docs, counts)
-    return scored(docs, numbers, train(docs, numbers, Network.fresh(found)), keep or ["doc_id"], counts)
+    words = settle(keyed(docs, keep or ["doc_id"]), "words")
+    counts = settle(word_counts(words), "word-counts")
+    numbers, found = vocabulary(counts)
+    out = scored(words, numbers, train(words, numbers, Network.fresh(found)), counts)
+    discard(words)
+    return out

@@ -5,7 +5,7 @@ import random
 import re
 
 import numpy as np
-import xxhash
+from pyspark.sql import functions as F
 
 from tallyspark.llm import quotes, window_lm
 from tallyspark.plans.staging import settle
@@ -107,14 +107,15 @@ def test_scores(spark, docs, odd_texts, empty):
 def test_learns_order_beyond_frequency(spark):
     cycle = [f"w{k}" for k in range(20)]
     train = spark.createDataFrame([(i, " ".join((cycle * 30)[i % 20:i % 20 + 400])) for i in range(300)], "doc_id long, text string").repartition(4)
-    numbers, counts = window_lm.vocabulary(train)
+    train = settle(window_lm.keyed(train, []))
+    numbers, counts = window_lm.vocabulary(window_lm.word_counts(train))
     start = window_lm.Network.fresh(counts)
     net = window_lm.train(train, numbers, start)
     words = (cycle * 5)[3:90]
     draw = random.Random(1)
     held = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(draw.sample(words, len(words))))], "doc_id long, text string")
-    after = {r["doc_id"]: r["per_word"] for r in window_lm.scored(held, numbers, net, ["doc_id"]).collect()}
-    before = {r["doc_id"]: r["per_word"] for r in window_lm.scored(held, numbers, start, ["doc_id"]).collect()}
+    after = {r["doc_id"]: r["per_word"] for r in window_lm.scored(window_lm.keyed(held, ["doc_id"]), numbers, net).collect()}
+    before = {r["doc_id"]: r["per_word"] for r in window_lm.scored(window_lm.keyed(held, ["doc_id"]), numbers, start).collect()}
     assert after[1] > before[1] + 1 and after[1] > after[2] + 1
 
 
@@ -123,19 +124,26 @@ def test_every_word_has_its_own_probability(spark):
     words = [f"w{k}" for k in range(3000)]
     texts = [" ".join(draw.choices(words, [1 / (k + 30) for k in range(3000)], k=300)) for _ in range(40)] + [None, "", "W0 w1 W2999"]
     docs = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(3)
-    counted = settle(window_lm.word_counts(docs))
-    n = {}
-    for word in " ".join(t or "" for t in texts).lower().split():
-        n[word] = n.get(word, 0) + 1
-    assert {r["word"]: r["n"] for r in counted.collect()} == n
-    numbers, found = window_lm.vocabulary(docs, counted)
+    keyed = settle(window_lm.keyed(docs, ["_row"]))
+    counted = settle(window_lm.word_counts(keyed))
+    n, key = {}, {}
+    for row in docs.join(keyed, "_row").collect():
+        for word, k in zip((row["text"] or "").lower().split(), row["keys"], strict=True):
+            n[word], key[word] = n.get(word, 0) + 1, k
+    assert len(set(key.values())) == len(n) and {r["key"]: r["n"] for r in counted.collect()} == {key[w]: n[w] for w in n}
     known = window_lm.SIZE - window_lm.OTHERS
-    assert list(numbers) == sorted(n, key=lambda w: (-n[w], w))[:known]
-    assert len(n) > 2 * known and any(n[w] > 1 for w in n.keys() - numbers.keys())
-    net = window_lm.train(docs, numbers, window_lm.Network.fresh(found))
+    top = sorted(n, key=lambda w: (-n[w], key[w]))[:known]
+    numbers, found = window_lm.vocabulary(counted)
+    assert list(numbers) == [key[w] for w in top]
+    assert len(n) > 2 * known and any(n[w] > 1 for w in n.keys() - set(top))
+    net = window_lm.train(keyed, numbers, window_lm.Network.fresh(found))
     held = docs.unionByName(spark.createDataFrame([(99, "w0 junk1 w1 junk2 w2999")], "_row long, text string"))
-    got = {r["_row"]: r for r in window_lm.scored(held, numbers, net, ["_row"], counted).collect()}
-    group = lambda w: known + xxhash.xxh64_intdigest(w, 42) % window_lm.OTHERS
+    of = window_lm.keyed(held.withColumn("also", F.col("text")), ["_row", "also"])
+    for row in of.collect():
+        key.update(zip((row["also"] or "").lower().split(), row["keys"], strict=True))
+    got = {r["_row"]: r for r in window_lm.scored(of, numbers, net, counted).collect()}
+    numbers = {w: k for k, w in enumerate(top)}
+    group = lambda w: known + key[w] % window_lm.OTHERS
     whole = {}
     for word in n.keys() - numbers.keys():
         whole[group(word)] = whole.get(group(word), 0) + n[word]
