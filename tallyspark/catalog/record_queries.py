@@ -156,9 +156,15 @@ def _(s: Staged) -> DataFrame:
     (SELECT count(DISTINCT entry_id) FROM pulled WHERE source <> 'Manual') AS other_transactions, (SELECT count(*) FROM manual WHERE k % 101 = 0) AS zero_transactions,
     (SELECT count(DISTINCT entry_id) FROM pulled WHERE entered_at_estimated) AS estimated_entered_at, (SELECT count(DISTINCT entry_id) FROM pulled WHERE created_by = 'qbo-unknown') AS unknown_users,
     (SELECT count(*) FROM (SELECT entry_id FROM pulled GROUP BY 1 HAVING sum(debit_cents) <> sum(credit_cents))) AS unbalanced_entries,
-    0::BIGINT AS je_ids_missing_from_report, 0::BIGINT AS je_ids_missing_from_query""", {**_PULL, "manual": "SELECT DISTINCT entry_id, k FROM gl WHERE source = 'Manual'"})
-def _(s: Staged) -> DataFrame:
-    return _assembled(s)[1].drop("unmapped_types", "rows_without_txn_id", "unreadable_entered_at", "utc_times_without_zone")
+    0::BIGINT AS je_ids_missing_from_report, 0::BIGINT AS je_ids_missing_from_query,
+    (SELECT count(*) FROM kept WHERE k % 7 IN (4, 6)) AS unreadable_entered_at, (SELECT count(*) FROM kept WHERE k % 7 = 1) AS utc_times_without_zone,
+    (SELECT count(*) FROM (SELECT DISTINCT k // 500, account_code FROM gl)) AS rows_without_txn_id,
+    (SELECT CASE WHEN count(*) > 0 THEN 'InventoryStartingValue=' || count(*) ELSE '' END FROM kept WHERE source <> 'Manual' AND k % 97 = 1 AND k % 50 <> 0) AS unmapped_types""",
+       {**_PULL, "manual": "SELECT DISTINCT entry_id, k FROM gl WHERE source = 'Manual'",
+        "kept": "SELECT DISTINCT entry_id, k, source FROM gl WHERE source <> 'Manual' OR k % 101 <> 0"})
+def _(s: Staged) -> DataFrame:
+    unmapped = F.transform(F.map_entries("unmapped_types"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))
+    return _assembled(s)[1].withColumn("unmapped_types", F.coalesce(F.concat_ws(",", unmapped), F.lit("")))
 
 
 @query("a12_written_ledger", _LINES_SQL)
