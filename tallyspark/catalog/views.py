@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.money import as_money
 from tallyspark.operators.entries import derive
+from tallyspark.plans.staging import joined
 from tallyspark.schema import Controls
 
 CONTROLS = Controls(("user0", "user1"), Decimal("10000.00"))
@@ -43,7 +44,7 @@ def gl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenths = F.floor(F.col("l_extendedprice") * 10 + F.lit(0.5)).cast("bigint")
     amounts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.sum(tenths).alias("c0"))
-    base = table(spark, sf_dir, "orders").join(amounts, "o_orderkey").select(
+    base = joined(table(spark, sf_dir, "orders"), amounts, "o_orderkey").select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"), "c0",
         F.col("o_orderdate").cast("timestamp_ntz").alias("d0"), F.substring("o_orderpriority", 1, 1).alias("pr"))
     k, dow = F.col("k"), F.weekday("d0")

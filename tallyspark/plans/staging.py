@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,23 +100,47 @@ def unused(name: str, columns: Sequence[str]) -> str:
     return name
 
 
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About what a value takes in a row in memory, nested ones by what they hold."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value.getField(f.name), f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(value)), F.lit(0)) + 32
+    return F.lit(8)
+
+
 def fits(lookup: DataFrame, limit: int | None = None) -> bool:
-    """Whether a (settled) lookup is small enough to broadcast: rows and text are measured."""
-    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in lookup.schema.fields
-            if isinstance(f.dataType, T.StringType)]
-    wide = 16 * len(lookup.columns)
-    row = sum(text, F.lit(wide))
+    """Whether a (settled) lookup is small enough to broadcast: rows, with what a hash table adds to each, text and nested values are measured."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in lookup.schema.fields), F.lit(64))
     size = lookup.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0)).alias("b")).first()["b"]
     return size <= (BROADCAST_BYTES if limit is None else limit)
 
 
+def joined(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow: by shuffle, where Spark would take a table's size from its compressed files and send a
+    large one through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def hot_keys(rows: DataFrame, on: Sequence[str]) -> list[int]:
+    """Hashes of the keys of a 256th of all rows and more (at most about 256; a few below that share may be among them), from one
+    pass that keeps a bounded table of the most frequent."""
+    top = F.expr(f"approx_top_k(xxhash64({', '.join(f'`{c}`' for c in on)}), 300, 4096)")
+    found = rows.agg(top.alias("top"), F.count("*").alias("n")).first()
+    return sorted(t["item"] for t in found["top"] or [] if 256 * t["count"] >= found["n"])
+
+
 def attach(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left",
-           spread: str = "entry_id", small: bool | None = None) -> DataFrame:
+           spread: str = "entry_id", small: bool | None = None, keyed: DataFrame | None = None) -> DataFrame:
     """Join ``lookup`` (at most one row per key, settled) to ``facts`` on ``on``, nulls equal.
 
-    A lookup measured small is broadcast and ``facts`` is not moved. A larger one is repeated
-    ``SPREAD`` times and ``facts`` is shuffled by key and a hash of ``spread``, so that a key
-    holding a third of all rows is not one task's work. Same rows either way.
+    A lookup measured small is broadcast and ``facts`` is not moved. With a larger one both are
+    shuffled by key. Keys that hold many of the rows (counted in ``keyed``, a settled table with the
+    keys of ``facts``, by default ``facts`` itself) are besides spread ``SPREAD`` ways by a hash of ``spread``,
+    and only their rows of the lookup are repeated, so that a key holding a third of all rows is not one task's
+    work. Same rows either way.
     """
     right = lookup.withColumnsRenamed({c: f"_r_{c}" for c in on})
     match = None
@@ -126,14 +151,20 @@ def attach(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "l
     if small is None:
         small = fits(lookup)
     if small:
-        joined = facts.join(F.broadcast(right), match, how)
-        return joined.drop(*keys)
-    left = facts.withColumn("_way", F.pmod(F.xxhash64(spread), F.lit(SPREAD)))
+        return facts.join(F.broadcast(right), match, how).drop(*keys)
+    kinds = dict(facts.dtypes)
+    keyed = (facts if keyed is None else keyed).select(*[F.col(f"`{c}`").cast(kinds[c]) for c in on])
+    hot = hot_keys(keyed, on)
+    if not hot:
+        return joined(facts, right, match, how).drop(*keys)
+    left = facts.withColumn("_way", F.when(F.xxhash64(*on).isin(hot), F.pmod(F.xxhash64(spread), F.lit(SPREAD))).otherwise(F.lit(0)).cast("bigint"))
+    held = F.xxhash64(*[F.col(f"_r_{c}").cast(kinds[c]) for c in on]).isin(hot)
+    ways = F.when(held, F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
     match = left["_way"] == F.col("_r_way")
     for c in on:
         match = match & left[c].eqNullSafe(F.col(f"_r_{c}"))
-    right = right.withColumn("_r_way", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
-    return left.join(right, match, how).drop("_way", "_r_way", *keys)
+    right = right.withColumn("_r_way", F.explode(ways))
+    return joined(left, right, match, how).drop("_way", "_r_way", *keys)
 
 
 def beside(df: DataFrame, *figures: DataFrame) -> DataFrame:
@@ -223,16 +254,28 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, start: int = 1) ->
 
 
 def numbered_within(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Rows numbered from 1 inside each group in ``order``; a group of any size is spread, because
-    the numbers are a global running count less the count at the group's start."""
-    counted = settle(running_total(df.withColumn("_one", F.lit(1).cast("bigint")), [*group, *order], "_one", "_ahead"), "counted")
-    starts = counted.groupBy(*group).agg(F.min("_ahead").alias("_start")).withColumnsRenamed({g: f"_g_{g}" for g in group})
-    match = None
-    for g in group:
-        here = F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-        match = here if match is None else match & here
-    return (counted.join(starts, match).withColumn(name, (F.col("_ahead") - F.col("_start") + 1).cast("int"))
-            .drop("_one", "_ahead", "_start", *[f"_g_{g}" for g in group]))
+    """Rows numbered from 1 inside each group in ``order``; a group of any size is spread over the slices of a range partitioning.
+    Only the first group of a slice can have rows in slices before it: their number is one row per slice."""
+    keys, kinds = [f"_g_{g}" for g in group], dict(df.dtypes)
+    sliced = df.repartitionByRange(*[F.col(c) for c in (*group, *order)]).withColumn("_slice", F.spark_partition_id())
+    laid = settle(sliced, "laid")
+    leads = laid.groupBy("_slice").agg(F.min(F.struct(*group)).alias("_lead"))
+    leads = settle(leads.select(F.col("_slice").alias("_at"), *[F.col(f"_lead.{g}").cast(kinds[g]).alias(k) for g, k in zip(group, keys, strict=True)]), "leads")
+
+    def same() -> Column:
+        return reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)])
+
+    # one row per slice: never more than spark.sql.shuffle.partitions rows
+    shared = laid.select("_slice", *group).join(F.broadcast(leads.select(*keys).distinct()), same()).groupBy("_slice", *keys).agg(F.count("*").alias("_rows"))
+    known = reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys])
+    ahead = leads.alias("l").join(F.broadcast(shared.alias("s")), known & (F.col("s._slice") < F.col("l._at"))).groupBy(
+        "l._at").agg(F.sum("s._rows").alias("_ahead"))
+    ahead = settle(leads.join(F.broadcast(ahead), "_at"), "ahead")
+    inside = F.row_number().over(Window.partitionBy("_slice", *group).orderBy(*order))
+    counted = laid.withColumn("_inside", inside)
+    return (counted.join(F.broadcast(ahead), (F.col("_slice") == F.col("_at")) & same(), "left")
+            .withColumn(name, (F.col("_inside") + F.coalesce("_ahead", F.lit(0))).cast("int"))
+            .drop("_slice", "_at", "_inside", "_ahead", *keys))
 
 
 def smallest_per_group(df: DataFrame, group: str, order: Sequence[str], limit: str,

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tallyspark.functions.dates import read
 from tallyspark.operators.entries import derive, entry_facts
 from tallyspark.operators.ingest import prepare
-from tallyspark.plans.staging import attach, beside, numbered_within, settle
+from tallyspark.plans.staging import attach, beside, joined, numbered_within, settle
 from tallyspark.schema import ACCOUNT_TYPES, EXPORT_COLUMNS, LedgerError
 
 # Where each transaction type sits among the sources, report column titles, and
@@ -223,7 +223,7 @@ def journal_entries_to_lines(entries: DataFrame, accounts: DataFrame, headers: D
         F.coalesce("Adjustment", F.lit(False)).alias("adjusting"), note.alias("note"), "_empty", "_ordered")
     docs = docs.select("txn_id", "posting_date", "stamp", "adjusting", "note", "_empty", F.inline_outer("_ordered"))
     users = headers.filter(F.col("token") == "JournalEntry").select("txn_id", "create_by")
-    lines = docs.join(users, "txn_id", "left").select(
+    lines = joined(docs, users, "txn_id", "left").select(
         "txn_id", "posting_date", "stamp", "adjusting", "note", "_empty", "line_no", "x.*", "create_by")
     lines = _with_account(lines, accounts)
     return _shape(lines.withColumns({
@@ -327,7 +327,7 @@ def general_ledger_to_lines(rows: DataFrame, accounts: DataFrame, zone: str | No
     kept = numbered_within(lines.filter(F.col("set_aside").isNull()), ["token", "txn_id"], ["doc_no", "path"], "line_no")
     aside = lines.filter(F.col("set_aside").isNotNull()).withColumn("line_no", F.lit(None).cast("int"))
     every = kept.unionByName(aside).drop("stamp", "create_by", "create_date", "tx_date")
-    out = attach(every, per, ["token", "txn_id"], "inner", spread="path")
+    out = attach(every, per, ["token", "txn_id"], "inner", spread="path", keyed=rows)
     out = out.withColumns({"ref_id": F.col("account.id"), "ref_name": F.col("account.value"),
                            "posting_date": read(F.substring(F.trim("first_date"), 1, 10), "yyyy-MM-dd")})
     out = _with_account(out, accounts)

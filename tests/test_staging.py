@@ -110,3 +110,31 @@ def test_a_settled_stage_leaves_no_shuffle_and_can_be_discarded(spark):
     given = spark.read.parquet("/root/testdata/sf0.001/region.parquet")
     staging.discard(stage, given)
     assert not folder.exists() and given.count() == 5
+
+
+def test_fits_measures_what_nested_columns_hold(spark):
+    df = spark.createDataFrame([(("x" * 1000, ["y" * 1000]),)] * 10, "s struct<t: string, a: array<string>>")
+    assert staging.fits(df, 30_000) and not staging.fits(df, 20_000)
+
+
+def test_only_hot_keys_of_a_large_lookup_are_repeated(spark, skewed):
+    _, df = skewed
+    lookup = df.select("k").distinct().withColumn("x", F.length("k"))
+    even = spark.range(4000).select(F.concat(F.lit("id"), "id").alias("id"), F.concat(F.lit("k"), F.col("id") % 1000).alias("k"))
+    assert staging.hot_keys(df, ["k"]) and not staging.hot_keys(even, ["k"])
+    for rows, repeated in ((df, True), (even, False)):
+        plan = staging.attach(rows, lookup, ["k"], spread="id", small=False)._jdf.queryExecution().toString()
+        assert ("explode" in plan) == repeated and "BroadcastHashJoin" not in plan
+
+
+def test_numbers_within_groups_send_no_table_through_the_driver(spark):
+    """One row per slice is broadcast, whatever the number of groups; a group may lie in several slices."""
+    df = spark.range(6000).select(F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    numbered = staging.numbered_within(df, ["k"], ["id"], "n")
+    rows = numbered.collect()
+    places = {}
+    for r in sorted(rows, key=lambda r: r["id"]):
+        places.setdefault(r["k"], []).append(r["n"])
+    assert len(rows) == 6000 and all(p == list(range(1, len(p) + 1)) for p in places.values())
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ahead-") and "SortMergeJoin" not in plan and plan.count("HashAggregate") == 0
