@@ -23,15 +23,22 @@ from tallyspark.schema import LedgerError
 
 #: The number of a data row over all files in order of their paths, from 1; headers and blank lines are not counted.
 ROW = "row_no"
+#: Of ranges smaller than this, a task reads several.
+TASK_BYTES = 32 * 1024 * 1024
 _LINES = "file string, start long, line string, i long, odd boolean, odd_after boolean, ends long, ends_odd long, blank boolean"
 
 
-def physical_lines(spark: SparkSession, path: str) -> DataFrame:
+def physical_lines(spark: SparkSession, path: str, per_task: int = 1) -> DataFrame:
     """Every line of the files: its file and range (the place it begins), its number ``i`` in the range; whether the quotes of
     the range ahead of it, and with it, are odd; and the records that end in the range ahead of it, if the range begins outside a cell
-    (``ends``) or inside one (``ends_odd``). Blank lines outside cells are no records."""
+    (``ends``) or inside one (``ends_odd``). Blank lines outside cells are no records. A task reads ``per_task`` ranges one after another,
+    so that small ranges of a large input are not as many tasks."""
     read = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+    if per_task > 1:
+        count = read.rdd.getNumPartitions()
+        tasks = max(-(-count // per_task), min(count, 2 * spark.sparkContext.defaultParallelism))
+        read = read.coalesce(tasks) if tasks < count else read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, i, parity, ends, ends_odd = None, 0, 0, 0, 0
@@ -102,7 +109,7 @@ def read(spark: SparkSession, path: str, range_bytes: int | None = None) -> tupl
     function that says where a row of some number is. Ranges are of ``range_bytes`` at most, by default the session's. Records end at a line feed, with or without a carriage return; every
     file's header must be the first one's, a row must have as many cells, and files without a line have no rows."""
     with setting(spark, spark__sql__files__maxPartitionBytes=range_bytes and str(range_bytes), spark__sql__files__openCostInBytes=range_bytes and "1"):
-        lines = settle(physical_lines(spark, path), "lines")
+        lines = settle(physical_lines(spark, path, max(1, TASK_BYTES // range_bytes) if range_bytes else 1), "lines")
     starts = ranges(lines)
     every = records(lines, starts)
     first = every.where("at = 0").agg(F.min_by("record", "file").alias("header"), F.min("file").alias("file"), F.count("*").alias("files")).first()

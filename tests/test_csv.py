@@ -103,3 +103,12 @@ def test_labels_name_file_and_row(spark, tmp_path):
         ledger_files.load_labels(spark, str(tmp_path))
     read = ledger_files.load_labels(spark, str(tmp_path / "1.csv")).orderBy(F.desc("entry_id")).collect()
     assert [tuple(r) for r in read] == [("NA", True, "a\nb"), ("0007", False, "")]
+
+
+def test_small_ranges_are_not_a_task_each(spark, tmp_path):
+    rows = drawn(3, 4000)
+    (tmp_path / "a.csv").write_bytes(written(rows).encode())
+    with setting(spark, spark__sql__files__maxPartitionBytes=str(SMALL), spark__sql__files__openCostInBytes="1"):
+        lines = csv_records.physical_lines(spark, str(tmp_path), 50)
+        ranges, tasks = lines.select("start").distinct().count(), lines.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert ranges > 300 and tasks <= max(ranges // 50 + 1, 2 * spark.sparkContext.defaultParallelism)
