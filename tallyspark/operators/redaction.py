@@ -13,7 +13,9 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,6 +177,22 @@ def _renamed(node: object, text: Callable[[str], str], realm_id: str) -> object:
 
 # -- over columns ----------------------------------------------------------------------
 
+#: How many bytes of text are taken from Arrow into Python at once; a longer text alone.
+SLICE_BYTES = 4 * 1024 * 1024
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts in ``column`` are at most about SLICE_BYTES, so that what a worker holds beside the batch
+    does not grow with its rows."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        held = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, held + SLICE_BYTES, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _each(df: DataFrame, column: str, made: dict[str, T.DataType], work: Callable[[], Callable[[str], tuple]]) -> DataFrame:
     """``df`` with the columns ``made`` (older ones give way) from each text of ``column``, null for null;
     ``work`` is called once a task."""
@@ -184,12 +202,13 @@ def _each(df: DataFrame, column: str, made: dict[str, T.DataType], work: Callabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, arrow = None, None
-        for batch in batches:
-            one = one or work()
-            done = [one(t) if t is not None else (None,) * len(made) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            arrow = arrow or [pa.string() if isinstance(k, T.StringType) else pa.list_(pa.string()) for k in made.values()]
-            new = [pa.array([d[i] for d in done], kind) for i, kind in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
+        for whole in batches:
+            for batch in slices(whole, whole.num_columns - 1):
+                one = one or work()
+                done = [one(t) if t is not None else (None,) * len(made) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                arrow = arrow or [pa.string() if isinstance(k, T.StringType) else pa.list_(pa.string()) for k in made.values()]
+                new = [pa.array([d[i] for d in done], kind) for i, kind in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
 
     return source.mapInArrow(run, schema).select(*[c for c in df.columns if c in schema.names], *[c for c in made if c not in df.columns])
 
