@@ -52,6 +52,8 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     branches share one computation, and gives Catalyst real sizes, column pruning and pushdown.
     """
     path = new_path(df.sparkSession, name)
+    for written in _WATCHED:
+        written.append(path)
     with shuffles_freed(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(_nullable(df.schema)).parquet(path)
@@ -84,8 +86,36 @@ def discard(*stages: DataFrame) -> None:
         own = f"/tallyspark/{spark.sparkContext.applicationId}/"
         for path in {f.rpartition("/")[0] for f in stage.inputFiles()}:
             if own in path:
-                where = spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+                _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_WATCHED: list[list[str]] = []
+
+
+@contextmanager
+def watched() -> Iterator[list[str]]:
+    """The paths of the stages that are settled inside, as they come."""
+    paths: list[str] = []
+    _WATCHED.append(paths)
+    try:
+        yield paths
+    finally:
+        _WATCHED[:] = [p for p in _WATCHED if p is not paths]
+
+
+def discard_unread(spark: SparkSession, paths: list[str], reader: DataFrame) -> list[str]:
+    """Delete stages by their paths, but for those that ``reader`` still reads: their paths are returned."""
+    names = {f.rpartition("/")[0].rpartition("/")[2] for f in reader.inputFiles()}
+    read = [p for p in paths if p.rpartition("/")[2] in names]
+    for path in paths:
+        if path not in read:
+            _delete(spark, path)
+    return read
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

@@ -80,3 +80,28 @@ def test_unseen_identifiers_by_either_way(spark, monkeypatch, few):
 def test_rules_of_columns_named_like_the_operators(spark):
     docs = spark.createDataFrame([(1, "a " * 60, 7, 8)], "doc_id long, text string, _w int, _l int")
     assert decision_lists.kept_documents(docs, spark.createDataFrame([], LABELS)).columns == docs.columns
+
+
+def test_what_a_stage_settles_is_gone_when_the_next_begins(spark, tmp_path):
+    """Unless the next stage still reads it, as where nothing was written between."""
+    from pathlib import Path
+
+    from tallyspark.plans.staging import settle
+
+    made = []
+
+    @corpus_pipeline.freeing
+    def stage(spark, docs, sf_dir):
+        made.append(settle(docs.selectExpr("id + 1 AS id"), "inner"))
+        return made[-1]
+
+    def there(df):
+        return [Path(f.removeprefix("file:")).exists() for f in df.inputFiles()]
+
+    first = stage(spark, spark.range(5).toDF("id"), "")
+    second = stage(spark, first, "")
+    assert all(there(made[0])) and sorted(r["id"] for r in second.collect()) == [2, 3, 4, 5, 6]
+    second.write.parquet(str(tmp_path / "out"))
+    old = [f for df in made for f in df.inputFiles()]
+    stage(spark, spark.read.parquet(str(tmp_path / "out")), "")
+    assert not any(Path(f.removeprefix("file:")).exists() for f in old)
