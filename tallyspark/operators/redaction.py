@@ -9,6 +9,7 @@ finds overlap the longest counts.
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -28,6 +29,8 @@ from tallyspark.sources.accounting import KNOWN_KEYS, TITLE_KEYS
 #: Report columns that hold a user, by key.
 USER_COLUMNS = ("create_by", "last_mod_by")
 _EMAIL = re.compile(EMAIL)
+#: Of texts up to this length, what became of this many is kept in a task: keys and codes come again in every document.
+SHORT, KEPT_SHORT = 64, 1 << 14
 
 
 # -- inside tasks ---------------------------------------------------------------------
@@ -37,6 +40,10 @@ def fold(text: str) -> str:
     return " ".join(text.casefold().split())
 
 
+def _no_emails(text: str) -> str:
+    return _EMAIL.sub(REDACTED_EMAIL, text) if "@" in text else text
+
+
 def _word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
@@ -84,8 +91,12 @@ class Names:
             if not (first and _word(folded[first - 1])) and not (end < len(folded) and _word(folded[end])):
                 yield first, end, key
 
+    def within(self, folded: str) -> bool:
+        """Whether any name is found."""
+        return any(True for _ in self.hits(folded))
+
     def scrub(self, text: str) -> str:
-        if not any(True for _ in self.hits(fold(text))):
+        if not self.within(fold(text)):
             return text
         folded, at = _places(text)
         taken: list[tuple[int, int, str]] = []
@@ -270,12 +281,51 @@ def scrubbed(df: DataFrame, column: str, realm_id: str, names: DataFrame) -> Dat
     for known in _portions(settle(real_names(names), "names")):
         def work(known: list = known) -> Callable[[str], tuple]:
             find = Names(known)
-            return lambda text: (find.scrub(_EMAIL.sub(REDACTED_EMAIL, text.replace(realm_id, REALM) if realm_id else text)),)
+            return lambda text: (find.scrub(_no_emails(text.replace(realm_id, REALM) if realm_id else text)),)
 
         df = _each(df, column, {column: T.StringType()}, work)
     return df
 
 
+def cleaner(known: list[tuple[str, str, bool]], realm_id: str) -> Callable[[str], tuple]:
+    """What makes a document safe, or says why it cannot be, by names (name, stand_in, whether to look for it in texts). Texts and keys are
+    gone through one by one only where the document, once its fields are done, holds any name or the realm id at all."""
+    users, find = {n: s for n, s, _ in known}, Names([(n, s) for n, s, real in known if real])
+
+    def bare(text: str) -> str:
+        return text.replace(realm_id, REALM) if realm_id else text
+
+    @functools.lru_cache(KEPT_SHORT)
+    def short(text: str) -> str:
+        return find.scrub(bare(text))
+
+    def renamed(text: str) -> str:
+        return short(text) if len(text) <= SHORT else find.scrub(bare(text))
+
+    def untouched(written: str) -> bool:
+        # without escapes every text stands in the document as it is, so that what is not found in it is in none of its texts
+        return "\\" not in written and not (realm_id and realm_id.casefold() in written.casefold()) and not find.within(fold(written))
+
+    walk = Walk(lambda name: users.get(name, name), lambda text: _no_emails(bare(text)))
+
+    def clean(document: str) -> tuple:
+        try:
+            node = json.loads(document)
+        except ValueError:
+            return find.scrub(walk.text(document)), None
+        except RecursionError:
+            return None, "nested too deep"
+        try:
+            node = walk.node(node)
+            written = json.dumps(node, ensure_ascii=False, separators=(",", ":"))
+            if untouched(written):
+                return written, None
+            return json.dumps(_renamed(node, renamed, realm_id), ensure_ascii=False, separators=(",", ":")), None
+        except (ValueError, RecursionError) as why:
+            return None, "nested too deep" if isinstance(why, RecursionError) else str(why)
+    return clean
+
+
 def sanitized(df: DataFrame, column: str, realm_id: str, names: DataFrame | None = None, problem: str = "problem") -> DataFrame:
     """``df`` with the JSON documents of ``column`` safe to keep, and ``problem``, why a document was refused (then it is null).
 
@@ -297,25 +347,7 @@ def sanitized(df: DataFrame, column: str, realm_id: str, names: DataFrame | None
         known = [tuple(r) for r in marked.where(condition).select("name", "stand_in", "real").collect()]
 
         def work(known: list = known) -> Callable[[str], tuple]:
-            users, find = {n: s for n, s, _ in known}, Names([(n, s) for n, s, real in known if real])
-
-            def bare(text: str) -> str:
-                return text.replace(realm_id, REALM) if realm_id else text
-
-            walk = Walk(lambda name: users.get(name, name), lambda text: _EMAIL.sub(REDACTED_EMAIL, bare(text)))
-
-            def clean(document: str) -> tuple:
-                try:
-                    node = json.loads(document)
-                except ValueError:
-                    return find.scrub(walk.text(document)), None
-                except RecursionError:
-                    return None, "nested too deep"
-                try:
-                    return json.dumps(_renamed(walk.node(node), lambda t: find.scrub(bare(t)), realm_id), ensure_ascii=False, separators=(",", ":")), None
-                except (ValueError, RecursionError) as why:
-                    return None, "nested too deep" if isinstance(why, RecursionError) else str(why)
-            return clean
+            return cleaner(known, realm_id)
 
         before = staging.unused("_before", out.columns)
         done = _each(out.withColumnRenamed(problem, before), column, {column: T.StringType(), problem: T.StringType()}, work)

@@ -150,3 +150,22 @@ def test_texts_are_taken_from_a_batch_in_bounded_runs(monkeypatch):
     parts = list(redaction.slices(pa.record_batch({"t": texts}), 0))
     assert [t for p in parts for t in p.column("t").to_pylist()] == texts
     assert [p.num_rows for p in parts] == [3, 1, 1, 2] and not list(redaction.slices(pa.record_batch({"t": pa.array([], pa.string())}), 0))
+
+
+def test_texts_are_gone_through_only_where_something_is_found(monkeypatch):
+    names = [("Jane Dev", "qbo-user-1", True), ('Q"', "qbo-user-2", True), ("7", "qbo-user-3", False)]
+    gone_through, renamed = [], redaction._renamed
+    monkeypatch.setattr(redaction, "_renamed", lambda node, text, realm_id: gone_through.append(node) or renamed(node, text, realm_id))
+
+    def outcome(node, realm_id="55"):
+        before = len(gone_through)
+        text, why = redaction.cleaner(names, realm_id)(json.dumps(node))
+        return why or json.loads(text), len(gone_through) - before
+
+    assert outcome({"CreatedBy": "Jane Dev", "memo": "Janet Devs", "n": 7, "to": "a@b.org"}) == (
+        {"CreatedBy": "qbo-user-1", "memo": "Janet Devs", "n": 7, "to": "redacted@example.com"}, 0)
+    for given, wanted in (({"memo": "by JANE  dev"}, {"memo": "by qbo-user-1"}), ({"jane dev": 1}, {"qbo-user-1": 1}), ({"memo": "jane\n\tdev"}, {"memo": "qbo-user-1"}),
+                          ({"memo": 'q"'}, {"memo": "qbo-user-2"}), ({"id": 55, "x": ["a55"]}, {"id": "REALM", "x": ["aREALM"]}), ({"55": 155}, {"REALM": 155})):
+        assert outcome(given)[0] == wanted
+    assert outcome({"x": float("nan")}, "nan")[0] == {"x": "REALM"}
+    assert outcome({"Jane Dev": 1, "jane  dev": 2})[0] == "two keys scrub to 'qbo-user-1'"
