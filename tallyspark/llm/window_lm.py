@@ -176,46 +176,52 @@ class Network:
 
     def log_probabilities(self, target: np.ndarray, around: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
-        for at in range(0, len(target), 32768):
-            out[at:at + 32768] = self._forward(target[at:at + 32768], around[at:at + 32768])[0]
+        for at in range(0, len(target), BATCH):
+            out[at:at + BATCH] = self._forward(target[at:at + BATCH], around[at:at + BATCH], np.float64)[0]
         return out
 
-    def _forward(self, target: np.ndarray, around: np.ndarray):
-        hidden = self._hidden(around)
-        group, word = target // _IN, target % _IN
-        own = np.arange(len(target))
-        chosen = _log_softmax(hidden @ self.parts["classes"].T + self.parts["class_bias"])
-        inside = np.empty((len(target), _IN), np.float32)
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for g in range(CLASSES):
-            mine = order[edges[g]:edges[g + 1]]
-            if len(mine):
-                inside[mine] = _log_softmax(hidden[mine] @ self.parts["words"][g].T + self.parts["word_bias"][g])
-        return chosen[own, group] + inside[own, word], hidden, chosen, inside, order, edges
+    def _forward(self, target: np.ndarray, around: np.ndarray, kind: type = np.float32):
+        """Log-probabilities; and what the gradient needs: the places in order of their words' classes, where each class begins there,
+        what is hidden at them, and all classes' and all words' probabilities, a column per place (in that order). Products in single
+        precision (``kind``) follow in their last digit where a word stands in a batch."""
+        order = np.argsort((target // _IN).astype(np.int16), kind="stable")
+        target = target[order]
+        group, own = target // _IN, np.arange(len(target))
+        edges = np.searchsorted(group, np.arange(CLASSES + 1))
+        hidden = self._hidden(around[order])
+        across = np.ascontiguousarray(hidden.T, kind)
+        classes = (self.parts["classes"].astype(kind, copy=False) @ across).astype(np.float32, copy=False) + self.parts["class_bias"][:, None]
+        words = self.parts["words"].astype(kind, copy=False)
+        inside = np.empty((_IN, len(target)), np.float32)
+        for g in np.flatnonzero(np.diff(edges)):
+            mine = slice(edges[g], edges[g + 1])
+            inside[:, mine] = words[g] @ across[:, mine]
+            inside[:, mine] += self.parts["word_bias"][g][:, None]
+        out = np.empty(len(target), np.float32)
+        out[order] = _softmax(classes, group, own) + _softmax(inside, target % _IN, own)
+        return out, order, edges, hidden, classes, inside
 
     def gradient(self, target: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Of the mean negative log-probability."""
         n = len(target)
-        _, hidden, chosen, inside, order, edges = self._forward(target, around)
+        _, order, edges, hidden, d_class, d_word = self._forward(target, around)
+        target, around = target[order], around[order]
         own, out = np.arange(n), np.zeros_like(self.values)
         to = self._views(out)
-        d_class, d_word = np.exp(chosen), np.exp(inside)
-        d_class[own, target // _IN] -= 1
-        d_word[own, target % _IN] -= 1
-        d_hidden = d_class @ self.parts["classes"]
-        to["classes"][:] = d_class.T @ hidden
-        to["class_bias"][:] = d_class.sum(axis=0)
-        for g in range(CLASSES):
-            mine = order[edges[g]:edges[g + 1]]
-            if len(mine):
-                some = d_word[mine]
-                to["words"][g] = some.T @ hidden[mine]
-                to["word_bias"][g] = some.sum(axis=0)
-                d_hidden[mine] += some @ self.parts["words"][g]
+        d_class[target // _IN, own] -= 1
+        d_word[target % _IN, own] -= 1
+        d_hidden = d_class.T @ self.parts["classes"]
+        to["classes"][:] = d_class @ hidden
+        to["class_bias"][:] = d_class.sum(axis=1)
+        for g in np.flatnonzero(np.diff(edges)):
+            mine = slice(edges[g], edges[g + 1])
+            some = d_word[:, mine]
+            to["words"][g] = some @ hidden[mine]
+            to["word_bias"][g] = some.sum(axis=1)
+            d_hidden[mine] += some.T @ self.parts["words"][g]
         d_in = d_hidden * (1 - hidden * hidden)
         to["bias"][:] = d_in.sum(axis=0)
-        flat = np.ascontiguousarray(d_in).ravel()
+        flat = d_in.astype(np.float64).ravel()
         cell = np.arange(WIDTH)
         for p in range(len(PLACES)):
             spot = (around[:, p, None] * WIDTH + cell).ravel()
@@ -223,9 +229,14 @@ class Network:
         return out / n
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, row: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Makes the columns of ``x`` probabilities, in place; the logarithm of the one at ``row`` of each column."""
+    x -= x.max(axis=0)
+    chosen = x[row, own]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    x /= total
+    return chosen - np.log(total)
 
 
 def train(words: DataFrame, numbers: dict[int, int], start: Network) -> Network:

@@ -80,6 +80,15 @@ def test_quotes_of_odd_rows(spark):
     assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_gradient_takes_each_exponential_once(monkeypatch):
+    draw, taken, exp = np.random.default_rng(4), [], np.exp
+    net = window_lm.Network.fresh(draw.uniform(1, 50, window_lm.SIZE))
+    target, around = draw.integers(0, window_lm.SIZE, 300), draw.integers(0, window_lm.SIZE + 1, (300, 4))
+    monkeypatch.setattr(np, "exp", lambda x, *a, **how: taken.append(np.size(x)) or exp(x, *a, **how))
+    net.gradient(target, around)
+    assert sum(taken) == 300 * (window_lm.CLASSES + window_lm.SIZE // window_lm.CLASSES)
+
+
 def test_gradient():
     draw = np.random.default_rng(0)
     net = window_lm.Network.fresh(draw.uniform(1, 50, window_lm.SIZE))
