@@ -569,17 +569,15 @@ def _(s: Staged) -> DataFrame:
 
 
 def _graded_rows(s: Staged) -> DataFrame:
-    checked = settle(notes.check_replies(_replies(s)), "checked")
-    cases = _cases(s)
-    graded = notes.grade_notes(checked, cases, _prompts(s))
+    same = ("entry_id", "archetype", "tests_fired", "prompt", "overrides")
+    checked = settle(notes.check_replies(_replies(s)).drop("reply"), "checked")
+    wide = notes.grade_notes(checked, _cases(s), _prompts(s), [*same[1:], "note", "why", "valid"]).where("valid IS NOT NULL")
     k = F.substring("entry_id", 4, 9).cast("bigint")
     known = {
         "status": F.when(F.col("why").isNotNull(), "invalid").when(k % 29 == 0, "error").otherwise("ok"), "narrative": F.col("note"),
         "usage": F.map_from_arrays(F.array(F.lit("input_tokens"), F.lit("output_tokens")), F.array(k % 100, k % 10)), "graded_at": F.lit("2024-01-01"),
         "cases_sha256": F.lit("c1"), "grader_sha256": F.lit("g1"), "ledger_sha256": F.lit("l1"), "error": F.col("why"), "metrics": F.col("metrics"),
     }
-    wide = cases.join(checked.drop("reply"), "entry_id").join(graded, "entry_id").join(_prompts(s), "entry_id")
-    same = ("entry_id", "archetype", "tests_fired", "prompt", "overrides")
     return wide.select(*[(F.col(f.name) if f.name in same else known.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in notes.ROW_SCHEMA.fields])
 
 

@@ -5,6 +5,8 @@ Writing the notes is an external service's work; this is the data on either side
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,11 +185,13 @@ def grade(note: Column, prompt: Column, must_mention: Column, must_not_assert: C
     return F.when(note.isNull(), F.create_map(*none)).otherwise(F.create_map(*parts))
 
 
-def grade_notes(notes: DataFrame, cases: DataFrame, prompts: DataFrame) -> DataFrame:
-    """``entry_id, metrics`` of each case's note (a checked ``note``; null where refused)."""
-    joined = cases.join(prompts, "entry_id").join(notes.select("entry_id", "note"), "entry_id", "left")
-    return joined.select("entry_id", grade(F.col("note"), F.col("prompt"), F.col("must_mention"), F.col("must_not_assert"),
-                                           F.col("expected_confidence")).alias("metrics"))
+def grade_notes(notes: DataFrame, cases: DataFrame, prompts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``entry_id, metrics`` of each case's note (a checked ``note``; null where refused), and the columns ``keep`` of what they were graded
+    by: of cases, prompts and notes, so that no caller joins those again. A case without a prompt has no row."""
+    told = [c for c in notes.columns if c in ("entry_id", "note") or c in keep and c not in (*cases.columns, *prompts.columns)]
+    joined = cases.join(prompts, "entry_id").join(notes.select(*told), "entry_id", "left")
+    return joined.select("entry_id", *keep, grade(F.col("note"), F.col("prompt"), F.col("must_mention"), F.col("must_not_assert"),
+                                                  F.col("expected_confidence")).alias("metrics"))
 
 
 # -- cases ------------------------------------------------------------------------------------

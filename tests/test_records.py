@@ -328,3 +328,16 @@ def test_cells(spark):
     row = changes.first()
     assert (row["cells"], row["cut"], row["replaced"]) == (2, 2, 2 + (32767 - len(tail)) // 8)
     assert shown(spark, text.not_a_formula, "=1", "-x", "a=") == ["'=1", "'-x", "a="]
+
+
+def test_grades_come_with_what_they_were_graded_by(spark):
+    cases = spark.createDataFrame([("a", ["rent"], [], ["high"], "x"), ("b", [], [], ["low"], "y"), ("c", [], [], ["low"], "z")],
+                                  "entry_id string, must_mention array<string>, must_not_assert array<string>, expected_confidence array<string>, archetype string")
+    prompts = spark.createDataFrame([("a", "- line 1: 6100 Rent | 500.00"), ("b", "none")], "entry_id string, prompt string")
+    checked = spark.createDataFrame([("a", None, ("rent of 500", "", ["Rent 500"], "none", "high"))], "entry_id string, why string, note struct<summary:string,"
+                                    "why_flagged:string,evidence_to_request:array<string>,suggested_control:string,confidence:string>")
+    plain = {r["entry_id"]: r["metrics"] for r in notes.grade_notes(checked, cases, prompts).collect()}
+    rows = {r["entry_id"]: r for r in notes.grade_notes(checked, cases, prompts, ["archetype", "prompt", "note", "why"]).collect()}
+    assert {k: r["metrics"] for k, r in rows.items()} == plain and set(plain) == {"a", "b"}
+    assert plain["a"]["passed"] and not plain["b"]["passed"]
+    assert (rows["a"]["archetype"], rows["a"]["prompt"], rows["a"]["note"]["summary"], rows["b"]["note"]) == ("x", "- line 1: 6100 Rent | 500.00", "rent of 500", None)
