@@ -42,7 +42,7 @@ class Staged:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return settle(views.ledger(self.spark, self.sf_dir), "lines")
+        return settle(views.ledger(self.spark, self.sf_dir), "lines", wide=True)
 
     @cached_property
     def settings(self) -> journal_tests.Settings:
@@ -62,11 +62,11 @@ class Staged:
 
     @cached_property
     def flags(self) -> DataFrame:
-        return settle(journal_tests.run_tests(self.lines, settings=self.settings, entries=self.entries, stats=self.stats), "flags")
+        return settle(journal_tests.run_tests(self.lines, settings=self.settings, entries=self.entries, stats=self.stats), "flags", wide=True)
 
     @cached_property
     def scored(self) -> DataFrame:
-        return settle(journal_tests.score_entries(self.entries, self.flags, ordered=False), "scored")
+        return settle(journal_tests.score_entries(self.entries, self.flags, ordered=False), "scored", wide=True)
 
     @cached_property
     def scores(self) -> DataFrame:

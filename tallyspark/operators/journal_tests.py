@@ -265,7 +265,7 @@ def run_tests(lines: DataFrame, only: Iterable[str] | None = None, controls: Con
 
 def staged_entries(lines: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Entry facts written once; every later operator reads only the columns it needs."""
-    return settle(entry_facts(lines, (settings or Settings()).period_end_days), "entries")
+    return settle(entry_facts(lines, (settings or Settings()).period_end_days), "entries", wide=True)
 
 
 # -- score ------------------------------------------------------------------------

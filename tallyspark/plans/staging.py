@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,8 +45,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tallyspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def settle(df: DataFrame, name: str = "stage", wide: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back. ``wide``: many expressions are worked out on each row.
 
     Cuts lineage (a lost executor re-reads files rather than redoing shuffles), lets several
     branches share one computation, and gives Catalyst real sizes, column pruning and pushdown.
@@ -54,7 +54,7 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_path(df.sparkSession, name)
     for written in _WATCHED:
         written.append(path)
-    with shuffles_freed(df.sparkSession):
+    with shuffles_freed(df.sparkSession), short_methods(df.sparkSession) if wide else nullcontext():
         df.write.parquet(path)
     return df.sparkSession.read.schema(_nullable(df.schema)).parquet(path)
 
@@ -79,6 +79,12 @@ def shuffles_freed(spark: SparkSession):
     return setting(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
+def short_methods(spark: SparkSession):
+    """What is run inside is not compiled into one method a stage where that has more bytes than a JVM compiles to machine code
+    (8,000): it would be interpreted for every row. Spark's own limit is 65,535."""
+    return setting(spark, spark__sql__codegen__hugeMethodLimit="8000")
+
+
 def discard(*stages: DataFrame) -> None:
     """Delete the files of settled stages that nothing reads any more. Other files are let be."""
     for stage in stages:

@@ -138,3 +138,17 @@ def test_numbers_within_groups_send_no_table_through_the_driver(spark):
     assert len(rows) == 6000 and all(p == list(range(1, len(p) + 1)) for p in places.values())
     plan = numbered._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ahead-") and "SortMergeJoin" not in plan and plan.count("HashAggregate") == 0
+
+
+def test_wide_stages_are_written_in_short_methods(spark, monkeypatch):
+    limit, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(limit)
+
+    class Writer(type(spark.range(1).write)):
+        def parquet(self, *args, **kwargs):
+            seen.append(spark.conf.get(limit))
+            super().parquet(*args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(1)), "write", property(Writer))
+    assert staging.settle(spark.range(5), "t", wide=True).count() == staging.settle(spark.range(5), "t").count() == 5
+    assert seen == ["8000", before] and spark.conf.get(limit) == before
