@@ -196,10 +196,11 @@ def budget_size(n: int, share: float = TOP_SHARE) -> int:
 def combine(scored: DataFrame, scores: DataFrame, top_share: float = TOP_SHARE, ordered: bool = True) -> DataFrame:
     """Both tiers side by side. The model flag is by rank: the top share by score, ties at the
     cutoff included; ``agreement`` says how the two tiers relate."""
-    joined = settle(scored.join(scores.select("entry_id", "model_score"), "entry_id", "left")
-                    .withColumn("model_score", F.coalesce("model_score", F.lit(0.0))), "combined")
-    n = joined.count()
-    cutoff = nth_largest(joined, "model_score", budget_size(n, top_share)) if n else 0.0
+    joined = scored.join(scores.select("entry_id", "model_score"), "entry_id", "left").withColumn("model_score", F.coalesce("model_score", F.lit(0.0)))
+    # only the scores are written; whoever reads the tiers joins the columns asked for, not every reason and header
+    ranked = settle(joined.select("model_score"), "ranked")
+    n = ranked.count()
+    cutoff = nth_largest(ranked, "model_score", budget_size(n, top_share)) if n else 0.0
     out = joined.withColumns({"model_flag": F.col("model_score") >= cutoff, "rule_flag": F.col("risk_score") > 0})
     rule, model = F.col("rule_flag"), F.col("model_flag")
     out = out.withColumn("agreement", F.when(rule & model, "both").when(rule, "rules only")

@@ -52,7 +52,7 @@ class Ledger:
         flags = settle(run_tests(lines, settings=settings, entries=entries, stats=stats), "flags")
         scored = score_entries(entries, flags, ordered=False)
         scores, model = (self._scores, None) if self._scores is not None else forest.score_ledger(lines, entries, stats)
-        combined = forest.combine(scored, scores, self._top_share, ordered=False)
+        combined = settle(forest.combine(scored, scores, self._top_share, ordered=False), "combined", wide=True)
         self.lines, self.entries, self.stats, self.flags = lines, entries, stats, flags
         self.combined, self.model = combined, model
         self.loaded = True

@@ -15,6 +15,7 @@ from tallyspark.functions.calendar import federal_holidays, is_federal_holiday
 from tallyspark.operators import benford, evaluate, features, forest, sampling
 from tallyspark.operators.journal_tests import staged_entries
 from tallyspark.operators.materiality import Materiality, band
+from tallyspark.plans import staging
 from tallyspark.schema import LedgerError
 
 
@@ -161,6 +162,15 @@ def test_budget_keeps_ties_at_the_cutoff(spark):
     assert {r["agreement"]: r["count"] for r in out.groupBy("agreement").count().collect()} == {"both": 3, "model only": 2, "rules only": 47, "neither": 48}
 
 
+def test_combining_writes_the_scores_alone(spark):
+    scored = spark.createDataFrame([(f"e{i}", float(i % 3), "a long reason") for i in range(100)], "entry_id string, risk_score double, reasons string")
+    scores = spark.createDataFrame([(f"e{i}", i / 100) for i in range(90)], "entry_id string, model_score double")
+    with staging.watched() as paths:
+        out = forest.combine(scored, scores, ordered=False)
+    assert [spark.read.parquet(p).columns for p in paths] == [["model_score"]]
+    assert (out.count(), out.filter("model_flag").count(), out.filter("model_score = 0").count()) == (100, 2, 11)
+
+
 def test_labels_must_cover_the_ledger(spark):
     ids = spark.createDataFrame([("a",), ("b",)], "entry_id string")
 
