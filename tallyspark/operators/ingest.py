@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates as D
 from tallyspark.operators.entries import derive
+from tallyspark.plans.staging import short_methods
 from tallyspark.schema import (AMOUNT_COLUMNS, DATE_COLUMNS, KEYED_TEXT, LEDGER_SCHEMA, REQUIRED_COLUMNS,
                                WHOLE_COLUMNS, LedgerError)
 
@@ -27,27 +29,41 @@ def _is_text(df: DataFrame, column: str) -> bool:
     return dict(df.dtypes)[column] == "string"
 
 
+# Cells as a ledger is written, told by their form alone; they are read without decimals of 38 digits.
+_CENTS, _WHOLE = r"^-?[0-9]{1,15}[.][0-9]{2}\z", r"^[0-9]{1,18}\z"
+
+
 def amount_cell(text: Column) -> Column:
     """A blank amount is 0; text, grouped digits and infinities are null."""
     plain = F.trim(text).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     exact = F.trim(text).try_cast("decimal(38,10)")
-    return F.when(D.is_blank(text), F.lit(0).cast("decimal(18,2)")).when(plain, F.round(exact, 2).try_cast("decimal(18,2)"))
+    usual = F.when(text.rlike(_CENTS), text.try_cast("decimal(18,2)"))
+    return usual.when(D.is_blank(text), F.lit(0).cast("decimal(18,2)")).when(plain, F.round(exact, 2).try_cast("decimal(18,2)"))
 
 
 def whole_cell(text: Column) -> Column:
     """A whole number, also when written 3.0; null for a blank, a fraction or text."""
     exact = F.trim(text).try_cast("decimal(38,10)")
-    return F.when(exact % 1 == 0, exact.try_cast("bigint"))
+    return F.when(text.rlike(_WHOLE), text.try_cast("bigint")).when(exact % 1 == 0, exact.try_cast("bigint"))
+
+
+def column_formats(df: DataFrame, columns: list[str]) -> list[tuple[str | None, str | None, int | None]]:
+    """The format of each date column: the one its first text cell that could be a date is in, with that cell and its row. One scan."""
+    if not columns:
+        return []
+
+    def usable(raw: Column) -> Column:
+        dated = ~D.is_blank(raw) & ~D.is_digits(raw) & ~D.is_clock_word(raw) & ~D.has_zone(raw) & ~D.has_zone(D.plain_meridiem(raw))
+        return D.written_out(raw, *D.WRITTEN_OUT) | dated
+
+    first = df.agg(*[F.min(F.when(usable(F.col(c)), F.struct(F.col(ROW).alias("at"), F.col(c).alias("cell")))).alias(c) for c in columns])
+    row = first.select(*[F.struct(F.col(c)["at"].alias("at"), F.col(c)["cell"].alias("cell"),
+                                  D.listed_format(D.plain_meridiem(F.trim(F.col(c)["cell"]))).alias("fmt")).alias(c) for c in columns]).first()
+    return [(row[c]["fmt"], row[c]["cell"], row[c]["at"]) for c in columns]
 
 
 def column_format(df: DataFrame, column: str) -> tuple[str | None, str | None, int | None]:
-    """The format of a date column: the one its first text cell that could be a date is in,
-    with that cell and its row."""
-    raw = F.col(column)
-    usable = ~D.is_blank(raw) & ~D.is_digits(raw) & ~D.is_clock_word(raw) & ~D.has_zone(raw) & ~D.has_zone(D.plain_meridiem(raw))
-    first = df.agg(F.min(F.when(usable, F.struct(F.col(ROW).alias("at"), raw.alias("cell")))).alias("f"))
-    row = first.select("f.*", D.listed_format(D.plain_meridiem(F.trim("f.cell"))).alias("fmt")).first()
-    return row["fmt"], row["cell"], row["at"]
+    return column_formats(df, [column])[0]
 
 
 def _as_written(raw: Column, fmt: str | None) -> Column:
@@ -62,19 +78,27 @@ DATE_PROBLEMS = ("is blank", "carries a time zone offset", OTHER_FORMAT, UNREAD,
 
 def date_cell(raw: Column, fmt: str | None) -> Column:
     """One date cell read in its column's format, or as its digits spell."""
-    written = _as_written(raw, fmt)
-    nothing = F.lit(None).cast("timestamp_ntz")
-    return (F.when(D.is_blank(raw) | D.is_clock_word(raw) | D.has_zone(written), nothing)
-            .when(D.is_digits(raw), D.spelled_date(raw)).otherwise(D.read(written, fmt) if fmt else nothing))
+    def otherwise(raw: Column) -> Column:
+        written = _as_written(raw, fmt)
+        nothing = F.lit(None).cast("timestamp_ntz")
+        return (F.when(D.is_blank(raw) | D.is_clock_word(raw) | D.has_zone(written), nothing)
+                .when(D.is_digits(raw), D.spelled_date(raw)).otherwise(D.read(written, fmt) if fmt else nothing))
+
+    # the many ways of an unusual cell are kept inside one small expression
+    return F.when(D.written_out(raw, fmt), raw.try_cast("timestamp_ntz")).otherwise(F.get(F.transform(F.array(raw), otherwise), F.lit(0)))
 
 
 def date_class(raw: Column, fmt: str | None) -> Column:
     """Why a date cell cannot be read, or null; cells in another listed format count as unread here."""
-    written = _as_written(raw, fmt)
-    return (F.when(D.is_blank(raw), "is blank").when(D.has_zone(written), "carries a time zone offset")
-            .when(D.is_clock_word(raw), UNREAD)
-            .when(D.is_digits(raw), F.when(D.spelled_date(raw).isNull(), DATE_PROBLEMS[4]))
-            .when((D.read(written, fmt) if fmt else F.lit(None)).isNull(), UNREAD))
+    def otherwise(raw: Column) -> Column:
+        written = _as_written(raw, fmt)
+        return (F.when(D.is_blank(raw), "is blank").when(D.has_zone(written), "carries a time zone offset")
+                .when(D.is_clock_word(raw), UNREAD)
+                .when(D.is_digits(raw), F.when(D.spelled_date(raw).isNull(), DATE_PROBLEMS[4]))
+                .when((D.read(written, fmt) if fmt else F.lit(None)).isNull(), UNREAD))
+
+    usual = F.when(D.written_out(raw, fmt), F.when(raw.try_cast("timestamp_ntz").isNull(), UNREAD))
+    return usual.otherwise(F.get(F.transform(F.array(raw), otherwise), F.lit(0)))
 
 
 def _finer(raw: Column) -> Column:
@@ -86,15 +110,16 @@ def _finer(raw: Column) -> Column:
 PROBLEM_SCHEMA = "column string, problem string, place int, rows bigint, first_row bigint, example string"
 
 
-def _count_problems(df: DataFrame, found: list[tuple[str, str, int, Column]]) -> list[tuple]:
-    """Sound rows give nothing to count; the others give one item per problem, combined map-side."""
+def _count_problems(df: DataFrame, found: list[tuple[str, str, int, Column]], suspect: Column) -> list[tuple]:
+    """Sound rows (not ``suspect``) give nothing to count and go first; the others give one item per problem, combined map-side."""
     row = F.col(ROW) if ROW in df.columns else F.lit(None).cast("bigint")
     said = F.array(*[F.when(rule, F.struct(F.lit(i).alias("place"), F.col(c).cast("string").alias("cell"))) for c, _, i, rule in found])
-    bad = df.select(row.alias("r"), F.inline(F.filter(said, lambda x: x.isNotNull())))
+    bad = df.filter(suspect).select(row.alias("r"), F.inline(F.filter(said, lambda x: x.isNotNull())))
     counts = bad.groupBy("place").agg(F.count("*").alias("rows"), F.min(F.struct("r", "cell")).alias("first"))
     named = {i: (c, w) for c, w, i, _ in found}
-    # at most one row per kind of problem
-    return [(*named[r["place"]], r["place"], r["rows"], r["first"]["r"], r["first"]["cell"]) for r in counts.collect()]
+    with short_methods(df.sparkSession):
+        rows = counts.collect()  # at most one row per kind of problem
+    return [(*named[r["place"]], r["place"], r["rows"], r["first"]["r"], r["first"]["cell"]) for r in rows]
 
 
 def cell_problems(df: DataFrame, formats: dict[str, str | None] | None = None) -> DataFrame:
@@ -120,18 +145,20 @@ def cell_problems(df: DataFrame, formats: dict[str, str | None] | None = None) -
                 add(column, what, F.col(f"_class_{column}") == what)
         elif column in WHOLE_COLUMNS:
             add(column, "is blank", D.is_blank(raw))
-            add(column, "is not a whole number", ~D.is_blank(raw) & whole_cell(raw).isNull())
+            add(column, "is not a whole number", ~raw.rlike(_WHOLE) & ~D.is_blank(raw) & whole_cell(raw).isNull())
         elif column in AMOUNT_COLUMNS:
-            add(column, "is not a number", amount_cell(raw).isNull())
+            add(column, "is not a number", ~raw.rlike(_CENTS) & amount_cell(raw).isNull())
         elif column in KEYED_TEXT:
             add(column, "is blank", D.is_blank(raw))
-    rows = _count_problems(df, found)
+    # a date cell with any problem has a class, so that sound cells are classed once
+    wrong = [rule for c, _, _, rule in found if c not in dated] + [F.col(f"_class_{c}").isNotNull() for c in dated]
+    rows = _count_problems(df, found, reduce(lambda a, b: a | b, wrong))
     for column in dated:
         if any(r[:2] == (column, UNREAD) for r in rows):
             rows = [r for r in rows if r[:2] != (column, UNREAD)]
             place = {w: i for c, w, i, _ in found if c == column}
             unread = df.filter(F.col(f"_class_{column}") == UNREAD).withColumn("_finer", _finer(F.col(column)))
-            rows += _count_problems(unread, [(column, w, place[w], F.col("_finer") == w) for w in (OTHER_FORMAT, UNREAD)])
+            rows += _count_problems(unread, [(column, w, place[w], F.col("_finer") == w) for w in (OTHER_FORMAT, UNREAD)], F.lit(True))
     return df.sparkSession.createDataFrame(rows, PROBLEM_SCHEMA)
 
 
@@ -145,10 +172,8 @@ def blank_profile(df: DataFrame) -> DataFrame:
 def date_formats(df: DataFrame, told: Callable[[int], str] = "data row {}".format) -> tuple[dict[str, str | None], list[str]]:
     """Each text date column's format, and the columns no listed format reads."""
     formats, problems = {}, []
-    for column in DATE_COLUMNS:
-        if not _is_text(df, column):
-            continue
-        fmt, cell, at = column_format(df, column)
+    columns = [c for c in DATE_COLUMNS if _is_text(df, c)]
+    for column, (fmt, cell, at) in zip(columns, column_formats(df, columns), strict=True):
         formats[column] = fmt
         if cell is not None and fmt is None:
             problems.append(f"{column} is in no date format that can be read from {told(at)} ({cell[:48]!a}): write dates as YYYY-MM-DD")

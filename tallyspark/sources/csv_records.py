@@ -112,18 +112,19 @@ def read(spark: SparkSession, path: str, range_bytes: int | None = None) -> tupl
         lines = settle(physical_lines(spark, path, max(1, TASK_BYTES // range_bytes) if range_bytes else 1), "lines")
     starts = ranges(lines)
     every = records(lines, starts)
-    first = every.where("at = 0").agg(F.min_by("record", "file").alias("header"), F.min("file").alias("file"), F.count("*").alias("files")).first()
+    heads = settle(every.where("at = 0").select("file", "record"), "headers")  # one row per file
+    first = heads.agg(F.min_by("record", "file").alias("header"), F.min("file").alias("file"), F.count("*").alias("files")).first()
     if not first["files"]:
         raise LedgerError(f"{path} holds no header")
-    other = every.where((F.col("at") == 0) & (F.col("record") != first["header"])).agg(F.min("file")).first()[0]
+    other = heads.where(F.col("record") != first["header"]).agg(F.min("file")).first()[0]
     if other is not None:
         raise LedgerError(f"the header of {other} is not that of {first['file']}")
     names = _names(first["header"])
     cells = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
     how = {"nullValue": "", "emptyValue": "", "quote": '"', "escape": '"', "multiLine": "true", "mode": "FAILFAST"}
     rows = every.where("at > 0").select(F.from_csv("record", F.lit(cells), how).alias("c"), (F.col("offset") + F.col("at")).alias("n"))
-    read_rows = settle(rows.select(*[F.col("c").getField(n).alias(n) for n in names], *([] if ROW in names else [F.col("n").alias(ROW)])), "cells")
-    discard(lines)
+    read_rows = settle(rows.select(*[F.col("c").getField(n).alias(n) for n in names], *([] if ROW in names else [F.col("n").alias(ROW)])), "cells", wide=True)
+    discard(lines, heads)
 
     def place(row: int) -> str:
         at = starts.where(F.col("offset") < row).agg(F.max(F.struct("offset", "file")).alias("f")).first()["f"]

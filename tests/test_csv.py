@@ -112,3 +112,42 @@ def test_small_ranges_are_not_a_task_each(spark, tmp_path):
         lines = csv_records.physical_lines(spark, str(tmp_path), 50)
         ranges, tasks = lines.select("start").distinct().count(), lines.select(F.spark_partition_id().alias("p")).distinct().count()
     assert ranges > 300 and tasks <= max(ranges // 50 + 1, 2 * spark.sparkContext.defaultParallelism)
+
+
+def jobs_of(spark, what):
+    """How many jobs it takes."""
+    name = f"counted {random.random()}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        what()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_date_formats_are_found_in_one_scan(spark):
+    df = spark.createDataFrame([(1, "soon", "1/2/2024"), (2, "2024-01-02 10:00:00", " "), (3, "2024-01-03", "x")], "row_no bigint, posting_date string, entered_at string")
+    assert ingest.date_formats(df)[0] == {"posting_date": None, "entered_at": "M/d/yyyy"}
+    assert ingest.date_formats(df.filter("row_no > 1"))[0] == {"posting_date": "yyyy-MM-dd HH:mm:ss", "entered_at": None}
+    one = jobs_of(spark, lambda: ingest.column_format(df, "posting_date"))
+    assert jobs_of(spark, lambda: ingest.date_formats(df.filter("row_no > 1"))) == one
+
+
+def test_cells_written_out_in_full_are_read_as_the_formatter_reads_them(spark):
+    said = {"2024-02-29 10:00:00": "2024-02-29 10:00:00", "2023-02-29 10:00:00": None, "2024-02-30 10:00:00": None, "2024-01-01 24:00:00": None,
+            "2024-01-01 23:59:60": None, "0000-01-01 00:00:00": "0000-01-01 00:00:00", "9999-12-31 23:59:59": "9999-12-31 23:59:59", "2024-01-01 10:00:00\n": None,
+            " 2024-01-01 10:00:00 ": "2024-01-01 10:00:00", "2024-01-01T10:00:00": None, "2024-01-01": None, "20240102": "2024-01-02 00:00:00", "2024-01-01 10:00:00Z": None}
+    df = spark.createDataFrame([(c,) for c in said], "c string")
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    got = df.select("c", ingest.date_cell(F.col("c"), fmt).cast("string").alias("v"), ingest.date_class(F.col("c"), fmt).alias("w")).collect()
+    assert {r["c"]: r["v"] for r in got} == said
+    assert {r["c"] for r in got if r["w"] is None} == {c for c, v in said.items() if v is not None}
+
+
+def test_amounts_and_whole_numbers_written_plainly(spark):
+    cells = {"1.00": ("1.00", 1), "-0.05": ("-0.05", None), "123456789012345.67": ("123456789012345.67", None), "1234567890123456.78": ("1234567890123456.78", None),
+             "12345678901234567.89": (None, None), "1.005": ("1.01", None), "1.00\n": ("1.00", 1), "3": ("3.00", 3), "3.0": ("3.00", 3), " 7 ": ("7.00", 7), "": ("0.00", None), "1e2": ("100.00", 100)}
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = df.select("c", ingest.amount_cell(F.col("c")).cast("string").alias("a"), ingest.whole_cell(F.col("c")).alias("w")).collect()
+    assert {r["c"]: r["a"] for r in got} == {c: a for c, (a, _) in cells.items()}
+    assert {r["c"]: r["w"] for r in got if r["w"] is not None} == {c: w for c, (_, w) in cells.items() if w is not None}
