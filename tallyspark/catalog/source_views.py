@@ -126,8 +126,10 @@ def report_documents(lines: DataFrame) -> DataFrame:
         cell(F.date_format("posting_date", "yyyy-MM-dd")), cell(kind, F.col("entry_id")), cell(F.when(k % 2 == 0, k.cast("string")).otherwise("")),
         cell(F.when(k % 3 == 0, F.lit("Someone")).otherwise("")), cell(F.when(k % 4 == 0, F.col("description")).otherwise("")),
         cell(amount("debit_cents")), cell(amount("credit_cents")), cell(user), cell(_stamp(k, F.col("entered_at"))))
-    # at most 1,000 lines and their copies per document
-    accounts = lines.groupBy(doc.alias("doc_no"), "account_type", "account_code", "account_name").agg(
+    # at most 1,000 lines and their copies per document: its lines are brought together once, as they are, and put into cells and sections there
+    told = ("entry_id", "line_no", "posting_date", "entered_at", "account_code", "account_name", "account_type", "description", "debit_cents", "credit_cents", "source", "created_by")
+    whole_docs = lines.select(doc.alias("doc_no"), *told).repartition("doc_no")
+    accounts = whole_docs.groupBy("doc_no", "account_type", "account_code", "account_name").agg(
         F.array_sort(F.collect_list(F.struct("entry_id", "line_no", F.struct(row.alias("ColData")).alias("r")))).alias("rs"))
     balance = F.struct(F.array(*[cell(F.lit("Beginning Balance") if i == 0 else F.lit("")) for i in range(len(COLUMNS))]).alias("ColData"))
     section = F.struct(F.lit("Section").alias("type"),

@@ -135,11 +135,16 @@ def read_stamp(text: Column, zone: str | None = None) -> Column:
     dated = F.coalesce(read(t, "yyyy-M-d"), read(t, "M/d/yyyy"))
     iso, us = F.regexp_extract(t, r"^(\d{4}-\d{1,2}-\d{1,2})(?!\d)", 1), F.regexp_extract(t, r"^(\d{1,2}/\d{1,2}/\d{4})(?!\d)", 1)
     leading = F.coalesce(F.when(iso != "", read(iso, "yyyy-M-d")), F.when(us != "", read(us, "M/d/yyyy")))
-    kind = (F.when(t == "", "blank").when(clocked.isNotNull(), "time").when(dated.isNotNull(), "date")
-            .when(leading.isNotNull(), "unreadable-date").otherwise("unreadable"))
-    when = F.coalesce(clocked, dated + noon, leading + noon)
-    utc = t.rlike(r"(Z|[+-]00:?00)$") & (kind == "time")
-    return F.struct(kind.alias("kind"), when.alias("when"), utc.alias("utc"))
+
+    def found(value: Column, kind: str, add: Column | None = None) -> Column:
+        """Each way is tried once, only if those ahead of it found nothing."""
+        return F.get(F.transform(F.array(value), lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), (v if add is None else v + add).alias("when")))), F.lit(0))
+
+    nothing = F.lit(None).cast("timestamp_ntz")
+    read_as = F.coalesce(F.when(t == "", F.struct(F.lit("blank").alias("kind"), nothing.alias("when"))), found(clocked, "time"),
+                         found(dated, "date", noon), found(leading, "unreadable-date", noon), F.struct(F.lit("unreadable").alias("kind"), nothing.alias("when")))
+    zero = t.rlike(r"(Z|[+-]00:?00)$")
+    return F.get(F.transform(F.array(read_as), lambda r: F.struct(r["kind"].alias("kind"), r["when"].alias("when"), (zero & (r["kind"] == "time")).alias("utc"))), F.lit(0))
 
 
 def stamp_order(stamp: Column) -> Column:

@@ -10,8 +10,11 @@ import pytest
 from conftest import entry
 from pyspark.sql import functions as F
 
+from tallyspark.catalog import views
+from tallyspark.catalog import source_views as sv
 from tallyspark.functions import dates, text
 from tallyspark.operators import ingest, notes, review
+from tallyspark.plans.staging import settle
 from tallyspark.schema import REQUIRED_COLUMNS, LedgerError
 from tallyspark.sources import accounting, ledger_files, note_files, sinks
 from tallyspark.sources.review_log import ReviewLog
@@ -341,3 +344,11 @@ def test_grades_come_with_what_they_were_graded_by(spark):
     assert {k: r["metrics"] for k, r in rows.items()} == plain and set(plain) == {"a", "b"}
     assert plain["a"]["passed"] and not plain["b"]["passed"]
     assert (rows["a"]["archetype"], rows["a"]["prompt"], rows["a"]["note"]["summary"], rows["b"]["note"]) == ("x", "- line 1: 6100 Rent | 500.00", "rent of 500", None)
+
+
+def test_report_documents_are_brought_together_by_one_shuffle(spark):
+    """Rows and sections are made where a document's lines are, not shuffled at each level."""
+    lines = views.ledger(spark, "/root/testdata/sf0.001")
+    made = sv.report_documents(settle(lines, "lines"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert made.count() == made.select("doc_no").distinct().count() > 1
