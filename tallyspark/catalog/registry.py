@@ -54,7 +54,10 @@ class Staged:
 
     @cached_property
     def ids(self) -> DataFrame:
-        return self.entries.select("entry_id")
+        """The entries' ids; where nothing has asked for the entries' facts, those are not worked out for them."""
+        if "entries" in self.__dict__:
+            return self.entries.select("entry_id")
+        return settle(self.lines.select("entry_id").distinct(), "ids")
 
     @cached_property
     def stats(self) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from conftest import entry
 from pyspark.sql import functions as F
 
-from tallyspark.catalog import views
+from tallyspark.catalog import registry, views
 from tallyspark.catalog import source_views as sv
 from tallyspark.functions import dates, text
 from tallyspark.operators import ingest, notes, review
@@ -352,3 +352,12 @@ def test_report_documents_are_brought_together_by_one_shuffle(spark):
     made = sv.report_documents(settle(lines, "lines"))
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert made.count() == made.select("doc_no").distinct().count() > 1
+
+
+def test_review_rows_need_no_entry_facts(spark):
+    staged = registry.Staged(spark, "/root/testdata/sf0.001")
+    alone = sorted(map(tuple, staged.decisions.collect()))
+    assert "entries" not in staged.__dict__
+    other = registry.Staged(spark, "/root/testdata/sf0.001")
+    assert other.entries.count() == other.ids.count() == staged.ids.count()
+    assert sorted(map(tuple, other.decisions.collect())) == alone
