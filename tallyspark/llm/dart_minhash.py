@@ -14,7 +14,7 @@ other texts of other classes and then leave it. After the first round the texts
 hold two classes are undecided; they meet again by their rarest shingles, enough of them that texts
 of the threshold's similarity must share one (a large group of texts edited apart from one text fills
 its bands' buckets, yet its members share only frequent shingles). Rounds go on until no bucket holds
-two classes. Agreement of whole signatures rules out far pairs (by five standard deviations); shingle
+two classes, or until what is left makes so few pairs that all are met in one round. Agreement of whole signatures rules out far pairs (by five standard deviations); shingle
 sets decide the rest.
 """
 
@@ -40,6 +40,10 @@ SIZE, ROWS = 128, 8
 FIRST_RANK = 1 / 64
 #: The most cells in which shingles are counted (a byte each), and cells in a row of counts.
 CELLS, BLOCK = 1 << 24, 1 << 14
+#: Buckets that make no more pairs than this in all are gone through in one last round: a round costs its stages, however few its pairs.
+PAIRS = 1 << 17
+#: Tables of pairs, classes and leaders are broadcast up to so many bytes as measured: several are in memory at once, beside the Python workers.
+FEW = 4 << 20
 _U = np.uint64
 
 
@@ -192,7 +196,7 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
     """How often the shingles of each cell occur in ``sets``, in one byte: up to 128 as it is, then by the logarithm.
 
     A shingle's cell is its lowest bits. There are about a quarter as many cells as shingles, at most CELLS, so what a task hands on
-    and what is sent back is bounded. A task counts no cell beyond 255."""
+    and what is sent back (a byte a cell) is bounded. A task counts no cell beyond 255."""
     total = sets.agg(F.sum(F.expr("octet_length(held) div 8")).alias("n")).first()["n"] or 0
     cells = min(CELLS, max(BLOCK, 1 << max(1, total // 4).bit_length()))
 
@@ -208,18 +212,19 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
         rows = ((k, share, least[k].tobytes()) for k in np.flatnonzero(least.any(axis=1)).tolist())
         yield from batches(rows, pa.schema([("block", pa.int32()), ("share", pa.int32()), ("counts", pa.binary())]))
 
-    def add(kind: str):
+    def add(kind: str, last: bool):
         def run(part: pd.DataFrame) -> pd.DataFrame:
             counts = sum(np.frombuffer(x, kind).astype("<u4") for x in part["counts"])
+            if last:
+                counts = np.where(counts <= 128, counts, np.minimum(255, 128 + 5 * np.log2(np.maximum(counts, 1) / 128))).astype(np.uint8)
             return pd.DataFrame({"block": part["block"].iloc[:1], "share": part["share"].iloc[:1], "counts": [counts.tobytes()]})
         return run
 
     kind = "block int, share int, counts binary"
-    shares = sets.select("held").mapInArrow(run, kind).groupBy("block", "share").applyInPandas(add("u1"), kind)
+    shares = sets.select("held").mapInArrow(run, kind).groupBy("block", "share").applyInPandas(add("u1", False), kind)
     out = np.zeros(cells, np.uint8)
-    for row in shares.groupBy("block").applyInPandas(add("<u4"), kind).toLocalIterator():
-        counts = np.frombuffer(row["counts"], "<u4").astype(np.float64)
-        out[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.where(counts <= 128, counts, np.minimum(255, 128 + 5 * np.log2(np.maximum(counts, 1) / 128)))
+    for row in shares.groupBy("block").applyInPandas(add("<u4", True), kind).collect():  # one job; toLocalIterator runs one for each partition
+        out[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.uint8)
     return out
 
 
@@ -280,23 +285,48 @@ def _agreement(size: int) -> Column:
     return same / size
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A settled table to join to another: broadcast where it is measured small, so that the other is not moved."""
+    return F.broadcast(table) if fits(table, FEW) else table
+
+
 def classes_of(links: DataFrame) -> DataFrame:
-    """``node`` and ``class`` (the least node it hangs together with) of links ``a``, ``b``, by
+    """``node`` and ``class`` (the least node it hangs together with) of links ``a``, ``b`` (settled: each round reads them), by
     rounds of taking the least class of a neighbour and then the class of that class."""
-    both = settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("class")), "classes")
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("m"))
-        step = label.join(near, "node").select("node", F.col("class").alias("was"), F.least("class", "m").alias("m"))
-        up = label.select(F.col("node").alias("m"), F.col("class").alias("up"))
+        small = fits(label, FEW)
+        few = F.broadcast(label) if small else label
+        if small:  # nothing is moved to see whether all links are inside a class; otherwise the last round shows it
+            x, y = (few.select(F.col("node").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
+            if links.join(x, "a").join(y, "b").where("class_a <> class_b").isEmpty():
+                return label
+        near = both.join(few.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("m"))
+        step = near.join(few, "node").select("node", F.col("class").alias("was"), F.least("class", "m").alias("m"))
+        up = few.select(F.col("node").alias("m"), F.col("class").alias("up"))
         after = settle(step.join(up, "m").select("node", "was", F.least("m", "up").alias("class")), "classes")
         discard(label)
         label = after.select("node", "class")
-        if after.where("was <> class").isEmpty():
-            discard(both)
+        if not small and after.where("was <> class").isEmpty():
             return label
 
 
+def classes_with(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes ``label`` (node, class; settled) once ``links`` (a, b) are among the links too. Only the classes that these bring together
+    are gone through, by the least node of each; a node that ``label`` lacks is a class of its own."""
+    few = _few(label)
+    ends = links.join(few.select(F.col("node").alias("a"), F.col("class").alias("x")), "a", "left").join(
+        few.select(F.col("node").alias("b"), F.col("class").alias("y")), "b", "left")
+    between = settle(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b"), "links")
+    moved = classes_of(between)
+    to = moved.select(F.col("node").alias("class"), F.col("class").alias("to"))
+    known = label.join(_few(to), "class", "left").select("node", F.coalesce("to", "class").alias("class"))
+    after = settle(known.union(moved.join(few.select("node"), "node", "left_anti").select("node", "class")), "classes")
+    discard(between, moved)
+    return after
+
+
 def _band_hashes(size: int, rows: int) -> list[Column]:
     """A hash of each band of ``sign``."""
     def part(coordinates) -> Column:
@@ -307,32 +337,48 @@ def _band_hashes(size: int, rows: int) -> list[Column]:
 
 
 def _sets_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """The shingle sets of the texts ``asked`` (node) for. A list measured small is broadcast, so that
+    """The shingle sets of the texts ``asked`` (node, repeated ones too) for. A list measured small is broadcast, so that
     only its texts are shuffled; a larger one is joined."""
-    few = F.broadcast(asked) if fits(asked.select(F.hex("node").alias("node"))) else asked
+    if not fits(asked, FEW):
+        asked = settle(asked.distinct(), "asked")
+    few = F.broadcast(asked) if fits(asked) else asked
     texts = docs.select(F.unhex(F.md5("text")).alias("node"), "text").join(few, "node", "left_semi")
     return settle(shingle_sets(texts.dropDuplicates(["node"])), "sets")
 
 
-def _named(table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of ``table`` (by node) that ``pairs`` name. Where their list is measured small, it is
-    broadcast and no other row is shuffled for the pairs; a larger one leaves that to their join."""
+def _of_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """The pairs (settled) with ``value`` of their two nodes in ``table``, as ``value_a`` and ``value_b``. Pairs measured few are broadcast to the
+    table: no other row of it is moved, and the pairs of one node are no one task's. Otherwise, if the list of their nodes is
+    small, that is broadcast; beyond that the table is joined by node."""
+    def ends(rows: DataFrame) -> list[DataFrame]:
+        return [rows.select(F.col("node").alias(c), F.col(value).alias(f"{value}_{c}")) for c in "ab"]
+    if fits(pairs, FEW):
+        a, b = (end.join(F.broadcast(pairs), c) for end, c in zip(ends(table), "ab", strict=True))
+        return a.join(b, ["a", "b"])
     asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    if fits(asked.select(F.hex("node").alias("node"))):
-        return table.join(F.broadcast(asked), "node", "left_semi")
-    return table
+    a, b = ends(table.join(F.broadcast(asked), "node", "left_semi") if fits(asked) else table)
+    return pairs.join(b, "b").join(a, "a")
 
 
 def _of_mixed_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
     """The members, with their ``class``, of buckets that hold two classes or more."""
-    held = members.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    held = members.join(_few(label), "node", "left").withColumn("class", F.coalesce("class", "node"))
     mixed = held.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("bucket")
     return settle(held.join(mixed, "bucket"), "held")
 
 
-def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows: int) -> DataFrame:
-    """Links ``a``, ``b`` (similarity of at least ``threshold``) that span every class of texts."""
-    spark = signs.sparkSession
+def _by_class(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of buckets that hold two classes or more, with their ``class``, ``like`` (its members in the bucket), ``largest`` (the class
+    with the most of them) and ``others`` (how many members are of other classes than that)."""
+    held = members.join(_few(label), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    sizes = held.groupBy("bucket", "class").agg(F.count("*").alias("like"))
+    most = sizes.groupBy("bucket").agg(F.sum("like").alias("n"), F.max(F.struct("like", "class")).alias("m"))
+    most = most.select("bucket", F.col("m.class").alias("largest"), (F.col("n") - F.col("m.like")).alias("others")).where("others > 0")
+    return settle(held.join(sizes.join(most, "bucket"), ["bucket", "class"]), "held")
+
+
+def _classes(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows: int) -> DataFrame:
+    """``node`` and ``class`` (the least node) of the texts that links, similar by at least ``threshold``, hang together."""
     nodes = signs.where("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("sign"))
     nodes = settle(nodes, "nodes")
     met = nodes.select("node", F.posexplode(F.array(*_band_hashes(size, rows))).alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
@@ -340,13 +386,11 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
     members = settle(met.join(full, "bucket"), "buckets")
     margin = max(0.0, threshold - 5 * (threshold * (1 - threshold) / size) ** 0.5)
 
-    def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        sign_a, sign_b = (nodes.select(F.col("node").alias(c), F.col("sign").alias(f"sign_{c}")) for c in "ab")
-        return settle(pairs.join(sign_b, "b").join(sign_a, "a").where(_agreement(size) >= margin).select("a", "b"), "near")
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        return settle(_of_both(pairs, nodes, "sign").where(_agreement(size) >= margin).select("a", "b"), "near")
 
     def similar(near: DataFrame, sets: DataFrame) -> DataFrame:
-        set_a, set_b = (sets.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
-        return settle(_similar(near.join(set_b, "b").join(set_a, "a")).where(F.col("similarity") >= threshold).select("a", "b"), "links")
+        return settle(_similar(_of_both(near, sets, "held")).where(F.col("similarity") >= threshold).select("a", "b"), "links")
 
     # the text whose buckets are the fullest leads: in a group of copies edited apart, the one they were made from
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
@@ -355,45 +399,52 @@ def _links(signs: DataFrame, docs: DataFrame, threshold: float, size: int, rows:
     lead = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("m")).select("bucket", F.col("m.node").alias("a"))
     pairs = members.join(lead, "bucket").where("node <> a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
     tried = settle(pairs, "met")
-    near = agreeing(tried, nodes)
-    asked = settle(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    sets = _sets_of(asked, docs)
+    near = agreeing(tried)
+    sets = _sets_of(near.select(F.explode(F.array("a", "b")).alias("node")), docs)
     links = similar(near, sets)
     label = classes_of(links)
     held = _of_mixed_buckets(members, label)
     undecided = settle(held.select("node", "degree").distinct(), "undecided")
-    discard(members, near, asked, held)
-    few = F.broadcast(undecided) if fits(undecided.select(F.hex("node").alias("node"))) else undecided
-    more = _sets_of(undecided.select("node").join(sets.select("node"), "node", "left_anti"), docs)
+    discard(members, near, links, held)
+    few = F.broadcast(undecided) if fits(undecided) else undecided
+    more = _sets_of(undecided.select("node").join(_few(sets.select("node")), "node", "left_anti"), docs)
     before, sets = sets, settle(sets.join(few, "node", "left_semi").union(more), "sets")  # every round reads them
     discard(before, more)
     first = settle(rare_buckets(sets, threshold), "first")
     often = first.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = settle(first.join(often, "bucket").join(undecided, "node"), "buckets")
+    members = settle(first.join(often, "bucket").join(few, "node"), "buckets")
     discard(first)
-    turn = 1
-    while not (held := _of_mixed_buckets(_of_reach(members, threshold), label)).isEmpty():
-        # of the largest class, which takes most others in; then of the smallest, whose rest is met in full
-        sizes = held.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-        order = Window.partitionBy("bucket").orderBy(F.desc("n") if turn % 2 else F.asc("n"), "class", F.desc("degree"), "node")
-        ranked = held.join(sizes, ["bucket", "class"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= 4 ** ((turn + 1) // 2))
+    turn, last = 1, False
+    while not last:
+        held = _by_class(_of_reach(members, threshold), label)
+        open_pairs = held.agg(F.sum("others").alias("n")).first()["n"] or 0  # each of a bucket's texts with those outside its largest class
+        if not open_pairs:
+            break
+        last = open_pairs <= PAIRS
+        if last:
+            ranked = held.where("class <> largest")
+        else:  # of the largest class, which takes most others in; then of the smallest, whose rest is met in full
+            order = Window.partitionBy("bucket").orderBy(F.desc("like") if turn % 2 else F.asc("like"), "class", F.desc("degree"), "node")
+            ranked = held.withColumn("k", F.row_number().over(order)).where(F.col("k") <= 4 ** ((turn + 1) // 2))
         lead = settle(ranked.select("bucket", F.col("node").alias("a"), F.col("class").alias("lead_class"), F.col("size").alias("lead_size"), F.col("rank").alias("lead_rank")), "leaders")
         reach = _within_reach(threshold, F.col("lead_size"), F.col("lead_rank"))
-        pairs = held.join(lead, "bucket").where((F.col("class") != F.col("lead_class")) & reach)
-        pairs = pairs.select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        few = _few(lead)
+        pairs = held.join(few, "bucket").where((F.col("class") != F.col("lead_class")) & reach)
+        pairs = pairs.select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct().join(_few(tried), ["a", "b"], "left_anti")
         pairs = settle(pairs, "met")
-        near = agreeing(pairs, _named(nodes, pairs))
-        new = similar(near, _named(sets, near))
+        near = agreeing(pairs)
+        new = similar(near, sets)
         tried = tried.union(pairs)
         if not new.isEmpty():
-            links = links.union(new)
-            before, label = label, classes_of(links)
+            before, label = label, classes_with(label, new)
             discard(before)
-        left = settle(held.join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").drop("class"), "buckets")
-        discard(members, held, lead, near)
-        members = left
+        before = members
+        if not last:
+            left = held.join(few.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+            members = settle(left.select("bucket", "node", "size", "rank", "degree"), "buckets")
+        discard(before, held, lead, near, new)
         turn += 1
-    return links
+    return label
 
 
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, size: int = SIZE,
@@ -418,8 +469,8 @@ def classed(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD, size
     """The columns ``keep``, ``node`` (the text's digest) and ``class`` (the least node of its class) of every row of ``docs``; both
     are null for rows without words."""
     signs = settle(signed(docs, keep, size), "signatures")
-    label = classes_of(_links(signs, docs, threshold, size, rows))
-    return signs.drop("signature").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    label = _classes(signs, docs, threshold, size, rows)
+    return signs.drop("signature").join(_few(label), "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:

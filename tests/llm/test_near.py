@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import plain
+import pytest
 
 from tallyspark.llm import dart_minhash
+from tallyspark.plans import staging
 
 
 def edited(words, draw, n):
@@ -60,3 +62,37 @@ def test_count_weights(spark):
     docs = spark.createDataFrame([(1, "a b c d e " * 9), (2, "a b c d e " * 9)], "doc_id long, text string")
     one, two = dart_minhash.signed(docs, ["doc_id"], weight="count").collect()
     assert one["signature"] == two["signature"]
+
+
+def group_edited_apart(n):
+    """Texts edited apart from one text: many are not similar among themselves, but share shingles that many have."""
+    draw = random.Random(9)
+    base = [f"w{k}" for k in range(160)]
+    return [(k, edited(base, draw, 1 + k % 7)) for k in range(n)]
+
+
+@pytest.mark.parametrize(("pairs", "room"), [(0, None), (0, -1)])
+def test_many_rounds_and_lists_of_any_size(spark, monkeypatch, pairs, room):
+    rows = group_edited_apart(40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(dart_minhash, "PAIRS", pairs)
+    if room is not None:  # nothing is measured small
+        monkeypatch.setattr(staging, "BROADCAST_BYTES", room)
+    got = sorted(((r["doc_id"], r["class_id"]) for r in dart_minhash.near_duplicates(docs).collect()), key=str)
+    assert got == plain.near_classes(rows)
+
+
+def test_few_pairs_take_few_stages(spark):
+    """Each stage costs a shuffle's tasks, however few its rows."""
+    docs = spark.createDataFrame(group_edited_apart(40), "doc_id long, text string").repartition(4)
+    with staging.watched() as settled:
+        dart_minhash.near_duplicates(docs).count()
+    assert len(settled) <= 30
+
+
+def test_classes_with_more_links(spark):
+    def linked(pairs):
+        return staging.settle(spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in pairs], "a binary, b binary"))
+    old, new = [(1, 2), (2, 3), (5, 6), (8, 9)], [(3, 5), (7, 8), (10, 11), (11, 6)]
+    got = dart_minhash.classes_with(dart_minhash.classes_of(linked(old)), linked(new)).collect()
+    assert sorted((r["node"][0], r["class"][0]) for r in got) == [*((n, 1) for n in (1, 2, 3, 5, 6)), (7, 7), (8, 7), (9, 7), (10, 1), (11, 1)]
