@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 from functools import reduce
 
@@ -90,11 +91,41 @@ def read(text: Column, fmt: str) -> Column:
     return F.when(reduce(lambda a, b: a & b, marks), moment) if marks else moment
 
 
-def listed_format(text: Column) -> Column:
-    """The first listed format that reads a cell, or null. The list is walked inside one small
-    expression, for the few cells it is asked of."""
-    def reads(fmt: Column) -> Column:
-        worded = F.when(F.contains(fmt, F.lit("MMM")), F.initcap(F.lower(text))).otherwise(text)
-        return F.try_to_timestamp(F.concat(worded, F.lit(" +0000")), F.concat(fmt, F.lit(" xx"))).isNotNull()
+#: What a text is made of: its runs of digits as one digit, its runs of letters as one letter, and its marks.
+_FIELDS = ((r"[0-9]+", "0"), (r"\p{L}+", "a"))
+#: A number with a sign; readers take one for any number of a format, though its marks do not show it.
+_SIGNED = r"(^|[^0-9])[+-][0-9]"
+
+
+def _made_of(fmt: str) -> str:
+    """What every text in a format is made of: fields of letters are names, of others numbers."""
+    plain = re.sub(r"MMM+|a+", "w", fmt.replace("'T'", "w"))
+    return re.sub(r"w+", "a", re.sub(r"[yMdHhmsS]+", "0", plain))
 
-    return F.get(F.filter(F.array(*[F.lit(f) for f in FORMATS]), reads), F.lit(0))
+
+def listed_format(text: Column) -> Column:
+    """The first listed format that reads a cell, or null. Only formats that cells of its digits, letters and marks can be in are tried,
+    since a formatter that fails costs far more than one that reads; all of them for a cell with a signed number."""
+    alike: dict[str, list[str]] = {}
+    for fmt in FORMATS:
+        alike.setdefault(_made_of(fmt), []).append(fmt)
+
+    def walked(text: Column) -> Column:
+        made_of = text
+        for field, short in _FIELDS:
+            made_of = F.regexp_replace(made_of, field, short)
+        tried = F.element_at(F.create_map(*[c for k, v in alike.items() for c in (F.lit(k), F.array(*[F.lit(f) for f in v]))]), made_of)
+        tried = F.coalesce(tried, F.when(text.rlike(_SIGNED), F.array(*[F.lit(f) for f in FORMATS])))
+
+        def first(found: Column, fmt: Column) -> Column:
+            worded = F.when(F.contains(fmt, F.lit("MMM")), F.initcap(F.lower(text))).otherwise(text)
+            reads = F.try_to_timestamp(F.concat(worded, F.lit(" +0000")), F.concat(fmt, F.lit(" xx"))).isNotNull()
+            return F.coalesce(found, F.when(reads, fmt))
+
+        return F.aggregate(tried, F.lit(None).cast("string"), first)
+
+    plainly = F.lit(None).cast("string")
+    for fmt, form in WRITTEN_OUT.items():
+        plainly = F.when(text.rlike(form) & text.try_cast("timestamp_ntz").isNotNull(), fmt).otherwise(plainly)
+    # the ways of an unusual cell are kept inside one small expression
+    return F.coalesce(plainly, F.get(F.transform(F.array(text), walked), F.lit(0)))

@@ -89,42 +89,64 @@ def date_cell(raw: Column, fmt: str | None) -> Column:
 
 
 def date_class(raw: Column, fmt: str | None) -> Column:
-    """Why a date cell cannot be read, or null; cells in another listed format count as unread here."""
+    """Why a date cell cannot be read, or null; an unread cell in another listed format is told apart."""
     def otherwise(raw: Column) -> Column:
         written = _as_written(raw, fmt)
         return (F.when(D.is_blank(raw), "is blank").when(D.has_zone(written), "carries a time zone offset")
                 .when(D.is_clock_word(raw), UNREAD)
                 .when(D.is_digits(raw), F.when(D.spelled_date(raw).isNull(), DATE_PROBLEMS[4]))
-                .when((D.read(written, fmt) if fmt else F.lit(None)).isNull(), UNREAD))
+                .when((D.read(written, fmt) if fmt else F.lit(None)).isNull(), _unread(raw)))
 
-    usual = F.when(D.written_out(raw, fmt), F.when(raw.try_cast("timestamp_ntz").isNull(), UNREAD))
+    sound = F.lit(None).cast("string")
+    usual = F.when(D.written_out(raw, fmt) & raw.try_cast("timestamp_ntz").isNotNull(), sound)
+    if fmt is None:  # every cell is in another format or has a problem: one written out in full needs no more than its cast
+        usual = F.when(D.written_out(raw, *D.WRITTEN_OUT) & raw.try_cast("timestamp_ntz").isNotNull(), OTHER_FORMAT)
     return usual.otherwise(F.get(F.transform(F.array(raw), otherwise), F.lit(0)))
 
 
-def _finer(raw: Column) -> Column:
-    """An unread cell, told apart: in another listed format, or in none."""
-    other = D.listed_format(D.plain_meridiem(F.trim(raw))).isNotNull()
-    return F.when(~D.is_clock_word(raw) & other, OTHER_FORMAT).otherwise(UNREAD)
+def _unread(raw: Column) -> Column:
+    """Which an unread cell is: in another listed format, or in none."""
+    return F.when(D.listed_format(D.plain_meridiem(F.trim(raw))).isNotNull(), OTHER_FORMAT).otherwise(UNREAD)
 
 
 PROBLEM_SCHEMA = "column string, problem string, place int, rows bigint, first_row bigint, example string"
 
 
-def _count_problems(df: DataFrame, found: list[tuple[str, str, int, Column]], suspect: Column) -> list[tuple]:
-    """Sound rows (not ``suspect``) give nothing to count and go first; the others give one item per problem, combined map-side."""
+def _count_problems(df: DataFrame, found: list[tuple[str, str, int, Column]]) -> list[tuple]:
+    """Rows, first row and its cell of every problem that any row has. Rows are counted by all that is wrong with them, in one number, so that
+    each cell is looked at once and no problem is sorted; cells are then read on the first rows alone."""
     row = F.col(ROW) if ROW in df.columns else F.lit(None).cast("bigint")
-    said = F.array(*[F.when(rule, F.struct(F.lit(i).alias("place"), F.col(c).cast("string").alias("cell"))) for c, _, i, rule in found])
-    bad = df.filter(suspect).select(row.alias("r"), F.inline(F.filter(said, lambda x: x.isNotNull())))
-    counts = bad.groupBy("place").agg(F.count("*").alias("rows"), F.min(F.struct("r", "cell")).alias("first"))
-    named = {i: (c, w) for c, w, i, _ in found}
+    wrong = reduce(lambda a, b: a.bitwiseOR(b), [F.when(rule, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for _, _, i, rule in found])
+    kinds = df.select(row.alias("r"), wrong.alias("wrong")).groupBy("wrong").agg(
+        F.count("*").alias("rows"), F.min("r").alias("first"), F.count_if(F.col("r").isNull()).alias("unplaced"))
+
+    def of(i: int) -> Column:
+        has = F.col("wrong").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
+        return F.struct(F.sum(F.when(has, F.col("rows"))).alias("rows"), F.min(F.when(has, F.col("first"))).alias("first"),
+                        F.sum(F.when(has, F.col("unplaced"))).alias("unplaced"))
+
     with short_methods(df.sparkSession):
-        rows = counts.collect()  # at most one row per kind of problem
-    return [(*named[r["place"]], r["place"], r["rows"], r["first"]["r"], r["first"]["cell"]) for r in rows]
+        counted = kinds.agg(*[of(i).alias(f"p{i}") for _, _, i, _ in found]).first()
+    counts = {i: counted[f"p{i}"] for _, _, i, _ in found if counted[f"p{i}"]["rows"]}
+    if not counts:
+        return []
+
+    def cells(rows: DataFrame) -> dict[int, tuple]:
+        said = F.array(*[F.when(rule, F.struct(F.lit(i).alias("place"), F.col(c).cast("string").alias("cell"))) for c, _, i, rule in found if i in counts])
+        each = rows.select(row.alias("r"), F.inline(F.filter(said, lambda x: x.isNotNull()))).groupBy("place").agg(F.min(F.struct("r", "cell")).alias("first"))
+        with short_methods(df.sparkSession):
+            return {r["place"]: r["first"] for r in each.collect()}  # at most one row per kind of problem
+
+    at = row.isin(sorted({c["first"] for c in counts.values() if c["first"] is not None}))
+    first = cells(df.filter(at | row.isNull() if any(c["unplaced"] for c in counts.values()) else at))
+    if len(first) < len(counts):  # row numbers that are not the same in every scan
+        first = cells(df)
+    return [(c, w, i, counts[i]["rows"], *first[i]) for c, w, i, _ in found if i in counts]
 
 
 def cell_problems(df: DataFrame, formats: dict[str, str | None] | None = None) -> DataFrame:
     """Every kind of unreadable cell, as ``column, problem, place, rows, first_row, example``: one
-    scan over the raw cells, and a second over unread date cells alone when there are any."""
+    scan over the raw cells, and one of the rows where a problem is first."""
     check_columns(df.columns)
     formats = formats or {}
     found: list[tuple[str, str, int, Column]] = []
@@ -150,16 +172,7 @@ def cell_problems(df: DataFrame, formats: dict[str, str | None] | None = None) -
             add(column, "is not a number", ~raw.rlike(_CENTS) & amount_cell(raw).isNull())
         elif column in KEYED_TEXT:
             add(column, "is blank", D.is_blank(raw))
-    # a date cell with any problem has a class, so that sound cells are classed once
-    wrong = [rule for c, _, _, rule in found if c not in dated] + [F.col(f"_class_{c}").isNotNull() for c in dated]
-    rows = _count_problems(df, found, reduce(lambda a, b: a | b, wrong))
-    for column in dated:
-        if any(r[:2] == (column, UNREAD) for r in rows):
-            rows = [r for r in rows if r[:2] != (column, UNREAD)]
-            place = {w: i for c, w, i, _ in found if c == column}
-            unread = df.filter(F.col(f"_class_{column}") == UNREAD).withColumn("_finer", _finer(F.col(column)))
-            rows += _count_problems(unread, [(column, w, place[w], F.col("_finer") == w) for w in (OTHER_FORMAT, UNREAD)], F.lit(True))
-    return df.sparkSession.createDataFrame(rows, PROBLEM_SCHEMA)
+    return df.sparkSession.createDataFrame(_count_problems(df, found), PROBLEM_SCHEMA)
 
 
 def blank_profile(df: DataFrame) -> DataFrame:

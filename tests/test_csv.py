@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.functions import dates
 from tallyspark.operators import ingest
 from tallyspark.plans.staging import setting
 from tallyspark.schema import REQUIRED_COLUMNS, LedgerError
@@ -151,3 +152,38 @@ def test_amounts_and_whole_numbers_written_plainly(spark):
     got = df.select("c", ingest.amount_cell(F.col("c")).cast("string").alias("a"), ingest.whole_cell(F.col("c")).alias("w")).collect()
     assert {r["c"]: r["a"] for r in got} == {c: a for c, (a, _) in cells.items()}
     assert {r["c"]: r["w"] for r in got if r["w"] is not None} == {c: w for c, (_, w) in cells.items() if w is not None}
+
+
+def problem_rows(spark, numbered=True):
+    good = {c: "1" for c in REQUIRED_COLUMNS} | {"posting_date": "2024-01-02", "entered_at": "2024-01-02 10:00:00", "debit": "5.00", "credit": "0.00"}
+    odd = [{}, {"debit": "x"}, {"posting_date": "02/13/2024", "debit": "b"}, {"posting_date": "soon"}, {"posting_date": "now", "entry_id": " "}, {"entered_at": ""}, {"posting_date": "today"}]
+    rows = [tuple((good | o)[c] for c in REQUIRED_COLUMNS) + ((i,) if numbered else ()) for i, o in enumerate(odd, 1)]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in REQUIRED_COLUMNS) + (", row_no bigint" if numbered else ""))
+
+
+def test_date_problems_cost_no_scan_of_their_own(spark):
+    df = problem_rows(spark)
+    told = {"posting_date": "yyyy-MM-dd", "entered_at": "yyyy-MM-dd HH:mm:ss"}
+    got = {tuple(r)[:2]: tuple(r)[3:] for r in ingest.cell_problems(df, told).collect()}
+    assert got == {("debit", "is not a number"): (2, 2, "x"), ("posting_date", ingest.OTHER_FORMAT): (1, 3, "02/13/2024"), ("posting_date", ingest.UNREAD): (3, 4, "soon"),
+                   ("entry_id", "is blank"): (1, 5, " "), ("entered_at", "is blank"): (1, 6, "")}
+    none = {tuple(r)[:2]: tuple(r)[3:] for r in ingest.cell_problems(df).collect()}
+    assert none[("posting_date", ingest.OTHER_FORMAT)] == (4, 1, "2024-01-02") and none[("entered_at", ingest.OTHER_FORMAT)] == (6, 1, "2024-01-02 10:00:00")
+    unnumbered = {tuple(r)[:2]: tuple(r)[3:] for r in ingest.cell_problems(problem_rows(spark, False), told).collect()}
+    assert unnumbered == {**{k: (v[0], None, v[2]) for k, v in got.items()}, ("debit", "is not a number"): (2, None, "b"), ("posting_date", ingest.UNREAD): (3, None, "now")}
+    one = jobs_of(spark, lambda: ingest.cell_problems(df.filter("row_no <= 2"), told))
+    assert jobs_of(spark, lambda: ingest.cell_problems(df)) == one
+
+
+def test_the_format_of_a_cell_is_the_first_that_reads_it(spark):
+    cells = {"2024-01-02": "yyyy-MM-dd", "2024-02-30": None, "2024-1-2": None, "+12024-01-02": "yyyy-MM-dd", "-2024-01-02": "yyyy-MM-dd", "2024-01-02 10:00:00": "yyyy-MM-dd HH:mm:ss",
+             "2024-01-02t10:00": "yyyy-MM-dd'T'HH:mm", "2024-01-02 10:00:00.1": "yyyy-MM-dd HH:mm:ss.SSSSSS", "1/2/2024": "M/d/yyyy", "31/1/2024": "d/M/yyyy", "1/2/24": "M/d/yy",
+             "1/2/2024 9:05 PM": "M/d/yyyy h:mm a", "1.2.2024 9:05": "d.M.yyyy H:mm", "2-JAN-24": "d-MMM-yy", "3 april 2024": "d MMMM yyyy", "April 3, 2024": "MMMM d, yyyy", "soon": None, "": None, None: None}
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+
+    def each(text):
+        named = F.initcap(F.lower(text))
+        return F.coalesce(*[F.when(F.try_to_timestamp(F.concat(named if "MMM" in f else text, F.lit(" +0000")), F.lit(f + " xx")).isNotNull(), f) for f in dates.FORMATS])
+
+    got = df.select("c", dates.listed_format(F.col("c")).alias("f"), each(F.col("c")).alias("plain")).collect()
+    assert {r["c"]: r["f"] for r in got} == {r["c"]: r["plain"] for r in got} == cells
