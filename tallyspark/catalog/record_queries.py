@@ -714,8 +714,8 @@ _CELL_USER = "CASE WHEN k % 9 = 0 THEN '' WHEN k % 9 = 1 THEN '  ' ELSE created_
         SELECT name, 'qbo-user-' || row_number() OVER (ORDER BY name) AS stand_in FROM (SELECT DISTINCT {_CELL_USER} AS name FROM gl) WHERE name <> '') ON name = cell
     GROUP BY ALL""")
 def _(s: Staged) -> DataFrame:
-    reports = settle(sv.report_documents(s.lines), "reports")  # read for its users, then for its texts
-    clean = settle(redaction.sanitized(reports, "report", ""), "clean")
+    reports = settle(sv.report_documents(s.lines), "reports", long=True)  # read for its users, then for its texts
+    clean = settle(redaction.sanitized(reports, "report", ""), "clean", long=True)
     rows = accounting.report_rows(clean.select("doc_no", "report")).where("txn_id IS NOT NULL")
     return rows.groupBy("create_by", "memo").agg(F.count("*").alias("n_rows"))
 

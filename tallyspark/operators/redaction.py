@@ -334,6 +334,8 @@ def sanitized(df: DataFrame, column: str, realm_id: str, names: DataFrame | None
     known besides, by default all that the documents name, numbered in name order. A document two of whose keys become one, or that is nested too
     deep to read, is refused. Text that is no JSON is scrubbed as text; null stays null."""
     own = record_users(df, column)
+    with staging.small_batches(df.sparkSession):
+        own = settle(own, "users")
     if names is None:
         names = stand_ins(own)
     else:  # what the table does not know is numbered after it

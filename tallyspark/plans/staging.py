@@ -45,8 +45,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tallyspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "stage", wide: bool = False) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back. ``wide``: many expressions are worked out on each row.
+def settle(df: DataFrame, name: str = "stage", wide: bool = False, long: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back. ``wide``: many expressions are worked out on each row. ``long``: rows
+    hold texts of any length; what a task holds of them, here and when they are read, does not grow with its rows.
 
     Cuts lineage (a lost executor re-reads files rather than redoing shuffles), lets several
     branches share one computation, and gives Catalyst real sizes, column pruning and pushdown.
@@ -54,8 +55,8 @@ def settle(df: DataFrame, name: str = "stage", wide: bool = False) -> DataFrame:
     path = new_path(df.sparkSession, name)
     for written in _WATCHED:
         written.append(path)
-    with shuffles_freed(df.sparkSession), short_methods(df.sparkSession) if wide else nullcontext():
-        df.write.parquet(path)
+    with shuffles_freed(df.sparkSession), short_methods(df.sparkSession) if wide else nullcontext(), small_batches(df.sparkSession) if long else nullcontext():
+        df.write.options(**(LONG_ROWS if long else {})).parquet(path)
     return df.sparkSession.read.schema(_nullable(df.schema)).parquet(path)
 
 
@@ -85,6 +86,18 @@ def short_methods(spark: SparkSession):
     return setting(spark, spark__sql__codegen__hugeMethodLimit="8000")
 
 
+#: How files of long rows are laid out. A reader takes as much as 4,096 rows of a row group into one batch, and a writer looks at what it holds only
+#: every 100 rows: row groups are ended after about 1 MB, looked at row by row, and before any page is compressed, so that the text itself counts.
+LONG_ROWS = {"parquet.block.size": str(1 << 20), "parquet.page.size": str(1 << 21), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+#: How many bytes a Python worker is sent at once of long rows.
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def small_batches(spark: SparkSession):
+    """What is run inside sends Python workers long rows in batches of about BATCH_BYTES."""
+    return setting(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES))
+
+
 def discard(*stages: DataFrame) -> None:
     """Delete the files of settled stages that nothing reads any more. Other files are let be."""
     for stage in stages:

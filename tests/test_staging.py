@@ -4,9 +4,12 @@ import random
 import statistics
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark import catalog
 from tallyspark.plans import staging
 
 
@@ -152,3 +155,34 @@ def test_wide_stages_are_written_in_short_methods(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "write", property(Writer))
     assert staging.settle(spark.range(5), "t", wide=True).count() == staging.settle(spark.range(5), "t").count() == 5
     assert seen == ["8000", before] and spark.conf.get(limit) == before
+
+
+def groups_of(path):
+    """Bytes of every row group of a stage's files, as a reader holds them."""
+    files = [pq.ParquetFile(f).metadata for f in Path(path.removeprefix("file:")).glob("*.parquet")]
+    return [m.row_group(g).total_byte_size for m in files for g in range(m.num_row_groups)]
+
+
+def test_what_a_task_holds_of_long_rows_does_not_grow_with_them(spark):
+    texts = spark.range(0, 300, 1, 1).select("id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 1000).alias("text"))
+    with staging.watched() as paths:
+        kept = staging.settle(texts, "texts", long=True)
+    assert len(groups_of(paths[0])) > 10 and max(groups_of(paths[0])) < 2 * (1 << 20)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    with staging.small_batches(spark):
+        seen = [r["n"] for r in kept.coalesce(1).mapInArrow(sizes, "n long").collect()]
+    assert len(seen) > 3 and max(seen) < 2 * staging.BATCH_BYTES
+    assert kept.where("length(text) = 64000").count() == kept.select("text").distinct().count() == 300
+
+
+def test_sanitized_reports_are_staged_as_long_rows(spark):
+    with staging.watched() as paths:
+        rows = catalog.queries()["l03_sanitized_reports"](spark, "/root/testdata/sf0.01")
+    assert rows.agg(F.sum("n_rows")).first()[0] > 29_000
+    for name in ("reports-", "clean-"):
+        sizes = [s for p in paths if f"/{name}" in p for s in groups_of(p)]
+        assert sum(sizes) > 5_000_000 and max(sizes) < 1.2 * (1 << 20)
